@@ -263,7 +263,7 @@ def _tiles(left: DataFrame, right: DataFrame, left_chunks: Column, right_chunks:
         F.explode(F.sequence(F.lit(0), left_chunks - 1)).alias("row_chunk"),
         F.pmod(F.xxhash64("__other"), right_chunks).cast("int").alias("col_chunk"),
         "__other",
-        POINT,
+        F.col(POINT).alias("__other_point"),
     )
     tile = ["cell", "row_chunk", "col_chunk"]
     id_type = left.schema[ID].dataType.simpleString()
@@ -272,7 +272,7 @@ def _tiles(left: DataFrame, right: DataFrame, left_chunks: Column, right_chunks:
     def multiply(rows: pa.Table, others: pa.Table) -> pa.Table:
         ids, other_ids = rows[ID].combine_chunks(), others["__other"].combine_chunks()
         if len(ids) and len(other_ids):
-            points, other_points = _matrix(rows[POINT]), _matrix(others[POINT])
+            points, other_points = _matrix(rows[POINT]), _matrix(others["__other_point"])
             middle = other_points.mean(axis=0)
             distances, positions = farthest(points - middle, other_points - middle, k)
             distances = _exact_distances(points, other_points, positions)
