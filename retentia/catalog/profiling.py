@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
 from retentia.catalog import query, table
-from retentia.functions.ordering import discrete_rank, order_statistics
+from retentia.functions.ordering import exact_quantiles
+from retentia.functions.scratch import local_table
 from retentia.operators import correlate, profile
 from retentia.plans.features import show_correlation_matrix
 
@@ -44,7 +45,7 @@ def _summary_sql(names, source):
 
 @query("numeric_summary", _summary_sql(LINEITEM_NUMBERS, "lineitem"))
 def numeric_summary(spark, folder):
-    return rounded(profile.show_summary_numerical(table(spark, folder, "lineitem")), "mean", "stddev")
+    return rounded(profile.show_summary_numerical(table(spark, folder, "lineitem"), quantiles="exact"), "mean", "stddev")
 
 
 @query("numeric_summary_approx")
@@ -59,16 +60,13 @@ def numeric_summary_approx(spark, folder):
         for name, share in QUANTILES
     ),
 )
-def exact_quantiles(spark, folder):
-    """Order statistics found by counting, the form for tables of any size."""
-    lineitem = table(spark, folder, "lineitem")
-    size = lineitem.count()
-    ranks: dict[str, list[int]] = {}
+def quantiles(spark, folder):
+    shares: dict[str, list[float]] = {}
     for name, share in QUANTILES:
-        ranks.setdefault(name, []).append(discrete_rank(share, size))
-    values = order_statistics(lineitem, ranks)
-    rows = [(name, share, float(values[name, discrete_rank(share, size)])) for name, share in QUANTILES]
-    return spark.createDataFrame(rows, "col_name string, share double, value double")
+        shares.setdefault(name, []).append(share)
+    values, _ = exact_quantiles(table(spark, folder, "lineitem"), shares)
+    rows = [(name, share, float(values[name, share][0])) for name, share in QUANTILES]
+    return local_table(spark, rows, "col_name string, share double, value double")
 
 
 @query(

@@ -26,11 +26,14 @@ HOT_COL = "__hot"
 
 
 class KeyTable:
-    """One row per distinct key with its number of rows, measured when created."""
+    """One row per distinct key with its number of rows, measured when created.
 
-    def __init__(self, frame: DataFrame, key: str, count: str = "count"):
+    ``stored`` says the frame reads a written table already, and need not be kept.
+    """
+
+    def __init__(self, frame: DataFrame, key: str, count: str = "count", stored: bool = False):
         self.key, self.count_col = key, count
-        cached = frame.persist()
+        cached = frame if stored else frame.persist()
         measured = cached.agg(
             F.count(F.lit(1)).alias("rows"),
             F.coalesce(F.sum(F.octet_length(column(key).cast("string"))), F.lit(0)).alias("bytes"),
@@ -42,10 +45,11 @@ class KeyTable:
         self.smallest, self.largest = measured["smallest"], measured["largest"]
         self.small = self.rows <= BROADCAST_ROWS and measured["bytes"] <= BROADCAST_BYTES
         if self.small:
-            self.frame = frame.sparkSession.createDataFrame(cached.collect(), frame.schema)
+            self.frame = frame.sparkSession.createDataFrame(cached.toArrow(), frame.schema)
         else:
-            self.frame = materialize(cached, "keys")
-        cached.unpersist()
+            self.frame = frame if stored else materialize(cached, "keys")
+        if not stored:
+            cached.unpersist()
 
     @classmethod
     def of(cls, df: DataFrame, key: str) -> KeyTable:

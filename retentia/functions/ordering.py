@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import column
@@ -15,6 +15,10 @@ PART = "__part"
 ONE_TASK_ROWS = 20_000
 EDGE_VALUES = 2_000
 SKETCH_ACCURACY = 10_000
+SKETCH_ERRORS = 1.5
+
+Target = tuple[str, int]
+Interval = tuple[object, object, int, int]
 
 
 def running_total(
@@ -77,57 +81,121 @@ def smallest_rows(df: DataFrame, order: Sequence[str], n: int, one_task_rows: in
     return placed.filter((F.col(PART) < part) | (last & (within | tied))).drop(PART)
 
 
-def order_statistics(
-    df: DataFrame, ranks: dict[str, Sequence[int]], small: int = EDGE_VALUES, accuracy: int = SKETCH_ACCURACY
-) -> dict[tuple[str, int], object]:
-    """Exact values at 0-based ranks of the non-null values of numeric columns.
-
-    Each round proposes two sketch quantiles around every wanted rank and counts
-    the rows on both sides of them. The rank is then at one of the two values, or
-    strictly between them among a few thousandths of the rows, or (had the sketch
-    missed) strictly outside. Only the last ``small`` values of an interval reach
-    the driver; nothing is sorted or shuffled, and a value held by any share of
-    the rows is settled by its counts.
+def discrete_rank(share: float, size: int) -> list[int]:
+    """0-based rank of the first value whose cumulative share reaches ``share``."""
+    return [max(0, math.ceil(share * size) - 1)]
+
+
+def exact_quantiles(
+    df: DataFrame,
+    shares: dict[str, Sequence[float]],
+    rank_rule: Callable[[float, int], list[int]] = discrete_rank,
+    extra: Sequence[Column] = (),
+    small: int = EDGE_VALUES,
+    accuracy: int = SKETCH_ACCURACY,
+) -> tuple[dict[tuple[str, float], list], Row]:
+    """Exact values at shares of the non-null values of numeric columns, and ``extra`` aggregates.
+
+    One pass takes the extra aggregates, the sizes and a sketch of each column, which
+    proposes two values around every wanted rank. Counting the rows on both sides of
+    them places the rank at one of the two, or strictly between them among a few
+    thousandths of the rows, or (had the sketch missed) strictly outside; this repeats
+    until at most ``small`` values are left to look at. Nothing is sorted or shuffled,
+    and a value held by any share of the rows is settled by its counts.
+
+    A column without values gives empty lists. ``rank_rule`` turns a share and a size
+    into the 0-based ranks to return.
     """
-    names = list(ranks)
-    sizes = df.agg(*[F.count(column(name)) for name in names]).first()
-    found: dict[tuple[str, int], object] = {}
-    # open intervals: (column, rank) -> (low, high, values up to low, values strictly inside)
-    pending: dict[tuple[str, int], tuple[object, object, int, int]] = {}
-    for name, size in zip(names, sizes):
-        for rank in ranks[name]:
-            if not 0 <= rank < size:
-                raise ValueError(f"rank {rank} outside the {size} values of {name}")
-            pending[name, rank] = (None, None, 0, size)
-
-    while wide := {target: state for target, state in pending.items() if state[3] > small}:
-        proposals = _sketch_quantiles(df, wide, accuracy)
-        counts = iter(_side_counts(df, wide, proposals))
-        for (target, (old_low, old_high, before, inside)), (low, high) in zip(wide.items(), proposals):
-            below_low, upto_low, below_high, upto_high = (next(counts) for _ in range(4))
-            rank = target[1]
-            if rank < below_low:
-                pending[target] = (old_low, low, before, below_low - before)
-            elif rank < upto_low:
-                found[target] = low
-            elif rank < below_high:
-                pending[target] = (low, high, upto_low, below_high - upto_low)
-            elif rank < upto_high:
-                found[target] = high
-            else:
-                pending[target] = (high, old_high, upto_high, before + inside - upto_high)
-            if target in found:
-                del pending[target]
-    if pending:
-        lists = df.agg(
-            *[
-                F.collect_list(F.when(_between(name, low, high), column(name)))
-                for (name, _), (low, high, _, _) in pending.items()
-            ]
-        ).first()
-        for (target, (_, _, before, _)), values in zip(pending.items(), lists):
-            found[target] = sorted(values, key=lambda value: (value != value, value))[target[1] - before]
-    return found
+    names, margin = list(shares), SKETCH_ERRORS / accuracy
+    ends = {name: [end for share in shares[name] for end in _around(share, margin)] for name in names}
+    first = df.agg(
+        *extra,
+        *[F.count(column(name)) for name in names],
+        *[F.percentile_approx(column(name), ends[name], accuracy) for name in names],
+    ).first()
+    sizes = dict(zip(names, first[len(extra) :]))
+    sketched = dict(zip(names, first[len(extra) + len(names) :]))
+    ranks = {(name, share): rank_rule(share, sizes[name]) for name in names for share in shares[name] if sizes[name]}
+
+    # target (column, rank) -> (low, high, values up to low, values strictly between)
+    pending: dict[Target, Interval] = {}
+    proposals: dict[Target, tuple] = {}
+    for (name, share), wanted in ranks.items():
+        at = 2 * list(shares[name]).index(share)
+        for rank in wanted:
+            pending[name, rank] = (None, None, 0, sizes[name])
+            proposals[name, rank] = (sketched[name][at], sketched[name][at + 1])
+    found: dict[Target, object] = {}
+    while proposals:
+        _narrow(df, pending, proposals, found)
+        proposals = _sketch_intervals(
+            df, {target: interval for target, interval in pending.items() if interval[3] > small}, accuracy
+        )
+    found |= _look_up(df, pending)
+    values = {
+        (name, share): [found[name, rank] for rank in ranks.get((name, share), [])] for name in names for share in shares[name]
+    }
+    return values, first[: len(extra)]
+
+
+def _around(share: float, margin: float) -> list[float]:
+    return [max(0.0, share - margin), min(1.0, share + margin)]
+
+
+def _narrow(df: DataFrame, pending: dict, proposals: dict, found: dict) -> None:
+    """Count the rows below and up to every proposed value, and shrink the intervals by it."""
+    points = list(dict.fromkeys((name, value) for (name, _), pair in proposals.items() for value in pair))
+    counted = df.agg(
+        *[
+            measure
+            for name, value in points
+            for measure in (F.count_if(column(name) < F.lit(value)), F.count_if(column(name) <= F.lit(value)))
+        ]
+    ).first()
+    sides = {point: (counted[2 * at], counted[2 * at + 1]) for at, point in enumerate(points)}
+    for (name, rank), (low, high) in proposals.items():
+        old_low, old_high, before, inside = pending.pop((name, rank))
+        below_low, upto_low = sides[name, low]
+        below_high, upto_high = sides[name, high]
+        if rank < below_low:
+            pending[name, rank] = (old_low, low, before, below_low - before)
+        elif rank < upto_low:
+            found[name, rank] = low
+        elif rank < below_high:
+            pending[name, rank] = (low, high, upto_low, below_high - upto_low)
+        elif rank < upto_high:
+            found[name, rank] = high
+        else:
+            pending[name, rank] = (high, old_high, upto_high, before + inside - upto_high)
+
+
+def _sketch_intervals(df: DataFrame, wide: dict, accuracy: int) -> dict:
+    """Two values around each rank from a sketch of its interval."""
+    if not wide:
+        return {}
+    sketches = [
+        F.percentile_approx(
+            F.when(_between(name, low, high), column(name)),
+            _around((rank - before + 0.5) / inside, SKETCH_ERRORS / accuracy),
+            accuracy,
+        )
+        for (name, rank), (low, high, before, inside) in wide.items()
+    ]
+    return {target: tuple(pair) for target, pair in zip(wide, df.agg(*sketches).first())}
+
+
+def _look_up(df: DataFrame, pending: dict) -> dict:
+    """Fetch the few values of each remaining interval and take the wanted one."""
+    intervals = list(dict.fromkeys((name, low, high) for (name, _), (low, high, _, _) in pending.items()))
+    if not intervals:
+        return {}
+    lists = df.agg(*[F.collect_list(F.when(_between(*interval), column(interval[0]))) for interval in intervals]).first()
+    ordered = {
+        interval: sorted(values, key=lambda value: (value != value, value)) for interval, values in zip(intervals, lists)
+    }
+    return {
+        (name, rank): ordered[name, low, high][rank - before] for (name, rank), (low, high, before, _) in pending.items()
+    }
 
 
 def _between(name: str, low: object, high: object) -> Column:
@@ -139,39 +207,6 @@ def _between(name: str, low: object, high: object) -> Column:
     return inside
 
 
-def _sketch_quantiles(df: DataFrame, intervals: dict, accuracy: int) -> list[tuple[object, object]]:
-    """Two values around each wanted rank, a little over the sketch's error apart from it."""
-    sketches = []
-    for (name, rank), (low, high, before, inside) in intervals.items():
-        share, margin = (rank - before + 0.5) / inside, 1.5 / accuracy
-        sketches.append(
-            F.percentile_approx(
-                F.when(_between(name, low, high), column(name)),
-                [max(0.0, share - margin), min(1.0, share + margin)],
-                accuracy,
-            )
-        )
-    return [tuple(pair) for pair in df.agg(*sketches).first()]
-
-
-def _side_counts(df: DataFrame, intervals: dict, proposals: list) -> tuple:
-    measures = []
-    for (name, _), pair in zip(intervals, proposals):
-        for value in pair:
-            measures += [F.count_if(column(name) < F.lit(value)), F.count_if(column(name) <= F.lit(value))]
-    return df.agg(*measures).first()
-
-
-def discrete_rank(share: float, size: int) -> int:
-    """0-based rank of the first value whose cumulative share reaches ``share``."""
-    return max(0, math.ceil(share * size) - 1)
-
-
-def exact_medians(df: DataFrame, sizes: dict[str, int]) -> dict[str, float | None]:
-    """Medians by interpolation of the two middle values; ``sizes`` are non-null counts."""
-    ranks = {name: sorted({(size - 1) // 2, size // 2}) for name, size in sizes.items() if size}
-    values = order_statistics(df, ranks) if ranks else {}
-    return {
-        name: sum(float(values[name, rank]) for rank in ranks[name]) / len(ranks[name]) if size else None
-        for name, size in sizes.items()
-    }
+def median_ranks(share: float, size: int) -> list[int]:
+    """The one or two middle ranks."""
+    return sorted({(size - 1) // 2, size // 2})

@@ -6,8 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 _own_root: str | None = None
 
@@ -30,12 +34,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/retentia/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once and read it back.
 
     Cuts the lineage, survives lost executors, and fixes values that would
     otherwise be recomputed (row ids, partition numbers, floating-point scores).
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few rows as a table that plans as a literal, without Python workers."""
+    fields = T.StructType.fromDDL(schema).fields
+    columns = {
+        field.name: pa.array([row[at] for row in rows], to_arrow_type(field.dataType)) for at, field in enumerate(fields)
+    }
+    return spark.createDataFrame(pa.table(columns))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
@@ -11,13 +14,17 @@ from pyspark.sql import functions as F
 from retentia.functions.columns import column, slot_names
 from retentia.functions.keytable import KeyTable
 from retentia.functions.ordering import running_total
+from retentia.functions.scratch import local_table, materialize
 
 METHODS = ("pearson", "spearman")
 VECTOR = "__vector"
+MOMENT_COLUMNS = 20
 
 
 def correlation_matrix(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
-    """``(row_name, col_name, correlation)`` for every pair of numeric columns; NaN for constant ones.
+    """``(row_name, col_name, correlation)`` for every pair of numeric columns.
+
+    A constant column has NaN with every other.
 
     Rows with a missing value in one of the columns are left out.
     """
@@ -46,8 +53,9 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     ranks = running_total(counts, ["column"], [F.col("value").asc()], F.col("count"), "before").select(
         "column", "value", "count", (F.col("before") + (F.col("count") + 1) / 2).alias("rank")
     )
+    ranks = materialize(ranks, "ranks", ["column"])
     for name in columns:
-        table = KeyTable(ranks.filter(F.col("column") == name).drop("column"), "value")
+        table = KeyTable(ranks.filter(F.col("column") == name).drop("column"), "value", stored=True)
         df = table.attach(df, column(name), ["rank"]).drop(name).withColumnRenamed("rank", name)
     return df
 
@@ -58,7 +66,26 @@ def _check(method: str) -> None:
 
 
 def _pearson(df: DataFrame, columns: list[str]) -> DataFrame:
+    matrix = _moments(df, columns) if len(columns) <= MOMENT_COLUMNS else _blocks(df, columns)
+    rows = [(a, b, float(matrix[i][j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    return local_table(df.sparkSession, rows, "row_name string, col_name string, correlation double")
+
+
+def _moments(df: DataFrame, columns: list[str]) -> list[list[float]]:
+    """One aggregation with a covariance for each pair."""
+    pairs = list(combinations(range(len(columns)), 2))
+    row = df.agg(
+        *[F.var_pop(column(name)) for name in columns],
+        *[F.covar_pop(column(columns[i]), column(columns[j])) for i, j in pairs],
+    ).first()
+    matrix = [[1.0] * len(columns) for _ in columns]
+    for (i, j), covariance in zip(pairs, row[len(columns) :]):
+        scale = math.sqrt(row[i] * row[j]) if covariance is not None else 0.0
+        matrix[i][j] = matrix[j][i] = covariance / scale if scale else math.nan
+    return matrix
+
+
+def _blocks(df: DataFrame, columns: list[str]) -> list[list[float]]:
+    """The built-in matrix, for more columns than one aggregation should have pairs of."""
     assembled = VectorAssembler(inputCols=columns, outputCol=VECTOR).transform(df).select(VECTOR)
-    matrix = Correlation.corr(assembled, VECTOR, "pearson").head()[0].toArray()
-    rows = [(a, b, float(matrix[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
-    return df.sparkSession.createDataFrame(rows, "row_name string, col_name string, correlation double")
+    return Correlation.corr(assembled, VECTOR, "pearson").head()[0].toArray().tolist()

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from retentia.functions.columns import column
 from retentia.functions.keytable import BROADCAST_BYTES, BROADCAST_ROWS, KeyTable
 from retentia.functions.ordering import running_total
+from retentia.functions.scratch import materialize
 from retentia.operators.profile import column_ranges
 
 INVALID = ("error", "skip", "keep")
@@ -116,14 +117,18 @@ def fit_string_index(
     }
     tables = []
     if large:
-        ranked = running_total(
+        positions = running_total(
             counts.filter(F.col("column").isin(large)),
             ["column"],
             [F.col("count").desc(), F.col("value").asc()],
             F.lit(1).cast("long"),
             "position",
-        ).select("column", "value", "count", F.col("position").cast("double").alias("index"))
-        by_column = {name: KeyTable(ranked.filter(F.col("column") == name).drop("column"), "value") for name in large}
+        )
+        index = F.col("position").cast("double").alias("index")
+        ranked = materialize(positions.select("column", "value", "count", index), "index", ["column"])
+        by_column = {
+            name: KeyTable(ranked.filter(F.col("column") == name).drop("column"), "value", stored=True) for name in large
+        }
         tables = [
             TableIndexer(name, out, by_column[name], sizes[name], handle_invalid) for name, out in pairs if name in large
         ]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import column, slot_names
+from retentia.functions.scratch import local_table
 
 
 def cast_predictions(df: DataFrame, label_col: str, prediction_col: str) -> DataFrame:
@@ -68,7 +69,7 @@ def feature_importances(model, df: DataFrame, features_col: str, groups: dict[st
         names = [name for name, width in groups.items() for _ in range(int(width))]
     if len(names) != len(values):
         raise ValueError(f"{len(names)} slot names for {len(values)} importances")
-    slots = df.sparkSession.createDataFrame(list(zip(names, values)), "feature string, importance double")
+    slots = local_table(df.sparkSession, list(zip(names, values)), "feature string, importance double")
     return slots.groupBy("feature").agg(F.sum("importance").alias("importance")).orderBy(F.desc("importance"), "feature")
 
 

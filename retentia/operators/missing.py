@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retentia.functions.columns import column
-from retentia.functions.ordering import exact_medians
-from retentia.operators.profile import AGGREGATES, BUILTIN_PERCENTILE_ROWS, long_form
+from retentia.functions.ordering import exact_quantiles, median_ranks
+from retentia.operators.profile import AGGREGATES, long_form
 
 BEHAVIORS = ("drop_rows", "drop_cols")
 
@@ -101,7 +101,6 @@ def clean_nulls(
     column_threshold: float,
     default_values: dict | None = None,
     unaccounted_nulls_behavior: str = "drop_rows",
-    percentile_rows: int = BUILTIN_PERCENTILE_ROWS,
 ) -> DataFrame:
     """Remove nulls: drop sparse columns, then sparse rows, fill by rule, drop what is left.
 
@@ -110,8 +109,8 @@ def clean_nulls(
     the product is truncated, so ten columns at 0.9 keep every row. Columns that still
     hold nulls are filled from ``default_values``: a constant, or one of sum, count,
     avg, min, max, median computed on the rows left. If nulls remain, their rows or
-    their columns are dropped. Two aggregation jobs decide all of it (a median over
-    more than ``percentile_rows`` rows adds a few counting passes).
+    their columns are dropped. Two aggregation jobs decide all of it; exact medians
+    add passes that count.
     """
     if unaccounted_nulls_behavior not in BEHAVIORS:
         raise AssertionError(f"unaccounted_nulls_behavior must be one of {BEHAVIORS}")
@@ -128,18 +127,18 @@ def clean_nulls(
     if not suspects:
         return df
     by_aggregate = {name: defaults[name] for name in suspects if _is_aggregate(defaults.get(name))}
-    narrowed = [name for name, how in by_aggregate.items() if how == "median" and total > percentile_rows]
-    second = df.agg(
-        *[F.count_if(column(name).isNull()) for name in suspects],
-        *[F.count(column(name)) for name in narrowed],
-        *[AGGREGATES[how](column(name)) for name, how in by_aggregate.items() if name not in narrowed],
-    ).first()
+    medians = [name for name, how in by_aggregate.items() if how == "median"]
+    others = [name for name in by_aggregate if name not in medians]
+    measures = [F.count_if(column(name).isNull()) for name in suspects]
+    measures += [AGGREGATES[by_aggregate[name]](column(name)) for name in others]
+    if medians:
+        middle, second = exact_quantiles(df, dict.fromkeys(medians, [0.5]), median_ranks, measures)
+    else:
+        middle, second = {}, df.agg(*measures).first()
     open_nulls = {name for name, count in zip(suspects, second) if count > 0}
-    sizes = dict(zip(narrowed, second[len(suspects) :]))
-    computed = dict(
-        zip([name for name in by_aggregate if name not in narrowed], second[len(suspects) + len(narrowed) :])
-    )
-    computed |= exact_medians(df, {name: size for name, size in sizes.items() if name in open_nulls})
+    computed = dict(zip(others, second[len(suspects) :]))
+    for (name, _), values in middle.items():
+        computed[name] = sum(float(value) for value in values) / len(values) if values else None
 
     fills = {}
     for name in suspects:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import column
+from retentia.functions.scratch import local_table
 
 # The model seed, the fold count and the parameter grids.
 SEED = 42
@@ -97,4 +98,4 @@ def score(model, df: DataFrame, label_col: str, keep: list[str] | None = None) -
 def best_parameters(model, names: list[str], spark: SparkSession) -> DataFrame:
     """The values a fitted model ended up with, as ``(parameter, value)``."""
     rows = [(name, str(model.getOrDefault(name))) for name in names]
-    return spark.createDataFrame(rows, "parameter string, value string").orderBy(F.col("parameter"))
+    return local_table(spark, rows, "parameter string, value string").orderBy(F.col("parameter"))

@@ -8,10 +8,12 @@ from pyspark.sql import types as T
 
 from retentia.functions.columns import column, column_group, columns_types
 from retentia.functions.keytable import KeyTable
-from retentia.functions.ordering import discrete_rank, order_statistics
+from retentia.functions.ordering import SKETCH_ACCURACY, exact_quantiles
+from retentia.functions.scratch import local_table
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-BUILTIN_PERCENTILE_ROWS = 1_000_000
+# The statistics after the count, in report order.
+SUMMARY = ("mean", "stddev", "min", *QUARTILES, "max")
 AGGREGATES = {"sum": F.sum, "count": F.count, "avg": F.avg, "min": F.min, "max": F.max, "median": F.median}
 
 
@@ -31,7 +33,7 @@ def schema_table(df: DataFrame, wide_numeric: bool = False) -> DataFrame:
         (at, field.name, field.dataType.simpleString(), field.nullable, column_group(field.dataType, wide_numeric))
         for at, field in enumerate(df.schema.fields)
     ]
-    return df.sparkSession.createDataFrame(
+    return local_table(df.sparkSession, 
         rows, "position int, column string, type string, nullable boolean, column_group string"
     )
 
@@ -78,7 +80,7 @@ def show_summary_categoricals(df: DataFrame, columns: list[str] | None = None) -
     """Value counts of every string column as ``(column, value, count)``, one job for all."""
     names = columns if columns is not None else columns_types(df)["categorical_cols"]
     if not names:
-        return df.sparkSession.createDataFrame([], "column string, value string, count bigint")
+        return local_table(df.sparkSession, [], "column string, value string, count bigint")
     texts = df.select(*[column(name).cast("string").alias(name) for name in names])
     return (
         texts.unpivot([], names, "column", "value")
@@ -87,65 +89,37 @@ def show_summary_categoricals(df: DataFrame, columns: list[str] | None = None) -
     )
 
 
-def show_summary_numerical(df: DataFrame, columns: list[str] | None = None, quantiles: str = "exact") -> DataFrame:
+def show_summary_numerical(df: DataFrame, columns: list[str] | None = None, quantiles: str = "approx") -> DataFrame:
     """Count, mean, stddev, min, quartiles and max of every numeric column, one row each.
 
-    ``quantiles="approx"`` needs one pass. ``"exact"`` returns stored values too, and
-    beyond a size where the built-in exact percentile would gather all distinct values
-    in one task it narrows them down by counting.
+    ``quantiles="approx"`` takes one pass, ``"exact"`` at least two more that count.
     """
     if quantiles not in ("exact", "approx"):
         raise ValueError("quantiles must be 'exact' or 'approx'")
     names = columns if columns is not None else columns_types(df)["numeric_cols"]
-    schema = "column string, count bigint, mean double, stddev double, min double, p25 double, p50 double, p75 double, max double"
+    schema = ", ".join(["column string", "count bigint", *[f"{name} double" for name in SUMMARY]])
     if not names:
-        return df.sparkSession.createDataFrame([], schema)
-    measures = []
-    for at, name in enumerate(names):
+        return local_table(df.sparkSession, [], schema)
+    moments = []
+    for name in names:
         c = column(name)
-        measures += [
-            F.count(c).alias(f"count{at}"),
-            F.avg(c).alias(f"mean{at}"),
-            F.stddev_samp(c.cast("double")).alias(f"stddev{at}"),
-            F.min(c).cast("double").alias(f"min{at}"),
-            F.max(c).cast("double").alias(f"max{at}"),
-        ]
-    quartiles: dict[tuple[int, str], Column] = {}
-    if quantiles == "approx":
-        for at, name in enumerate(names):
-            measures.append(F.percentile_approx(column(name), list(QUARTILES.values()), 10_000).alias(f"q{at}"))
-            quartiles |= {(at, key): F.col(f"q{at}")[i].cast("double") for i, key in enumerate(QUARTILES)}
+        moments += [F.count(c), F.avg(c), F.stddev_samp(c.cast("double")), F.min(c), F.max(c)]
+    if quantiles == "exact":
+        values, row = exact_quantiles(df, {name: list(QUARTILES.values()) for name in names}, extra=moments)
+        quartiles = {name: [next(iter(values[name, share]), None) for share in QUARTILES.values()] for name in names}
     else:
-        sizes = df.agg(*[F.count(column(name)) for name in names]).first()
-        if max(sizes) <= BUILTIN_PERCENTILE_ROWS:
-            for at, name in enumerate(names):
-                quoted = "`" + name.replace("`", "``") + "`"
-                for key, share in QUARTILES.items():
-                    measures.append(
-                        F.expr(f"percentile_disc({share}) within group (order by {quoted})").cast("double").alias(f"{key}{at}")
-                    )
-                    quartiles[at, key] = F.col(f"{key}{at}")
-        else:
-            ranks = {
-                name: sorted({discrete_rank(share, size) for share in QUARTILES.values()})
-                for name, size in zip(names, sizes)
-                if size
-            }
-            values = order_statistics(df, ranks)
-            for at, (name, size) in enumerate(zip(names, sizes)):
-                for key, share in QUARTILES.items():
-                    value = float(values[name, discrete_rank(share, size)]) if size else None
-                    quartiles[at, key] = F.lit(value).cast("double")
-    return long_form(
-        df.agg(*measures),
-        [
-            {"column": F.lit(name), "count": F.col(f"count{at}")}
-            | {key: F.col(f"{key}{at}") for key in ("mean", "stddev", "min")}
-            | {key: quartiles[at, key] for key in QUARTILES}
-            | {"max": F.col(f"max{at}")}
-            for at, name in enumerate(names)
-        ],
-    )
+        sketches = [F.percentile_approx(column(name), list(QUARTILES.values()), SKETCH_ACCURACY) for name in names]
+        row = df.agg(*moments, *sketches).first()
+        quartiles = {name: row[len(moments) + at] or [None] * len(QUARTILES) for at, name in enumerate(names)}
+    rows = []
+    for at, name in enumerate(names):
+        count, mean, deviation, low, high = row[5 * at : 5 * at + 5]
+        rows.append((name, count, *[_number(value) for value in (mean, deviation, low, *quartiles[name], high)]))
+    return local_table(df.sparkSession, rows, schema)
+
+
+def _number(value: object) -> float | None:
+    return None if value is None else float(value)
 
 
 def show_summary_labels(df: DataFrame, labels_col: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from retentia.functions.columns import column
 from retentia.functions.keytable import KeyTable
-from retentia.functions.scratch import materialize
+from retentia.functions.scratch import local_table, materialize
 
 ROW = "__row"
 
@@ -76,7 +76,7 @@ def get_user_top_recommendations(
 
 def catalogue_of(labels: list[str], df: DataFrame) -> DataFrame:
     """Catalogue ``(item_index, item)`` from an indexer's labels."""
-    return df.sparkSession.createDataFrame(list(enumerate(labels)), "item_index bigint, item string")
+    return local_table(df.sparkSession, list(enumerate(labels)), "item_index bigint, item string")
 
 
 def revert_item_index_in_recommendations(
