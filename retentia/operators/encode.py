@@ -58,6 +58,7 @@ class TableIndexer:
 class IndexerModel:
     """Fitted indexes by output column: driver-side labels, or a table for large vocabularies."""
 
+    outputs: tuple[str, ...]
     natives: dict[str, StringIndexerModel]
     tables: tuple[TableIndexer, ...] = ()
 
@@ -73,9 +74,10 @@ class IndexerModel:
         }
 
     def transform(self, df: DataFrame) -> DataFrame:
+        before = df.columns
         for model in (*self.natives.values(), *self.tables):
             df = model.transform(df)
-        return df
+        return df.select(*[column(name) for name in (*before, *self.outputs)])
 
 
 def fit_string_index(
@@ -90,7 +92,10 @@ def fit_string_index(
     if handle_invalid not in INVALID:
         raise ValueError(f"handle_invalid must be one of {INVALID}")
     pairs = list(columns_to_string_index)
+    outputs = tuple(out for _, out in pairs)
     names = list(dict.fromkeys(name for name, _ in pairs))
+    if not names:
+        return IndexerModel(outputs, {})
     texts = df.select(*[column(name).cast("string").alias(name) for name in names])
     counts = (
         texts.unpivot([], names, "column", "value")
@@ -133,7 +138,7 @@ def fit_string_index(
             TableIndexer(name, out, by_column[name], sizes[name], handle_invalid) for name, out in pairs if name in large
         ]
     counts.unpersist()
-    return IndexerModel(natives, tuple(tables))
+    return IndexerModel(outputs, natives, tuple(tables))
 
 
 def string_index_columns(
