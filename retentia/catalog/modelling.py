@@ -6,6 +6,7 @@ from retentia.functions.scratch import scratch_path
 from retentia.operators import evaluate, models
 from retentia.operators.split import random_split
 from retentia.plans.features import get_indexed_and_encode_vectors
+from retentia.plans.preprocess import preprocess_data
 from retentia.sources.tables import load_model, save_model
 
 SEED = 7
@@ -46,6 +47,24 @@ def rf_metrics(spark, folder):
     return evaluate.performance_evaluation(scored, vectors.label_col)
 
 
+@query("flow_metrics")
+def flow_metrics(spark, folder):
+    """Clean, de-duplicate, index, scale, split, rebalance, train, score, evaluate."""
+    train, test = preprocess_data(
+        labelled_documents(spark, folder).drop("toxic"),
+        "quality",
+        {"row_threshold": 0.4, "column_threshold": 0.2, "default_values": {"n_chars": "median"}},
+        transformation_categorical="index",
+        transformation_numerical="normalize",
+        stratified_split=True,
+        rebalancing_technique="oversample_random",
+        seed=SEED,
+        key="doc_id",
+    )
+    model = models.build_classifier("RandomForestClassifier", "quality", "features", numTrees=10).fit(train)
+    return evaluate.performance_evaluation(models.score(model, test, "quality"), "quality")
+
+
 @query("gbt_scores")
 def gbt_scores(spark, folder):
     vectors = _vectors(spark, folder)

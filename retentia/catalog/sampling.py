@@ -148,6 +148,33 @@ def preprocess_flow(spark, folder):
     return flow_report(train, test, "quality")
 
 
+@query("preprocess_flow_nearmiss")
+def preprocess_flow_nearmiss(spark, folder):
+    """NearMiss-2 inside the flow: as many rows of the large class as the small one has."""
+    train, test = preprocess_data(
+        labelled_documents(spark, folder).drop("toxic"),
+        "quality",
+        {"row_threshold": 0.4, "column_threshold": 0.2},
+        transformation_categorical="index",
+        transformation_numerical="normalize",
+        stratified_split=True,
+        rebalancing_technique="nearmiss_v2",
+        resampling_options={"k": 3},
+        seed=SEED,
+        key="doc_id",
+    )
+    return flow_report(train, test, "quality")
+
+
+@query(
+    "distinct_labels",
+    "SELECT DISTINCT quality FROM documents LEFT JOIN labels USING (doc_id)",
+)
+def distinct_labels(spark, folder):
+    joined = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    return joined.select("quality").distinct()
+
+
 @query(
     "preprocess_flow_weights",
     f"""WITH {_FLOW_SQL}, w AS (SELECT quality, (SELECT sum(n) FROM r) / (2 * n) AS weight FROM r)

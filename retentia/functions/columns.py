@@ -42,6 +42,11 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def hashable_columns(df: DataFrame) -> list[Column]:
+    """The columns Spark can hash: all but maps."""
+    return [column(field.name) for field in df.schema.fields if "map<" not in field.dataType.simpleString()]
+
+
 def as_double_array(df: DataFrame, name: str) -> Column:
     """A vector or numeric array column as ``array<double>``."""
     if isinstance(df.schema[name].dataType, VectorUDT):

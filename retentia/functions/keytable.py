@@ -10,14 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from retentia.functions.columns import column
+from retentia.functions.columns import column, hashable_columns
 from retentia.functions.scratch import materialize
 
 BROADCAST_ROWS = 50_000
 BROADCAST_BYTES = 32 << 20
 HOT_KEYS = 10_000
-HOT_KEY_BYTES = 1_024
+HOT_ROW_BYTES = 1_024
 SPREAD = 4_096
 
 KEY = "__key"
@@ -25,6 +26,12 @@ SPREAD_COL = "__spread"
 HOT_COL = "__hot"
 
 
+def text_bytes(frame: DataFrame) -> Column:
+    """Bytes of a row's strings; other types are small."""
+    texts = [field.name for field in frame.schema.fields if isinstance(field.dataType, (T.StringType, T.BinaryType))]
+    return sum((F.coalesce(F.octet_length(column(name)), F.lit(0)) for name in texts), F.lit(0).cast("long"))
+
+
 class KeyTable:
     """One row per distinct key with its number of rows, measured when created.
 
@@ -36,7 +43,7 @@ class KeyTable:
         cached = frame if stored else frame.persist()
         measured = cached.agg(
             F.count(F.lit(1)).alias("rows"),
-            F.coalesce(F.sum(F.octet_length(column(key).cast("string"))), F.lit(0)).alias("bytes"),
+            F.coalesce(F.sum(text_bytes(frame)), F.lit(0)).alias("bytes"),
             F.coalesce(F.sum(count), F.lit(0)).alias("total"),
             F.min(count).alias("smallest"),
             F.max(count).alias("largest"),
@@ -54,7 +61,8 @@ class KeyTable:
     @classmethod
     def of(cls, df: DataFrame, key: str) -> KeyTable:
         """Distinct values of a column and their row counts, combined before the shuffle."""
-        return cls(df.groupBy(column(key)).agg(F.count(F.lit(1)).alias("count")), key)
+        count = "count" if key != "count" else "rows"
+        return cls(df.groupBy(column(key)).agg(F.count(F.lit(1)).alias(count)), key, count)
 
     def with_values(self, **values: Column) -> KeyTable:
         """The same keys with further columns computed from the table's own."""
@@ -69,9 +77,7 @@ class KeyTable:
         if self.small:
             small = table.drop(self.count_col)
             return df.join(F.broadcast(small), on.eqNullSafe(small[KEY]), "left").drop(KEY)
-        is_hot = (F.col(self.count_col) >= F.lit(self.total / HOT_KEYS)) & (
-            F.coalesce(F.octet_length(F.col(KEY).cast("string")), F.lit(0)) <= HOT_KEY_BYTES
-        )
+        is_hot = (F.col(self.count_col) >= F.lit(self.total / HOT_KEYS)) & (text_bytes(table) <= HOT_ROW_BYTES)
         hot = table.filter(is_hot).select(
             F.col(KEY).alias(HOT_COL), F.struct(*[column(v) for v in values]).alias("__hot_values")
         )
@@ -79,7 +85,7 @@ class KeyTable:
             F.col(KEY), F.lit(0).cast("long").alias(SPREAD_COL), F.struct(*[column(v) for v in values]).alias("__cold_values")
         )
         # Rows of hot keys found their values in the broadcast; the shuffle spreads them by content.
-        spread = F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.lit(SPREAD)) + 1
+        spread = F.pmod(F.xxhash64(*hashable_columns(df)) + F.spark_partition_id(), F.lit(SPREAD)) + 1
         marked = (
             df.withColumn("__on", on)
             .join(F.broadcast(hot), F.col("__on").eqNullSafe(hot[HOT_COL]), "left")

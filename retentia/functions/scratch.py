@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 _own_root: str | None = None
+_written: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -42,9 +43,18 @@ def materialize(df: DataFrame, name: str = "table", partition_by: Sequence[str]
     """
     path = scratch_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables this process has written; results that read them end with them."""
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(configuration).delete(path, True)
+
+
 def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A few rows as a table that plans as a literal, without Python workers."""
     fields = T.StructType.fromDDL(schema).fields

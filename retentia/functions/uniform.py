@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retentia.functions.columns import column, hashable_columns
+
 NULL_TEXT = "\\N"
 TWO_POW_32 = 4294967296.0
 
@@ -27,12 +29,12 @@ def key_columns(df: DataFrame, key: str | Sequence[str] | None) -> list[Column]:
     if key is None:
         return [row_digest(df)]
     names = [key] if isinstance(key, str) else list(key)
-    return [df[name] for name in names]
+    return [column(name) for name in names]
 
 
 def row_digest(df: DataFrame) -> Column:
     """Text identifying a row by its content; identical rows share it."""
-    columns = [df[name] for name in df.columns]
+    columns = hashable_columns(df)
     return F.concat_ws("-", F.xxhash64(*columns).cast("string"), F.hash(*columns).cast("string"))
 
 

@@ -27,12 +27,12 @@ POISSON_TERMS = 15
 def class_weights(df: DataFrame, labels_column: str) -> KeyTable:
     """Per class: its rows and the weight total / (classes * rows)."""
     classes = KeyTable.of(df, labels_column)
-    return classes.with_values(class_weights=F.lit(float(classes.total)) / (F.lit(classes.rows) * F.col("count")))
+    return classes.with_values(class_weights=F.lit(float(classes.total)) / (F.lit(classes.rows) * F.col(classes.count_col)))
 
 
 def compute_class_weights_column(df: DataFrame, labels_column: str) -> DataFrame:
     """Add ``class_weights``; a null label is a class of its own."""
-    return class_weights(df, labels_column).attach(df, column(labels_column), ["class_weights"])
+    return class_weights(df, labels_column).attach(df.drop("class_weights"), column(labels_column), ["class_weights"])
 
 
 def undersample_random(df: DataFrame, labels_column: str, key: Key = None, seed: int | None = None) -> DataFrame:
@@ -40,10 +40,12 @@ def undersample_random(df: DataFrame, labels_column: str, key: Key = None, seed:
     classes = KeyTable.of(df, labels_column)
     if classes.rows < 2:
         return df
-    classes = classes.with_values(__share=F.lit(float(classes.smallest)) / F.col("count"))
+    classes = classes.with_values(__share=F.lit(float(classes.smallest)) / F.col(classes.count_col))
     draw = keyed_uniform(resolve_seed(seed), column(labels_column), *key_columns(df, key))
     drawn = df.withColumn("__draw", draw)
-    return classes.attach(drawn, column(labels_column), ["__share"]).filter("__draw < __share").drop("__draw", "__share")
+    # As a coalesce the test adds no null check, which would compute the draw twice.
+    kept = F.coalesce(F.col("__draw") < F.col("__share"), F.lit(False))
+    return classes.attach(drawn, column(labels_column), ["__share"]).filter(kept).drop("__draw", "__share")
 
 
 def oversample_random(
@@ -60,13 +62,13 @@ def oversample_random(
     classes = KeyTable.of(df, labels_column)
     if classes.rows < 2:
         return df
-    rate = F.lit(float(classes.largest)) / F.col("count")
+    rate = F.lit(float(classes.largest)) / F.col(classes.count_col)
     whole = F.floor(rate).cast("long")
     classes = classes.with_values(
         __whole=whole,
         __rest=rate - whole,
         __cdf=_poisson_cdf(rate - whole),
-        __largest=F.col("count") == classes.largest,
+        __largest=F.col(classes.count_col) == classes.largest,
     )
     keyed = df.withColumn("__id", F.array(*[c.cast("string") for c in key_columns(df, key)]))
     marked = classes.attach(keyed, column(labels_column), ["__whole", "__rest", "__cdf", "__largest"])
@@ -79,8 +81,7 @@ def oversample_random(
     copies = _copies(mode, resolve_seed(seed), column(labels_column), len(key_columns(df, key)), chunk)
     return (
         marked.withColumn("__copies", F.when(F.col("__largest"), F.lit(1).cast("long")).otherwise(copies))
-        .filter(F.col("__copies") > 0)
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+        .withColumn("__copy", F.explode(F.array_repeat(F.lit(True), F.col("__copies").cast("int"))))
         .select(*[column(name) for name in df.columns])
     )
 

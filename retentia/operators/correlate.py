@@ -17,7 +17,7 @@ from retentia.functions.ordering import running_total
 from retentia.functions.scratch import local_table, materialize
 
 METHODS = ("pearson", "spearman")
-VECTOR = "__vector"
+VECTOR, RANK = "__vector", "__rank"
 MOMENT_COLUMNS = 20
 
 
@@ -51,12 +51,12 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     counts = df.unpivot([], columns, "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
     ranks = running_total(counts, ["column"], [F.col("value").asc()], F.col("count"), "before").select(
-        "column", "value", "count", (F.col("before") + (F.col("count") + 1) / 2).alias("rank")
+        "column", "value", "count", (F.col("before") + (F.col("count") + 1) / 2).alias(RANK)
     )
     ranks = materialize(ranks, "ranks", ["column"])
     for name in columns:
         table = KeyTable(ranks.filter(F.col("column") == name).drop("column"), "value", stored=True)
-        df = table.attach(df, column(name), ["rank"]).drop(name).withColumnRenamed("rank", name)
+        df = table.attach(df, column(name), [RANK]).drop(name).withColumnRenamed(RANK, name)
     return df
 
 

@@ -18,12 +18,13 @@ from retentia.functions.scratch import materialize
 from retentia.operators.profile import column_ranges
 
 INVALID = ("error", "skip", "keep")
+INDEX, VALUE = "__index", "__value"
 Pairs = Sequence[tuple[str, str]]
 
 
 @dataclass(frozen=True)
 class TableIndexer:
-    """Index of a vocabulary too large for the driver: a table ``(value, count, index)``."""
+    """Index of a vocabulary too large for the driver: a table of values, counts and indexes."""
 
     input_col: str
     output_col: str
@@ -33,25 +34,25 @@ class TableIndexer:
 
     def transform(self, df: DataFrame) -> DataFrame:
         text = column(self.input_col).cast("string")
-        indexed = self.table.attach(df, text, ["index"])
+        indexed = self.table.attach(df, text, [INDEX])
         keep = self.handle_invalid == "keep"
         if self.handle_invalid == "skip":
-            indexed = indexed.filter(F.col("index").isNotNull())
+            indexed = indexed.filter(F.col(INDEX).isNotNull())
         fallback = {
             "error": F.raise_error(F.lit(f"null or unseen value in column {self.input_col}")).cast("double"),
             "keep": F.lit(float(self.size)),
             "skip": F.lit(None).cast("double"),
         }[self.handle_invalid]
-        index = F.when(F.col("index").isNull(), fallback).otherwise(F.col("index"))
+        index = F.when(F.col(INDEX).isNull(), fallback).otherwise(F.col(INDEX))
         attribute = {"ml_attr": {"type": "nominal", "name": self.output_col, "num_vals": self.size + keep}}
         return indexed.withColumn(self.output_col, index.alias(self.output_col, metadata=attribute)).select(
             *[column(name) for name in df.columns], column(self.output_col)
         )
 
     def revert(self, df: DataFrame, index_col: str, out: str) -> DataFrame:
-        values = self.table.frame.select(F.col("index"), F.col("value"), F.col("count"))
-        by_index = KeyTable(values, "index")
-        return by_index.attach(df, column(index_col), ["value"]).withColumnRenamed("value", out)
+        values = self.table.frame.select(INDEX, F.col("value").alias(VALUE), "count")
+        by_index = KeyTable(values, INDEX, stored=True)
+        return by_index.attach(df, column(index_col), [VALUE]).withColumnRenamed(VALUE, out)
 
 
 @dataclass(frozen=True)
@@ -129,7 +130,7 @@ def fit_string_index(
             F.lit(1).cast("long"),
             "position",
         )
-        index = F.col("position").cast("double").alias("index")
+        index = F.col("position").cast("double").alias(INDEX)
         ranked = materialize(positions.select("column", "value", "count", index), "index", ["column"])
         by_column = {
             name: KeyTable(ranked.filter(F.col("column") == name).drop("column"), "value", stored=True) for name in large

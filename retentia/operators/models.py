@@ -16,6 +16,7 @@ from retentia.functions.scratch import local_table
 # The model seed, the fold count and the parameter grids.
 SEED = 42
 FOLDS = 5
+DEFAULT_BINS = 32
 GRIDS = {
     "RandomForestClassifier": {
         "numTrees": [10, 20, 30],
@@ -73,10 +74,39 @@ def build_classification_model(
     )
 
 
+def category_counts(df: DataFrame, features_col: str) -> dict[str, int]:
+    """Number of categories of the nominal slots of a feature vector, from its attributes."""
+    attributes = df.schema[features_col].metadata.get("ml_attr", {}).get("attrs", {})
+    return {
+        slot.get("name", str(slot["idx"])): slot.get("num_vals") or len(slot.get("vals", []))
+        for slot in attributes.get("nominal", [])
+    }
+
+
+def check_bins(df: DataFrame, features_col: str, model: str, options: dict) -> None:
+    """Trees need at least as many bins as a feature has categories."""
+    counts = category_counts(df, features_col)
+    if not counts or model not in GRIDS:
+        return
+    name, needed = max(counts.items(), key=lambda item: item[1])
+    grid = dict(GRIDS[model] if options.get("grid") is None else options["grid"])
+    bins = grid.get("maxBins", [options.get("maxBins", DEFAULT_BINS)])
+    enough = [value for value in bins if value >= needed]
+    if not enough:
+        raise ValueError(f"feature {name} has {needed} categories, more than maxBins {max(bins)}")
+    if "maxBins" in grid:
+        options["grid"] = grid | {"maxBins": enough}
+
+
 def train_classification_model(
     train: DataFrame, label_col: str, features_col: str, weight_col: str | None, model: str, **options
 ):
-    """The best model by cross-validation, refitted on all of ``train``."""
+    """The best model by cross-validation, refitted on all of ``train``.
+
+    Values of ``maxBins`` too small for the categories in the features are left out of
+    the grid; if none is left, that is an error before anything is fitted.
+    """
+    check_bins(train, features_col, model, options)
     needed = [label_col, features_col] + ([weight_col] if weight_col else [])
     validator = build_classification_model(label_col, features_col, weight_col, model, **options)
     return validator.fit(train.select(*[column(name) for name in needed])).bestModel

@@ -40,6 +40,7 @@ HASH_TABLES = 3
 ID, POINT, SCORE, FLOOR = "__id", "__point", "__score", "__floor"
 SLACK = 1e-9
 MARGIN = 8
+BOUNDS = 1_024
 
 
 @dataclass(frozen=True)
@@ -79,12 +80,12 @@ def undersample_nearmiss_v2(
     classes = KeyTable.of(df.filter(column(labels_column).isNotNull()), labels_column)
     if classes.rows < 2:
         return df.drop("__row")
-    smallest = classes.frame.orderBy("count", column(labels_column)).first()
+    smallest = classes.frame.orderBy(classes.count_col, column(labels_column)).first()
     is_minority = column(labels_column) == F.lit(smallest[0])
     points = df.withColumns({ID: column(key), POINT: as_double_array(df, features_column)})
     minority = points.filter(is_minority)
     majority = points.filter(~F.coalesce(is_minority, F.lit(False)))
-    size = smallest["count"]
+    size = smallest[classes.count_col]
     if approx:
         scored = _shared_bucket_scores(majority, minority, classes.total - size, k, seed, sizes)
         chosen = _keys_of(smallest_rows(scored, [SCORE, ID], size, sizes.one_task_rows))
@@ -236,7 +237,9 @@ def _tiled_scores(
     chunks = F.lit(max(1, math.ceil(count / sizes.tile(width))))
     # No row of a block is farther than reach + block bound; later blocks only get closer.
     needed = F.col(FLOOR) - F.col("__reach") - SLACK * (1 + F.col(FLOOR) + F.col("__reach"))
-    reachable = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda bound: bound >= needed))
+    step = math.ceil(len(bounds) / BOUNDS)
+    steps = F.size(F.filter(F.array(*[F.lit(bound) for bound in bounds[::step]]), lambda bound: bound >= needed))
+    reachable = F.least(steps * step, F.lit(len(bounds)))
     left = rows.select(
         F.explode(F.sequence(F.lit(0), reachable - 1)).alias("cell"), ID, POINT, (F.col(FLOOR) * (1 - SLACK)).alias(FLOOR)
     )

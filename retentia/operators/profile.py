@@ -125,7 +125,7 @@ def _number(value: object) -> float | None:
 def show_summary_labels(df: DataFrame, labels_col: str) -> DataFrame:
     """Rows of every class and their share of all rows."""
     classes = KeyTable.of(df, labels_col)
-    return classes.frame.withColumn("share", F.col("count") / F.lit(classes.total))
+    return classes.frame.withColumn("share", F.col(classes.count_col) / F.lit(classes.total))
 
 
 def aggregate_by_name(df: DataFrame, wanted: dict[str, str]) -> DataFrame:

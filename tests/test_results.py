@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retentia.functions import keytable, scratch
-from retentia.operators import correlate, evaluate, models, recommend
+from retentia.operators import correlate, encode, evaluate, models, recommend
 from retentia.sources import tables
 
 
@@ -130,6 +130,32 @@ def test_model_round_trip_and_importances(spark):
     assert models.best_parameters(loaded, ["maxDepth"], spark).first().value == "5"
 
 
+def test_bins_must_hold_the_categories(spark):
+    rows = [(float(n % 2), float(n % 40), float(n)) for n in range(400)]
+    df = spark.createDataFrame(rows, "y double, c double, x double")
+    vector = VectorAssembler(inputCols=["c", "x"], outputCol="v").transform(df)
+    indexed, _ = encode.vector_index_column(vector, "v", "f", 50)
+    assert models.category_counts(indexed, "f") == {"c": 40}
+    options = {"grid": {"maxBins": [32, 64], "maxDepth": [2]}}
+    models.check_bins(indexed, "f", "RandomForestClassifier", options)
+    assert options["grid"] == {"maxBins": [64], "maxDepth": [2]}
+    with pytest.raises(ValueError, match="40 categories"):
+        models.train_classification_model(indexed, "y", "f", None, "RandomForestClassifier", grid={"maxDepth": [2]})
+
+
+def test_local_tables_and_release(spark):
+    empty = scratch.local_table(spark, [], "a int, b string")
+    assert empty.dtypes == [("a", "int"), ("b", "string")] and empty.count() == 0
+    stored = scratch.materialize(spark.range(3))
+    assert stored.count() == 3
+    mine = list(scratch._written)
+    scratch._written[:] = mine[-1:]
+    scratch.release(spark)
+    scratch._written[:] = mine[:-1]
+    with pytest.raises(Exception):
+        spark.read.parquet(mine[-1]).count()
+
+
 SCHEMA = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
 
 

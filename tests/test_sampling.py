@@ -49,6 +49,18 @@ def test_weights(classes):
     assert weighted.agg(F.sum("class_weights")).first()[0] == pytest.approx(100)
 
 
+def test_awkward_columns(spark):
+    """A label named like an internal column, a map, and a dotted name, without key."""
+    df = spark.range(60).select(
+        (F.col("id") % 3 == 0).alias("count"), F.create_map(F.lit("a"), "id").alias("m"), F.col("id").alias("a.b")
+    )
+    train, test = split.random_split(df, 0.5, 1)
+    assert train.count() + test.count() == 60
+    weights = {row["count"]: row.class_weights for row in balance.compute_class_weights_column(df, "count").collect()}
+    assert weights == {True: 1.5, False: 0.75}
+    assert balance.undersample_random(df, "count", seed=1).columns == ["count", "m", "a.b"]
+
+
 def test_undersample(classes):
     kept = balance.undersample_random(classes, "y", "k", 5)
     counts = {row.y: row["count"] for row in kept.groupBy("y").count().collect()}
