@@ -4,7 +4,7 @@ A majority row's score is the mean distance to its k farthest minority rows; the
 rows with the smallest scores stay, as many as the minority has. The exact answer
 is found without forming pairs as rows:
 
-* A minority that fits a size-checked broadcast is scored against in one pass.
+* A small minority is broadcast, its size checked, and scored against in one pass.
 * Otherwise a bounded set of outlying minority rows gives every majority row a
   lower bound on its score in one pass. The rows with the lowest bounds are scored
   exactly, the worst of those scores limits the rest, and only rows whose bound is
@@ -20,10 +20,12 @@ differences.
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -34,6 +36,9 @@ from retentia.functions.keytable import KeyTable
 from retentia.functions.ordering import ONE_TASK_ROWS, running_total, smallest_rows
 from retentia.functions.scratch import materialize
 
+# Workers get the kernels with the task, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values of the approximate mode.
 HASH_TABLES = 3
 
@@ -47,6 +52,7 @@ BOUNDS = 1_024
 class Sizes:
     """Bounds on what one task or the driver holds."""
 
+    one_pass_rows: int = 4_096
     broadcast_bytes: int = 32 << 20
     pivots: int = 512
     tile_rows: int = 16_384
@@ -99,7 +105,7 @@ def undersample_nearmiss_v2(
 def _closest(majority: DataFrame, minority: DataFrame, size: int, others: int, k: int, sizes: Sizes) -> DataFrame:
     center = _center(minority)
     width = len(center)
-    if size * width * 8 <= sizes.broadcast_bytes:
+    if size <= sizes.one_pass_rows and size * width * 8 <= sizes.broadcast_bytes:
         scores = _pivot_scores(minority, center, k)(F.col(POINT))
         if size <= sizes.one_task_rows:
             scored = majority.withColumn(SCORE, scores["mean"])

@@ -1,7 +1,10 @@
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Window
@@ -88,3 +91,10 @@ def test_farthest_far_from_the_origin():
     exact = np.sqrt(((left[:, None, :] - right[None, :, :]) ** 2).sum(axis=2))
     assert np.allclose(distances, -np.sort(-exact, axis=1)[:, :4])
     assert np.allclose(np.take_along_axis(exact, positions, axis=1), distances)
+
+
+def test_kernels_travel_without_the_package(tmp_path):
+    code = "import pickle, sys, numpy as np; f = pickle.load(open(sys.argv[1], 'rb')); print(f(np.zeros((1, 2)), np.ones((3, 2)), 2)[0].shape)"
+    (tmp_path / "kernel").write_bytes(cloudpickle.dumps(farthest))
+    done = subprocess.run([sys.executable, "-c", code, "kernel"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": ""})
+    assert done.stdout.strip() == "(1, 2)", done.stderr
