@@ -10,7 +10,7 @@ SCORES_SQL = """s AS (SELECT user_id, event_type, round(sum(value), 2) AS score
 
 
 def user_arrays(spark, folder, item="event_type"):
-    """Per user, the total value of each event type."""
+    """Per user, the total value of each event type: an array of at most one element per type."""
     totals = (
         table(spark, folder, "events").groupBy("user_id", item).agg(F.round(F.sum("value"), 2).alias("score"))
     )

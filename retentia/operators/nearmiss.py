@@ -314,7 +314,7 @@ def _exact_distances(points: np.ndarray, others: np.ndarray, positions: np.ndarr
 
 
 def _scores(tiles: DataFrame, k: int) -> DataFrame:
-    """Merge the tiles of each row: mean of the k largest distances to different rows."""
+    """Mean of the k largest distances of each row to different rows; a tile gives at most k."""
     merged = tiles.groupBy(ID).agg(F.flatten(F.collect_list("far")).alias("far"))
     top = F.slice(F.sort_array(F.array_distinct("far"), asc=False), 1, k)
     total = F.aggregate(top, F.lit(0.0), lambda sum_, pair: sum_ + pair["distance"])

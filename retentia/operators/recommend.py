@@ -9,7 +9,9 @@ from retentia.functions.columns import column
 from retentia.functions.keytable import KeyTable
 from retentia.functions.scratch import local_table, materialize
 
-ROW = "__row"
+ROW, USER = "__row", "__user"
+GROUP_LIMIT = 1_000
+SLICES = 64
 
 
 def element_fields(df: DataFrame, recommendations_col: str) -> tuple[str, str]:
@@ -49,24 +51,30 @@ def top_recommendations_by_user(
     ``top_n`` rows before the shuffle, so a user with very many rows stays small.
     """
     item, score = element_fields(df, recommendations_col)
-    exploded = df.select(column(user_col), F.posexplode_outer(column(recommendations_col)).alias("at", "rec"))
-    ranked = exploded.select(
-        column(user_col), "at", F.col("rec")[item].cast("string").alias("item"), (-F.col("rec")[score].cast("double")).alias("down")
-    ).withColumn(
-        "place",
-        F.row_number().over(
-            Window.partitionBy(column(user_col)).orderBy(F.asc_nulls_last("down"), F.asc_nulls_last("at"), "item")
-        ),
+    exploded = df.select(column(user_col).alias(USER), F.posexplode_outer(column(recommendations_col)).alias("at", "rec"))
+    scored = exploded.select(
+        USER, "at", F.col("rec")[item].cast("string").alias("item"), (-F.col("rec")[score].cast("double")).alias("down")
     )
+    if top_n > GROUP_LIMIT:
+        # Spark does not cut groups this wide before the shuffle: cut slices of a user first.
+        slice_ = F.pmod(F.xxhash64("at", "item", "down") + F.spark_partition_id(), F.lit(SLICES))
+        scored = _best(scored.withColumn("slice", slice_), [USER, "slice"], top_n).drop("slice")
     kept = F.when(F.col("at").isNotNull(), F.struct("place", "item"))
     return (
-        ranked.filter(F.col("place") <= top_n)
-        .groupBy(column(user_col))
+        _best(scored, [USER], top_n)
+        .groupBy(F.col(USER).alias(user_col))
         .agg(F.sort_array(F.collect_list(kept)).alias("kept"))
         .select(column(user_col), F.transform("kept", lambda rec: rec["item"]).alias("top_recommendations"))
     )
 
 
+def _best(scored: DataFrame, groups: list[str], top_n: int) -> DataFrame:
+    """The ``top_n`` best rows of each group with their ``place``."""
+    order = [F.asc_nulls_last("down"), F.asc_nulls_last("at"), F.col("item")]
+    place = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    return scored.withColumn("place", place).filter(F.col("place") <= top_n)
+
+
 def get_user_top_recommendations(
     df: DataFrame, user: object, user_col: str, top_n: int, recommendations_col: str = "recommendations"
 ) -> DataFrame:

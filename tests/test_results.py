@@ -86,6 +86,18 @@ def test_top_by_user(users):
     assert recommend.get_user_top_recommendations(users, "nobody", "user", 3).count() == 0
 
 
+def test_wide_top(users, monkeypatch):
+    narrow = sorted(map(tuple, recommend.top_recommendations_by_user(users, "user", 2).collect()))
+    monkeypatch.setattr(recommend, "GROUP_LIMIT", 1)
+    assert sorted(map(tuple, recommend.top_recommendations_by_user(users, "user", 2).collect())) == narrow
+
+
+def test_groups_are_cut_before_the_shuffle(spark):
+    rows = spark.range(10).select((F.col("id") % 3).alias("id"), F.array(F.struct(F.lit("a").alias("item"), F.lit(1.0).alias("score"))).alias("recommendations"))
+    plan = recommend.top_recommendations_by_user(rows, "id", 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+
+
 def test_items_by_index(spark):
     df = spark.createDataFrame(
         [("u", [(1, 0.5), (0, 0.25), (1, 0.5)]), ("u", [(1, 0.5), (0, 0.25), (1, 0.5)]), ("v", []), ("w", None)],
