@@ -81,8 +81,10 @@ class KeyTable:
         hot = table.filter(is_hot).select(
             F.col(KEY).alias(HOT_COL), F.struct(*[column(v) for v in values]).alias("__hot_values")
         )
+        # Always 0, but read from the data: a literal would be folded out of the join's keys.
+        zero = F.least(F.col(self.count_col).cast("long"), F.lit(0).cast("long"))
         cold = table.filter(~is_hot).select(
-            F.col(KEY), F.lit(0).cast("long").alias(SPREAD_COL), F.struct(*[column(v) for v in values]).alias("__cold_values")
+            F.col(KEY), zero.alias(SPREAD_COL), F.struct(*[column(v) for v in values]).alias("__cold_values")
         )
         # Rows of hot keys found their values in the broadcast; the shuffle spreads them by content.
         spread = F.pmod(F.xxhash64(*hashable_columns(df)) + F.spark_partition_id(), F.lit(SPREAD)) + 1

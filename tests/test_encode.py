@@ -81,6 +81,23 @@ def test_skewed_lookup(spark, monkeypatch):
     assert found == {"hot": 400, "nowhere": None}
 
 
+def test_hot_rows_spread_over_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(keytable, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(keytable, "HOT_KEYS", 10)
+    df = spark.range(8000).select("id", F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"))
+    table = keytable.KeyTable.of(df, "key")
+    before = {name: spark.conf.get(name) for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        joined = table.with_values(n=F.col("count") + 0).attach(df, F.col("key"), ["n"])
+        sizes = [row["count"] for row in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(sizes) == 8000 and max(sizes) < 2000
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="abcNé ", max_size=3), min_size=1, max_size=20))
 def test_index_then_revert_is_identity(spark, words):
