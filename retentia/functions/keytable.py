@@ -4,6 +4,8 @@ Labels, categories and item ids are usually few, and then a broadcast join is
 right. Nothing guarantees it, so the table is measured first. A table that is too
 large is joined by shuffle, with the keys that hold many rows handled separately:
 they number at most ``HOT_KEYS`` because each holds at least that share of rows.
+Entries with more text than ``HOT_ROW_BYTES`` are not broadcast; for those the
+adaptive skew join remains.
 """
 
 from __future__ import annotations
@@ -87,7 +89,7 @@ class KeyTable:
             F.col(KEY), zero.alias(SPREAD_COL), F.struct(*[column(v) for v in values]).alias("__cold_values")
         )
         # Rows of hot keys found their values in the broadcast; the shuffle spreads them by content.
-        spread = F.pmod(F.xxhash64(*hashable_columns(df)) + F.spark_partition_id(), F.lit(SPREAD)) + 1
+        spread = F.pmod(F.xxhash64(*hashable_columns(df), F.spark_partition_id()), F.lit(SPREAD)) + 1
         marked = (
             df.withColumn("__on", on)
             .join(F.broadcast(hot), F.col("__on").eqNullSafe(hot[HOT_COL]), "left")

@@ -24,8 +24,18 @@ def class_metrics(confusion: DataFrame) -> DataFrame:
     """Support, precision, recall and f1 of every class, from a confusion matrix."""
     known = confusion.filter(F.col("label").isNotNull() & F.col("prediction").isNotNull())
     hit = F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(0)
-    as_label = F.struct(F.col("label").cast("double").alias("class"), F.col("count").alias("support"), hit.alias("hits"), F.lit(0).cast("long").alias("predicted"))
-    as_prediction = F.struct(F.col("prediction").cast("double").alias("class"), F.lit(0).cast("long").alias("support"), F.lit(0).cast("long").alias("hits"), F.col("count").alias("predicted"))
+    none = F.lit(0).cast("long")
+
+    def counted(name: str, support: Column, hits: Column, predicted: Column) -> Column:
+        return F.struct(
+            F.col(name).cast("double").alias("class"),
+            support.alias("support"),
+            hits.alias("hits"),
+            predicted.alias("predicted"),
+        )
+
+    as_label = counted("label", F.col("count"), hit, none)
+    as_prediction = counted("prediction", none, none, F.col("count"))
     sums = (
         known.select(F.inline(F.array(as_label, as_prediction)))
         .groupBy("class")
@@ -77,7 +87,8 @@ def importance_groups(df: DataFrame, features_col: str, feature_cols: list[str])
     """Slots per assembled input column, by matching slot names to column names."""
     groups = dict.fromkeys(feature_cols, 0)
     for slot in slot_names(df, features_col):
-        owner = slot if slot in groups else max((name for name in feature_cols if slot.startswith(name + "_")), key=len, default=None)
+        prefixes = [name for name in feature_cols if slot.startswith(f"{name}_")]
+        owner = slot if slot in groups else max(prefixes, key=len, default=None)
         if owner is None:
             raise ValueError(f"slot {slot} belongs to none of the features")
         groups[owner] += 1

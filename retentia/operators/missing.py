@@ -71,12 +71,12 @@ def show_summary_nulls(df: DataFrame) -> DataFrame:
 
 def missing_any(df: DataFrame) -> DataFrame:
     """One row: for every column, the rows with any kind of missing value in it."""
-    return df.agg(
-        *[
-            F.count_if(reduce(lambda left, right: left | right, [F.coalesce(test, F.lit(False)) for _, test in missing_kinds(field)])).alias(field.name)
-            for field in df.schema.fields
-        ]
-    )
+
+    def any_kind(field: T.StructField) -> Column:
+        tests = [F.coalesce(test, F.lit(False)) for _, test in missing_kinds(field)]
+        return reduce(lambda left, right: left | right, tests)
+
+    return df.agg(*[F.count_if(any_kind(field)).alias(field.name) for field in df.schema.fields])
 
 
 def get_null_counts(df: DataFrame, with_percentages: bool = False) -> DataFrame:

@@ -188,7 +188,10 @@ def farthest(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, n
     for start in range(0, len(left), step):
         part = left[start : start + step]
         closeness = 2 * part @ right.T - right_squares
-        near = np.argpartition(closeness, wide - 1, axis=1)[:, :wide] if wide < len(right) else np.broadcast_to(np.arange(wide), (len(part), wide))
+        if wide < len(right):
+            near = np.argpartition(closeness, wide - 1, axis=1)[:, :wide]
+        else:
+            near = np.broadcast_to(np.arange(wide), (len(part), wide))
         exact = np.sqrt(((right[near] - part[:, None, :]) ** 2).sum(axis=2))
         order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
         distances[start : start + step] = np.take_along_axis(exact, order, axis=1)

@@ -57,7 +57,7 @@ def top_recommendations_by_user(
     )
     if top_n > GROUP_LIMIT:
         # Spark does not cut groups this wide before the shuffle: cut slices of a user first.
-        slice_ = F.pmod(F.xxhash64("at", "item", "down") + F.spark_partition_id(), F.lit(SLICES))
+        slice_ = F.pmod(F.xxhash64("at", "item", "down", F.spark_partition_id()), F.lit(SLICES))
         scored = _best(scored.withColumn("slice", slice_), [USER, "slice"], top_n).drop("slice")
     kept = F.when(F.col("at").isNotNull(), F.struct("place", "item"))
     return (
