@@ -42,7 +42,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Fixed values of the approximate mode.
 HASH_TABLES = 3
 
-ID, POINT, SCORE, FLOOR = "__id", "__point", "__score", "__floor"
+ID, POINT, SCORE, FLOOR, COPY = "__id", "__point", "__score", "__floor", "__copy"
 SLACK = 1e-9
 MARGIN = 8
 BOUNDS = 1_024
@@ -134,6 +134,8 @@ def _closest(majority: DataFrame, minority: DataFrame, size: int, others: int, k
     rest = materialize(
         bounded.filter((F.col(SCORE) > limit * (1 - SLACK)) & (F.col(SCORE) <= worst * (1 + SLACK))), "rest"
     )
+    if rest.isEmpty():
+        return _rows_of(likely, _cut(likely_scores, size, sizes)[1], size, sizes)
     rest_scores = _tiled_scores(rest, blocks, bounds, k, width, sizes)
     all_scores = likely_scores.unionByName(rest_scores).groupBy(ID).agg(F.min(SCORE).alias(SCORE))
     chosen = _cut(materialize(all_scores, "scores"), size, sizes)[1]
@@ -241,19 +243,37 @@ def _minority_blocks(minority: DataFrame, center: np.ndarray, tile_rows: int) ->
 def _tiled_scores(
     rows: DataFrame, blocks: DataFrame, bounds: list[float], k: int, width: int, sizes: Sizes
 ) -> DataFrame:
-    """Exact scores ``(id, score)`` of bounded rows against all minority blocks."""
-    count = rows.count()
-    chunks = F.lit(max(1, math.ceil(count / sizes.tile(width))))
+    """Exact scores ``(id, score)`` of bounded rows against all minority blocks.
+
+    Copies of a point are scored once, so a point that fills a third of the rows costs
+    no more than any other.
+    """
+    marked = rows.withColumn(COPY, F.unhex(F.sha2(F.col(POINT).cast("string"), 256)))
+    distinct = materialize(
+        marked.groupBy(COPY).agg(
+            F.any_value(POINT).alias(POINT),
+            F.min(FLOOR).alias(FLOOR),
+            F.max("__reach").alias("__reach"),
+            F.count(F.lit(1)).alias("count"),
+        ),
+        "points",
+    )
+    chunks = F.lit(max(1, math.ceil(distinct.count() / sizes.tile(width))))
     # No row of a block is farther than reach + block bound; later blocks only get closer.
     needed = F.col(FLOOR) - F.col("__reach") - SLACK * (1 + F.col(FLOOR) + F.col("__reach"))
     step = math.ceil(len(bounds) / BOUNDS)
     steps = F.size(F.filter(F.array(*[F.lit(bound) for bound in bounds[::step]]), lambda bound: bound >= needed))
     reachable = F.least(steps * step, F.lit(len(bounds)))
-    left = rows.select(
-        F.explode(F.sequence(F.lit(0), reachable - 1)).alias("cell"), ID, POINT, (F.col(FLOOR) * (1 - SLACK)).alias(FLOOR)
+    left = distinct.select(
+        F.explode(F.sequence(F.lit(0), reachable - 1)).alias("cell"),
+        F.col(COPY).alias(ID),
+        POINT,
+        (F.col(FLOOR) * (1 - SLACK)).alias(FLOOR),
     )
     right = blocks.select(F.col("block").alias("cell"), F.col(ID).alias("__other"), POINT)
-    return _scores(_tiles(left, right, chunks, F.lit(1), k), k)
+    scored = _scores(_tiles(left, right, chunks, F.lit(1), k), k).withColumnRenamed(ID, COPY)
+    table = KeyTable(scored.join(distinct.select(COPY, "count"), COPY), COPY)
+    return table.attach(marked.select(ID, COPY), F.col(COPY), [SCORE]).select(ID, SCORE)
 
 
 def _tiles(left: DataFrame, right: DataFrame, left_chunks: Column, right_chunks: Column, k: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from retentia.functions import keytable
 from retentia.operators.nearmiss import HASH_TABLES, Sizes, farthest, undersample_nearmiss_v2
 
 TINY = Sizes(broadcast_bytes=0, pivots=4, tile_rows=8, one_task_rows=4)
@@ -53,6 +54,15 @@ def test_ties_and_k_beyond_the_minority(spark):
         assert {row.k for row in kept.collect()} == brute(rows, 20, 1)
 
 
+def test_one_point_in_a_third_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(keytable, "BROADCAST_ROWS", 4)
+    rows, _ = points(spark, 90, 12, 3)
+    rows = [(key, [0.5, 0.5, 0.5] if y != 1 and key % 3 == 0 else f, y) for key, f, y in rows]
+    df = spark.createDataFrame(rows, "k long, f array<double>, y int")
+    kept = undersample_nearmiss_v2(df, "f", "y", 4, key="k", sizes=TINY)
+    assert {row.k for row in kept.collect()} == brute(rows, 4, 1)
+
+
 def test_vectors_without_key(spark):
     rows, df = points(spark, 40, 8)
     vectors = df.select(array_to_vector("f").alias("features"), "y")
