@@ -2,37 +2,29 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-_own_root: str | None = None
 _written: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only for an unset local session."""
-    global _own_root
+    """Folder named by ``spark.checkpoint.dir``; where that is unset, the session's warehouse folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    if _own_root is None:
-        _own_root = tempfile.mkdtemp(prefix="retentia-")
-        atexit.register(shutil.rmtree, _own_root, ignore_errors=True)
-    return _own_root
+    return (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/retentia/{name}-{uuid.uuid4().hex}"
+    """A new path below the scratch root; ``release`` deletes what was written there."""
+    path = f"{scratch_root(spark)}/retentia/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str = "table", partition_by: Sequence[str] = ()) -> DataFrame:
@@ -43,18 +35,27 @@ def materialize(df: DataFrame, name: str = "table", partition_by: Sequence[str]
     """
     path = scratch_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables this process has written; results that read them end with them."""
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Delete all but the first ``keep`` paths this process took; results that read them end with them."""
     configuration = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
+    while len(_written) > keep:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(configuration).delete(path, True)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, on leaving, whatever was written inside; write or collect results before that."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
 def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A few rows as a table that plans as a literal, without Python workers."""
     fields = T.StructType.fromDDL(schema).fields
