@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from retentia.functions.scratch import scratch_path
+from retentia.llm.records import read_index, read_records, write_records
+from retentia.llm.token_counts import count_tokens
 from retentia.llm.transducer import digests, encode_decode
 
 QUERIES: dict = {}
@@ -28,7 +32,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op7_framed_records")
+def op7_framed_records(spark, folder):
+    documents, path = table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE)
+    files = write_records(documents, "doc_id", "text", path, scratch_path(spark, "records"))
+    records = read_records(read_index(files, "long"), path, "long")
+    return records.select(
+        F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
 @query("op8_bpe_transducer")
 def op8_bpe_transducer(spark, folder):
     documents = table(spark, folder, "documents")
     return digests(encode_decode(documents, "doc_id", "text", public_tokenizers.path(BYTE_BPE)))
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark, folder):
+    documents = table(spark, folder, "documents")
+    return count_tokens(documents, "doc_id", "text", public_tokenizers.path(BYTE_BPE), 512)
