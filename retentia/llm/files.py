@@ -11,6 +11,8 @@ import uuid
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _at(uri: str) -> tuple[fs.FileSystem, str]:
@@ -24,9 +26,17 @@ def new_name(folder: str, stem: str, suffix: str) -> str:
 def open_to_write(uri: str) -> pa.NativeFile:
     system, path = _at(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def open_to_read(uri: str) -> pa.NativeFile:
     system, path = _at(uri)
     return system.open_input_file(path)
+
+
+def spread(files: DataFrame, key: str = "file") -> DataFrame:
+    """One partition per file, or about: rows that name files are small, but each is much work.
+
+    A number of partitions that is asked for is kept; otherwise small rows would share one task.
+    """
+    return files.repartition(max(1, files.select(key).distinct().count()), F.col(key))

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.functions.scratch import scratch_path
+from retentia.llm.arc import archive_pages
 from retentia.llm.records import read_index, read_records, write_records
+from retentia.llm.simhash import near_duplicates
 from retentia.llm.token_counts import count_tokens
 from retentia.llm.transducer import digests, encode_decode
 
@@ -32,6 +34,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_arc_to_warc")
+def op1_arc_to_warc(spark, folder):
+    read = archive_pages(table(spark, folder, "pages"), "page_id", "url", "html", scratch_path(spark, "archives"), least_bytes=0)
+    return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_simhash")
+def op3_simhash(spark, folder):
+    return near_duplicates(table(spark, folder, "documents"), "doc_id", "text", words=4, reach=4)
+
+
 @query("op7_framed_records")
 def op7_framed_records(spark, folder):
     documents, path = table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE)
