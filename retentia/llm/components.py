@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,37 @@ from retentia.functions.keytable import KeyTable
 from retentia.functions.scratch import materialize
 
 
+HELD_PAIRS = 1 << 20
+
+
+class Links:
+    """Links found so far among the points of one task, as labels: each point knows the smallest point of its component."""
+
+    def __init__(self, n: int):
+        self.label, self._held, self._count = np.arange(n), [], 0
+
+    def add(self, left: np.ndarray, right: np.ndarray) -> None:
+        self._held.append((left, right))
+        self._count += len(left)
+        if self._count > HELD_PAIRS:
+            self.settle()
+
+    def settle(self) -> np.ndarray:
+        if self._held:
+            left, right = map(np.concatenate, zip(*self._held))
+            self._held, self._count = [], 0
+            while True:
+                a, b = self.label[left], self.label[right]
+                apart = a != b
+                if not apart.any():
+                    break
+                left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+                np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
+                while (self.label[self.label] != self.label).any():
+                    self.label = self.label[self.label]
+        return self.label
+
+
 def _smallest(edges: DataFrame, at: str, value: Column) -> KeyTable:
     """For each node, its smallest ``value`` over the given edges; partial minima are taken before the shuffle."""
     return KeyTable(edges.groupBy(F.col(at).alias("node")).agg(F.min(value).alias("least"), F.count(F.lit(1)).alias("count")), "node")

@@ -10,6 +10,7 @@ from retentia.functions.scratch import scratch_path
 from retentia.llm.arc import archive_pages
 from retentia.llm.records import read_index, read_records, write_records
 from retentia.llm.simhash import near_duplicates
+from retentia.llm.spherical import near_duplicates as near_vectors
 from retentia.llm.token_counts import count_tokens
 from retentia.llm.transducer import digests, encode_decode
 
@@ -40,6 +41,11 @@ def op1_arc_to_warc(spark, folder):
     return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op2_spherical_cells")
+def op2_spherical_cells(spark, folder):
+    return near_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding", "label", threshold=0.98)
+
+
 @query("op3_simhash")
 def op3_simhash(spark, folder):
     return near_duplicates(table(spark, folder, "documents"), "doc_id", "text", words=4, reach=4)

@@ -26,14 +26,13 @@ from pyspark.sql import functions as F
 from retentia.functions.columns import column
 from retentia.functions.keytable import KeyTable
 from retentia.functions.scratch import materialize
-from retentia.llm.components import components
+from retentia.llm.components import Links, components
 
 SEED = 42
 SAMPLE = 1 << 14
 SHARD_POINTS = 1 << 14
 VISITORS = 1 << 19
 BLOCK_PAIRS = 1 << 18
-HELD_PAIRS = 1 << 20
 _BIT_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _PLACE = np.arange(8, dtype=np.int64) * 256
 
@@ -113,35 +112,7 @@ def deal(points: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int, re
     return node - ((1 << depth) - 1), at, home
 
 
-class _Links:
-    """Links found so far in a shard, kept as labels: every point knows a smaller one of its component."""
-
-    def __init__(self, n: int):
-        self.label, self._held, self._count = np.arange(n), [], 0
-
-    def add(self, left: np.ndarray, right: np.ndarray) -> None:
-        self._held.append((left, right))
-        self._count += len(left)
-        if self._count > HELD_PAIRS:
-            self.settle()
-
-    def settle(self) -> np.ndarray:
-        if self._held:
-            left, right = map(np.concatenate, zip(*self._held))
-            self._held, self._count = [], 0
-            while True:
-                a, b = self.label[left], self.label[right]
-                apart = a != b
-                if not apart.any():
-                    break
-                left, right, a, b = left[apart], right[apart], a[apart], b[apart]
-                np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
-                while (self.label[self.label] != self.label).any():
-                    self.label = self.label[self.label]
-        return self.label
-
-
-def _compare(points: np.ndarray, left: np.ndarray, right: np.ndarray, reach: int, links: _Links) -> None:
+def _compare(points: np.ndarray, left: np.ndarray, right: np.ndarray, reach: int, links: Links) -> None:
     """Link all pairs of ``left`` and ``right`` (indexes) within reach, block by block."""
     step = max(1, BLOCK_PAIRS // max(1, len(right)))
     others = points[right]
@@ -152,7 +123,7 @@ def _compare(points: np.ndarray, left: np.ndarray, right: np.ndarray, reach: int
             links.add(left[at + i], right[j])
 
 
-def _across(points: np.ndarray, visitors: np.ndarray, members: np.ndarray, reach: int, links: _Links) -> None:
+def _across(points: np.ndarray, visitors: np.ndarray, members: np.ndarray, reach: int, links: Links) -> None:
     """Link visitors with members through a vantage-point tree over the members."""
     pending = [(visitors, members)]
     while pending:
@@ -171,7 +142,7 @@ def _across(points: np.ndarray, visitors: np.ndarray, members: np.ndarray, reach
         pending.append((visitors[e + reach > radius], members[d > radius]))
 
 
-def _within(points: np.ndarray, members: np.ndarray, reach: int, links: _Links) -> None:
+def _within(points: np.ndarray, members: np.ndarray, reach: int, links: Links) -> None:
     """Link all pairs of members."""
     pending = [members]
     while pending:
@@ -217,7 +188,7 @@ def links(points: DataFrame, reach: int, shard_points: int = SHARD_POINTS, sampl
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
         values, home = table.column("fingerprint").to_numpy(), table.column("home").to_numpy()
-        bits, found = values.view(np.uint64), _Links(len(values))
+        bits, found = values.view(np.uint64), Links(len(values))
         members = np.flatnonzero(home)
         if key[1].as_py() == 0:
             _within(bits, members, reach, found)
