@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from retentia.functions.scratch import scratch_path
 from retentia.llm.arc import archive_pages
+from retentia.llm.dimension_scan import nearest
+from retentia.llm.hilbert import shard_rows
+from retentia.llm.language import identify
+from retentia.llm.mixing import mix, word_count
 from retentia.llm.records import read_index, read_records, write_records
 from retentia.llm.simhash import near_duplicates
 from retentia.llm.spherical import near_duplicates as near_vectors
@@ -51,6 +55,33 @@ def op3_simhash(spark, folder):
     return near_duplicates(table(spark, folder, "documents"), "doc_id", "text", words=4, reach=4)
 
 
+@query("op4_hilbert_shards")
+def op4_hilbert_shards(spark, folder):
+    documents = table(spark, folder, "documents")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    sharded = shard_rows(documents.withColumn("size", size), "doc_id", ["lang", "source", "size"], shards=16)
+    return sharded.select(
+        "doc_id",
+        "size",
+        F.crc32("text").alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op5_dimension_scan")
+def op5_dimension_scan(spark, folder):
+    found = nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("key") % 20 == 0, k=20)
+    return found.select("query_id", "rank", F.col("neighbour_id").alias("vec_id"), "score")
+
+
+@query("op6_language_filters")
+def op6_language_filters(spark, folder):
+    return identify(table(spark, folder, "documents"), "doc_id", "text", "lang", folds=5)
+
+
 @query("op7_framed_records")
 def op7_framed_records(spark, folder):
     documents, path = table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE)
@@ -71,3 +102,11 @@ def op8_bpe_transducer(spark, folder):
 def op9_token_counts(spark, folder):
     documents = table(spark, folder, "documents")
     return count_tokens(documents, "doc_id", "text", public_tokenizers.path(BYTE_BPE), 512)
+
+
+@query("op10_flow_mix")
+def op10_flow_mix(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "source", "text")
+    sized = documents.select("doc_id", "source", word_count("text").alias("words"))
+    mixed = mix(sized, "doc_id", F.col("words"), F.array("source"))
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
