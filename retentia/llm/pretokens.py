@@ -6,19 +6,37 @@ order, and a pre-token is worth encoding only once.
 
 from __future__ import annotations
 
+import gc
 import json
+import os
+import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
+# Spark runs as many tasks as there are cores; threads of the library's own would only take memory.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 # The pre-token pattern of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 BLOCK_CHARS = 1 << 16
-MEMO_PIECES = 1 << 19
-_FAST = regex.compile(PATTERN)
+STRETCH_BYTES = 1 << 18
+MEMO_PIECES = 3 << 16
+LONG_PIECE = 64
+_FULL = regex.compile(PATTERN)
+# The same pattern for texts below U+0250, where the classes are short enough to spell out; ``re`` is faster.
+_LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
+_LATIN = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+)
+_NOT_LATIN = re.compile("[ɐ-\U0010ffff]")
 _BREAK = regex.compile(r"\S(?=\s)")
 _HIGH = regex.compile("[Ԁ-\U0010ffff]")
 
@@ -54,6 +72,7 @@ class TokenizerFile:
         for text, number in vocabulary.items():
             known = all(char in of_char for char in text)
             self.tokens[number] = bytes(of_char[char] for char in text) if known else text.encode()
+        self.lengths = np.array([len(token) for token in self.tokens], np.int64)
         self.byte_ids = [model["vocab"][char] for char in byte_alphabet()]
         pairs = [merge.split(" ") if isinstance(merge, str) else merge for merge in model["merges"]]
         self.merges = [(model["vocab"][left], model["vocab"][right], model["vocab"][left + right]) for left, right in pairs]
@@ -63,7 +82,7 @@ class TokenizerFile:
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self._seen: set[str] = set()
         self._other: set[str] = set()
-        self._exact = _FAST
+        self._exact = _FULL
 
     def parts(self, text: str) -> Iterator[tuple[list[str], int | None]]:
         """Lists of pre-tokens, in order; each list may be followed by the id of an added string.
@@ -78,6 +97,25 @@ class TokenizerFile:
                 start = found.end()
         yield from ((pieces, None) for pieces in self._blocks(text[start:] if start else text))
 
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pre-tokens by the library, one after the other, and where those of each piece begin and end.
+
+        A line break between them keeps pre-tokens apart that are not white space themselves, and
+        is one id; so the library gets one text instead of very many.
+        """
+        order = sorted(range(len(pieces)), key=lambda at: pieces[at].isspace())
+        plain = sum(not piece.isspace() for piece in pieces)
+        texts = ["\n".join(pieces[at] for at in order[:plain]), *(pieces[at] for at in order[plain:])]
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.array([number for one in found for number in one.ids], np.uint32)
+        ends = np.concatenate([[0], np.cumsum(self.lengths[ids])])
+        sizes = np.array([len(pieces[at].encode()) for at in order], np.int64)
+        gaps = np.arange(len(order)) < plain - 1
+        stops = np.cumsum(sizes + gaps) - gaps
+        bounds = np.empty((len(order), 2), np.int64)
+        bounds[order] = np.searchsorted(ends, np.stack([stops - sizes, stops], axis=1))
+        return ids, bounds
+
     def _blocks(self, text: str) -> Iterator[list[str]]:
         pattern, at = self._pattern(text), 0
         # No pre-token holds a white space after another character, so blocks may end there.
@@ -87,15 +125,15 @@ class TokenizerFile:
         if at < len(text):
             yield pattern.findall(text[at:] if at else text)
 
-    def _pattern(self, text: str) -> regex.Pattern:
+    def _pattern(self, text: str) -> re.Pattern | regex.Pattern:
         """The pattern with the library's character classes, which follow another Unicode version than ``regex``."""
-        if text.isascii():
-            return _FAST
+        if not _NOT_LATIN.search(text):
+            return _LATIN
         new = set(_HIGH.findall(text)) - self._seen
         if new:
             self._seen |= new
             cut = self.library.pre_tokenizer.pre_tokenize_str
-            odd = {char for char in new if [span for _, span in cut(f"a{char}1{char}")] != [m.span() for m in _FAST.finditer(f"a{char}1{char}")]}
+            odd = {char for char in new if [span for _, span in cut(f"a{char}1{char}")] != [m.span() for m in _FULL.finditer(f"a{char}1{char}")]}
             if odd:
                 self._other |= odd
                 others = "[" + "".join(map(regex.escape, sorted(self._other))) + "]"
@@ -106,26 +144,53 @@ class TokenizerFile:
 
 
 class Memo:
-    """Remembers what a function gives for a pre-token; forgets all when ``limit`` are held."""
+    """Remembers what a function gives for a pre-token.
+
+    Holds two generations of ``limit`` pre-tokens at most; what is met again moves to the
+    younger one, and the older one is forgotten when the younger is full.
+    """
 
     def __init__(self, fill: Callable[[list[str]], list], limit: int = MEMO_PIECES):
-        self._fill, self._limit, self._known = fill, limit, {}
+        self._fill, self._limit, self._young, self._old = fill, limit, {}, {}
 
     def __call__(self, pieces: list[str]) -> list:
         """Values of the pieces in order; those not known are computed in one call."""
-        known = self._known
-        values = list(map(known.get, pieces))
+        values = list(map(self._young.get, pieces))
         if None in values:
-            missing = list({piece for piece, value in zip(pieces, values) if value is None})
-            fresh = dict(zip(missing, self._fill(missing)))
-            values = [fresh[piece] if value is None else value for piece, value in zip(pieces, values)]
-            if len(known) + len(fresh) > self._limit:
-                known.clear()
+            missing = {piece: self._old.get(piece) for piece, value in zip(pieces, values) if value is None}
+            new = [piece for piece, value in missing.items() if value is None]
+            if new:
+                missing.update(zip(new, self._fill(new)))
+            values = [missing[piece] if value is None else value for piece, value in zip(pieces, values)]
+            if len(self._young) + len(missing) > self._limit:
+                self._young, self._old = {}, self._young
             # Very long pieces do not come again, and would make the memo large.
-            known.update((piece, value) for piece, value in fresh.items() if len(piece) <= 64)
+            self._young.update((piece, value) for piece, value in missing.items() if len(piece) <= LONG_PIECE)
         return values
 
 
+def stretches(texts: pa.Array, size: int = STRETCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``size`` bytes of text each."""
+    sizes = np.nan_to_num(np.asarray(pc.binary_length(texts), float)).astype(np.int64)
+    group, start = (np.cumsum(sizes) - sizes) // size, 0
+    for stop in [*(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]:
+        if stop > start:
+            yield start, stop
+        start = stop
+
+
+@contextmanager
+def no_collector() -> Iterator[None]:
+    """Pauses the cycle collector, which would walk through the memo again and again; nothing inside makes cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 @lru_cache(maxsize=4)
 def tokenizer_file(path: str) -> TokenizerFile:
     """The file, read once per process."""

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from retentia.functions.columns import column
 from retentia.functions.scratch import materialize
-from retentia.llm.files import new_name, open_to_read, open_to_write
-from retentia.llm.pretokens import Memo, TokenizerFile, tokenizer_file
+from retentia.llm.files import new_name, open_to_read, open_to_write, spread
+from retentia.llm.pretokens import Memo, TokenizerFile, no_collector, stretches, tokenizer_file
 
 # Fixed values of the record format: CRC-32C's reflected polynomial and the mask's rotation and addend.
 POLYNOMIAL = 0x82F63B78
@@ -116,23 +116,36 @@ def id_type(file: TokenizerFile) -> np.dtype:
 @lru_cache(maxsize=4)
 def _library_memo(path: str) -> Memo:
     file = tokenizer_file(path)
+    width = id_type(file).itemsize
 
     def fill(pieces: list[str]) -> list[bytes]:
-        found = file.library.encode_batch(pieces, add_special_tokens=False)
-        return [np.array(one.ids, id_type(file)).tobytes() for one in found]
+        ids, bounds = file.encode(pieces)
+        data = ids.astype(id_type(file)).tobytes()
+        return [data[start:stop] for start, stop in (bounds * width).tolist()]
 
     return Memo(fill)
 
 
-def token_bytes(text: str, path: str) -> bytes:
-    """Ids of a whole text from the tokenizers library, each distinct pre-token encoded once."""
+def token_bytes(texts: Sequence[str], path: str) -> list[bytes]:
+    """Ids of whole texts from the tokenizers library, each distinct pre-token encoded once."""
     file, memo = tokenizer_file(path), _library_memo(path)
-    parts = []
-    for pieces, special in file.parts(text):
-        parts += memo(pieces)
-        if special is not None:
-            parts.append(np.array([special], id_type(file)).tobytes())
-    return b"".join(parts)
+    joined: list[str] = []
+    cuts: list[list[tuple[int, int | None]]] = []
+    for text in texts:
+        cuts.append([])
+        for pieces, special in file.parts(text):
+            joined += pieces
+            cuts[-1].append((len(joined), special))
+    found, at, blobs = memo(joined), 0, []
+    for ends in cuts:
+        parts = []
+        for end, special in ends:
+            parts += found[at:end]
+            at = end
+            if special is not None:
+                parts.append(np.array([special], id_type(file)).tobytes())
+        blobs.append(b"".join(parts))
+    return blobs
 
 
 def write_records(df: DataFrame, key: str, text: str, path: str, folder: str, end_id: int = 0) -> DataFrame:
@@ -154,12 +167,10 @@ def write_records(df: DataFrame, key: str, text: str, path: str, folder: str, en
         offset = records = ids = 0
         for batch in batches:
             keys, texts = batch.columns[:2]
-            start, held, payloads = 0, 0, []
-            for at in range(len(texts)):
-                payloads.append(token_bytes(texts[at].as_py() or "", path) + end)
-                held += len(payloads[-1])
-                if held < FLUSH_BYTES and at + 1 < len(texts):
-                    continue
+            for start, stop in stretches(texts):
+                some = [text.as_py() or "" for text in texts.slice(start, stop - start)]
+                with no_collector():
+                    payloads = [blob + end for blob in token_bytes(some, path)]
                 if data is None:
                     data, sink = open_to_write(name), open_to_write(f"{name}.index")
                     layout = pa.schema([("key", keys.type), ("offset", pa.int64()), ("bytes", pa.int64()), ("ids", pa.int64())])
@@ -170,7 +181,6 @@ def write_records(df: DataFrame, key: str, text: str, path: str, folder: str, en
                 columns = [keys.slice(start, len(payloads)), offsets[:-1], sizes + FRAME, sizes // width.itemsize]
                 index.write_batch(pa.record_batch(columns, schema=layout))
                 offset, records, ids = int(offsets[-1]), records + len(payloads), ids + int(sizes.sum()) // width.itemsize
-                start, held, payloads = at + 1, 0, []
         if data is not None:
             index.close()
             sink.close()
@@ -202,9 +212,7 @@ def read_index(files: DataFrame, key_type: str) -> DataFrame:
                         columns = [found.column("key"), names, found.column("offset"), found.column("bytes"), ids, starts]
                         yield pa.record_batch([*map(pa.array, columns)], ["key", "file", "offset", "bytes", "n_ids", "start"])
 
-    # One row is one file's work: spread them.
-    spread = files.select("part", "file", "start").repartition(F.col("part"))
-    return spread.mapInArrow(run, f"key {key_type}, file string, offset long, bytes long, n_ids long, start long")
+    return spread(files.select("file", "start")).mapInArrow(run, f"key {key_type}, file string, offset long, bytes long, n_ids long, start long")
 
 
 def read_records(index: DataFrame, path: str, key_type: str) -> DataFrame:

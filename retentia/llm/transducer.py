@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import column
-from retentia.llm.pretokens import Memo, TokenizerFile, tokenizer_file
+from retentia.llm.pretokens import Memo, TokenizerFile, no_collector, tokenizer_file
 
 ID_TYPE = np.dtype("<u4")
 BATCH_BYTES = 16 << 20
@@ -181,34 +181,42 @@ def _codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_decode(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
+def encode_decode(df: DataFrame, key: str, text: str, path: str, as_arrays: bool = False) -> DataFrame:
     """Encode each text and decode its ids again.
 
     Returns one row per input row: the key under its name, ``n_tokens`` long,
-    ``token_ids`` binary (little-endian unsigned 32-bit integers) and ``decoded`` string.
+    ``token_ids`` binary (little-endian unsigned 32-bit integers), or arrays of int if wanted, and ``decoded`` string.
 
     A null or empty text has no tokens, empty ids and an empty text. Repeated rows
     give repeated results; other columns of the input are not carried. No shuffle.
     ``path`` must be readable on the executors.
     """
 
+    def ids_array(blobs: list[bytes]) -> pa.Array:
+        if not as_arrays:
+            return pa.array(blobs, pa.binary())
+        offsets = np.concatenate([[0], np.cumsum([len(blob) // ID_TYPE.itemsize for blob in blobs])]).astype(np.int32)
+        return pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(blobs), "<i4"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
         for batch in batches:
             keys, texts = batch.columns
             start, size, rows = 0, 0, []
             for at in range(len(texts)):
-                blobs = list(codec.blobs(texts[at].as_py() or ""))
-                ids = b"".join(blobs)
-                rows.append((len(ids) // 4, ids, codec.decode(blobs)))
-                size += len(ids)
+                with no_collector():
+                    blobs = list(codec.blobs(texts[at].as_py() or ""))
+                    rows.append((b"".join(blobs), codec.decode(blobs)))
+                size += len(rows[-1][0])
                 if size > BATCH_BYTES or at + 1 == len(texts):
-                    yield pa.record_batch([keys.slice(start, len(rows)), *map(pa.array, zip(*rows), types)], names)
+                    ids, decoded = map(list, zip(*rows))
+                    counts = pa.array([len(blob) // ID_TYPE.itemsize for blob in ids], pa.int64())
+                    columns = [keys.slice(start, len(rows)), counts, ids_array(ids), pa.array(decoded, pa.string())]
+                    yield pa.record_batch(columns, [key, "n_tokens", "token_ids", "decoded"])
                     start, size, rows = at + 1, 0, []
 
-    names, types = [key, "n_tokens", "token_ids", "decoded"], [pa.int64(), pa.binary(), pa.string()]
-    kind = df.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_tokens long, token_ids binary, decoded string"
+    kind, held = df.schema[key].dataType.simpleString(), "array<int>" if as_arrays else "binary"
+    schema = f"`{key}` {kind}, n_tokens long, token_ids {held}, decoded string"
     return df.select(column(key), column(text).alias("__text")).mapInArrow(run, schema)
 
 
