@@ -10,16 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retentia.functions.columns import column, hashable_columns
-from retentia.functions.ordering import running_total
+from retentia.functions.scratch import materialize
 
 BITS = 8
 ACCURACY = 10_000
 PREFIX_BYTES = 6
+# Fixed value: bits of monotonically_increasing_id that count rows within a partition.
+PART_SHIFT = 33
 
 
 def curve_table(dims: int) -> list[int]:
@@ -101,14 +103,18 @@ def shard_rows(df: DataFrame, key: str, dimensions: Sequence[str], shards: int,
     row = F.struct(*[column(name) for name in df.columns], F.xxhash64(*hashable_columns(df)).alias("__tie"))
     placed = curve_index(df, dimensions, bits, row, "curve")
     order = [F.col("curve"), F.col("row").getField(key), F.col("row").getField("__tie")]
-    numbered = running_total(placed, [], order, F.lit(1).cast("long"), "position")
-    total = placed.count()
-    shard = F.floor(F.col("position") * shards / max(1, total)).cast("int")
-    first = F.ceil(shard.cast("long") * total / shards)
+    # Within a range partition, sorted rows are numbered as they stand: no second shuffle brings them together again.
+    ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    written = materialize(ranged, "curve").withColumn("part", F.shiftright("at", PART_SHIFT))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = written.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    offsets = parts.select("part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"), F.sum("rows").over(Window.partitionBy()).alias("total"))
+    numbered = written.join(F.broadcast(offsets), "part")
+    position = F.col("before") + F.col("at") - F.shiftleft("part", PART_SHIFT)
+    shard = F.floor(position * shards / F.col("total")).cast("int")
+    first = F.ceil(shard.cast("long") * F.col("total") / shards)
     kept = [name for name in df.columns if name not in ("shard", "slot", "curve")]
-    return numbered.select(
-        *[F.col("row").getField(name).alias(name) for name in kept], shard.alias("shard"), (F.col("position") - first).cast("long").alias("slot"), "curve"
-    )
+    return numbered.select(*[F.col("row").getField(name).alias(name) for name in kept], shard.alias("shard"), (position - first).cast("long").alias("slot"), "curve")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
