@@ -13,18 +13,19 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retentia.functions.columns import column
 from retentia.functions.scratch import materialize
-from retentia.llm.pretokens import Memo, no_collector
+from retentia.llm.pretokens import Memo, no_collector, stretches
 
 ORDERS = (2, 3)
 LEAST_SHARE = 1e-5
@@ -54,6 +55,7 @@ class LanguageFilters:
 
     languages: list[str]
     masks: np.ndarray
+    _memo: Memo | None = field(default=None, repr=False)
 
     @classmethod
     def build(cls, languages: list[str], entries: list[tuple[str, list[int]]]) -> LanguageFilters:
@@ -84,6 +86,19 @@ class LanguageFilters:
         octets = masks.astype("<u8").view(np.uint8).reshape(len(masks), -1)
         return np.unpackbits(octets, axis=1, bitorder="little")[:, : len(self.languages)]
 
+    def counts(self, words: list[str]) -> list[bytes]:
+        """As ``hits``, packed, remembered from call to call; a very long word counts in pieces."""
+        if self._memo is None:
+            self._memo = Memo(self._fill)
+        return self._memo(words)
+
+    def _fill(self, words: list[str]) -> list[bytes]:
+        pieces = [[word[at : at + WORD_CHARS] for at in range(0, len(word), WORD_CHARS)] for word in words]
+        ends, width = np.cumsum(list(map(len, pieces))), 4 * (len(self.languages) + 1)
+        found = self.hits([piece for some in pieces for piece in some])
+        data = np.add.reduceat(found, np.concatenate([[0], ends[:-1]]), axis=0).astype("<i4").tobytes()
+        return [data[at : at + width] for at in range(0, len(data), width)]
+
     def hits(self, words: list[str]) -> np.ndarray:
         """Per word, its number of n-grams and those that each language claims."""
         grams = [ngrams(word) for word in words]
@@ -158,46 +173,42 @@ def fit(df: DataFrame, text: str, lang: str) -> LanguageFilters:
     return LanguageFilters.build(languages, [(row["gram"], [number[name] for name in row["langs"]]) for row in rows])
 
 
-def predict(df: DataFrame, key: str, text: str, filters: LanguageFilters) -> DataFrame:
-    """The key under its name, ``lang_pred`` and ``score`` of each row; no shuffle.
+def predict(df: DataFrame, text: str, filters: LanguageFilters, columns: Sequence[str]) -> DataFrame:
+    """``columns`` of ``df``, ``lang_pred`` and ``score`` of each row; no shuffle.
 
     The score is the share of the text's n-grams that the language claims, less the expected false
     positives. Ties go to the first language. A null text, one without letters, or no learned
-    language gives ``und`` and 0. Other columns are not carried.
+    language gives ``und`` and 0. A column with the name of a new one is replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        false, width = model.false_rates(), 4 * (len(model.languages) + 1)
-
-        def fill(words: list[str]) -> list[bytes]:
-            pieces = [[word[at : at + WORD_CHARS] for at in range(0, len(word), WORD_CHARS)] for word in words]
-            found = model.hits([piece for some in pieces for piece in some])
-            ends = np.cumsum(list(map(len, pieces)))
-            data = np.add.reduceat(found, np.concatenate([[0], ends[:-1]]), axis=0).astype("<i4").tobytes()
-            return [data[at : at + width] for at in range(0, len(data), width)]
-
-        memo = Memo(fill)
+        false = model.false_rates()
         for batch in batches:
-            keys, texts = batch.columns
-            names, scores = [], []
-            for value in texts:
-                words = words_of(value.as_py())
-                if not words or not model.languages:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
+            texts = batch.column(len(carried))
+            names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            for start, stop in stretches(texts):
                 with no_collector():
-                    total = np.frombuffer(b"".join(memo(words)), "<i4").reshape(len(words), -1).sum(axis=0, dtype=np.int64)
-                right = (total[1:] - total[0] * false) / (total[0] * (1 - false))
-                best = int(right.argmax())
-                names.append(model.languages[best])
-                scores.append(float(min(1.0, max(0.0, right[best]))))
-            yield pa.record_batch([keys, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [key, "lang_pred", "score"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(column(key), column(text).alias("__text")).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
+                    words = [words_of(text) for text in texts.slice(start, stop - start).to_pylist()]
+                    full = [at for at, some in enumerate(words) if some and model.languages]
+                    if not full:
+                        continue
+                    found = np.frombuffer(b"".join(model.counts([word for at in full for word in words[at]])), "<i4").reshape(-1, len(false) + 1)
+                ends = np.cumsum([len(words[at]) for at in full])
+                total = np.add.reduceat(found, np.concatenate([[0], ends[:-1]]), axis=0, dtype=np.int64)
+                right = (total[:, 1:] - total[:, :1] * false) / (total[:, :1] * (1 - false))
+                best = right.argmax(axis=1)
+                for at, language in zip(full, best.tolist()):
+                    names[start + at] = model.languages[language]
+                scores[start + np.array(full)] = np.clip(right[np.arange(len(full)), best], 0, 1)
+            added = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.record_batch([*batch.columns[: len(carried)], *added], [*carried, "lang_pred", "score"])
+
+    carried = [name for name in columns if name not in ("lang_pred", "score")]
+    fields = [df.schema[name] for name in carried]
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return df.select(*map(column, carried), column(text).alias("__text")).mapInArrow(run, schema)
 
 
 def held_out(key: str, folds: int = 5) -> Column:
@@ -205,7 +216,6 @@ def held_out(key: str, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(column(key).cast("string")) % folds == 0, F.lit(True))
 
 
-def identify(df: DataFrame, key: str, text: str, lang: str, folds: int = 5) -> DataFrame:
-    """Predict every row's language with filters learned from the rows that are not held out."""
-    filters = fit(df.filter(~held_out(key, folds)), text, lang)
-    return predict(df, key, text, filters).select(column(key), held_out(key, folds).alias("held_out"), "lang_pred", "score")
+def identify(df: DataFrame, key: str, text: str, lang: str, columns: Sequence[str], folds: int = 5) -> DataFrame:
+    """``columns`` of ``df``, with the language of each row predicted by filters that the rows not held out have taught."""
+    return predict(df, text, fit(df.filter(~held_out(key, folds)), text, lang), columns)

@@ -10,7 +10,7 @@ from retentia.functions.scratch import scratch_path
 from retentia.llm.arc import archive_pages
 from retentia.llm.dimension_scan import nearest
 from retentia.llm.hilbert import shard_rows
-from retentia.llm.language import identify
+from retentia.llm.language import held_out, identify
 from retentia.llm.mixing import mix, word_count
 from retentia.llm.records import read_index, read_records, write_records
 from retentia.llm.simhash import near_duplicates
@@ -79,7 +79,8 @@ def op5_dimension_scan(spark, folder):
 
 @query("op6_language_filters")
 def op6_language_filters(spark, folder):
-    return identify(table(spark, folder, "documents"), "doc_id", "text", "lang", folds=5)
+    found = identify(table(spark, folder, "documents"), "doc_id", "text", "lang", columns=["doc_id"], folds=5)
+    return found.select("doc_id", held_out("doc_id", 5).alias("held_out"), "lang_pred", "score")
 
 
 @query("op7_framed_records")
