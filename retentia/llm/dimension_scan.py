@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,9 @@ COLUMNS = 16
 BLOCK_POINTS = 1 << 13
 BLOCK_QUERIES = 1 << 10
 STEP = 1 << 12
+TOGETHER = 64
+DENSE = 0.1
+SLACK = 1e-9
 
 
 def rotation(width: int, seed: int = SEED) -> np.ndarray:
@@ -50,27 +54,49 @@ def lift(vectors: np.ndarray, longest: float | None) -> np.ndarray:
     return np.column_stack([vectors, extra])
 
 
-def scan(points: np.ndarray, query: np.ndarray, k: int, epsilon: float, skip: int | None = None) -> np.ndarray:
-    """Indexes of the points that a dimension scan leaves, among them very likely the ``k`` nearest.
+def scan(points: np.ndarray, queries: np.ndarray, k: int, epsilon: float, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, point) that a dimension scan leaves, among them very likely each query's ``k`` nearest.
 
-    ``points`` and ``query`` are lifted and rotated. ``skip`` is a point that does not count.
+    ``points`` and ``queries`` are lifted and rotated. ``skip`` has the point that does not count for each query, or -1. While
+    many pairs are alive a block of columns is one matrix product; later only the pairs left are looked up.
     """
-    width = points.shape[1]
-    everyone = np.arange(len(points)) if skip is None else np.delete(np.arange(len(points)), skip)
-    if len(everyone) <= k:
-        return everyone
-    # The first few dimensions of all points choose those whose whole distance sets the first bound.
-    partial = ((points[everyone, :COLUMNS] - query[:COLUMNS]) ** 2).sum(axis=1)
-    first = everyone[np.argpartition(partial, min(len(partial) - 1, 4 * k))[: 4 * k]] if len(everyone) > 4 * k else everyone
-    bound = np.partition(((points[first] - query) ** 2).sum(axis=1), k - 1)[k - 1]
-    alive, at = everyone, COLUMNS
-    while at < width:
-        keep = partial * (width / at) <= bound * (1 + epsilon / math.sqrt(at)) ** 2
-        alive, partial = alive[keep], partial[keep]
-        stop = min(width, at + COLUMNS)
-        partial = partial + ((points[alive, at:stop] - query[at:stop]) ** 2).sum(axis=1)
-        at = stop
-    return alive[partial <= bound * (1 + 1e-9) + 1e-12]
+    width, asked = points.shape[1], np.arange(len(queries))
+    skipped = skip >= 0
+    if len(points) <= 4 * k:
+        rows, columns = np.repeat(asked, len(points)), np.tile(np.arange(len(points)), len(queries))
+        keep = columns != skip[rows]
+        return rows[keep], columns[keep]
+    partial = _block_distances(points, queries, 0)
+    partial[asked[skipped], skip[skipped]] = np.inf
+    # The points that look nearest over the first block set each query's first bound by their whole distance.
+    first = np.argpartition(partial, 4 * k - 1, axis=1)[:, : 4 * k]
+    whole = ((points[first] - queries[:, None]) ** 2).sum(axis=2)
+    whole[first == skip[:, None]] = np.inf
+    bound = np.partition(whole, k - 1, axis=1)[:, k - 1]
+    rows = columns = values = None
+    for at in range(COLUMNS, width + COLUMNS, COLUMNS):
+        done = min(at, width)
+        limit = bound * ((1 + epsilon / math.sqrt(done)) ** 2 * done / width if done < width else 1 + SLACK)
+        if rows is None:
+            near = partial <= limit[:, None] + SLACK
+            if done < width and near.mean() > DENSE:
+                # Pairs that are out keep their place here, with a distance that cannot come back.
+                partial = np.where(near, partial, np.inf) + _block_distances(points, queries, at)
+                continue
+            rows, columns = np.nonzero(near)
+            values = partial[rows, columns]
+        else:
+            keep = values <= limit[rows] + SLACK
+            rows, columns, values = rows[keep], columns[keep], values[keep]
+        if done < width:
+            values = values + ((points[columns, at : at + COLUMNS] - queries[rows, at : at + COLUMNS]) ** 2).sum(axis=1)
+    return rows, columns
+
+
+def _block_distances(points: np.ndarray, queries: np.ndarray, at: int) -> np.ndarray:
+    """Squared distances over one block of columns."""
+    p, q = points[:, at : at + COLUMNS], queries[:, at : at + COLUMNS]
+    return np.maximum(0.0, (q**2).sum(axis=1)[:, None] + (p**2).sum(axis=1) - 2 * q @ p.T)
 
 
 def _probe(rows: DataFrame, centres: np.ndarray, longest: float, probes: int, kind: str, is_query: bool) -> DataFrame:
@@ -105,7 +131,7 @@ def nearest(
     vector: str,
     queries: Column,
     k: int = 20,
-    list_points: int = 1 << 10,
+    lists: int | None = None,
     probe_share: float = 0.8,
     epsilon: float = 2.1,
 ) -> DataFrame:
@@ -117,8 +143,8 @@ def nearest(
     ties go to the smaller key, fewer rows come if there are fewer candidates.
 
     Vectors that are null, zero or hold null or non-finite components neither ask nor answer.
-    Repeated query rows give repeated results. There are about n / ``list_points`` lists, as far
-    as the sample allows, and a query probes ``probe_share`` of them.
+    Repeated query rows give repeated results. There are ``lists`` lists, or a sixteenth of the root
+    of the rows, as far as the sample allows, and a query probes ``probe_share`` of them.
     """
     rows, width = prepare(df, key, vector)
     kind, spark = byte_type(df, vector), df.sparkSession
@@ -134,7 +160,7 @@ def nearest(
     measured = valid.select(VECTOR).mapInArrow(lengths, "longest double, n long").agg(F.max("longest"), F.sum("n")).first()
     longest, n = measured[0] or 0.0, measured[1] or 0
     sample = lift(sample_vectors(valid, kind), longest) if n else np.zeros((1, width + 1))
-    centres = spherical_kmeans(sample, math.ceil(n / list_points)) * longest if n else sample
+    centres = spherical_kmeans(sample, lists or math.ceil(math.sqrt(n) / 16)) * longest if n else sample
     probes = math.ceil(probe_share * len(centres))
     turn = rotation(width + 1)
 
@@ -151,27 +177,34 @@ def nearest(
     def search(table: pa.Table) -> pa.Table:
         asks = np.asarray(table.column("asks"))
         there, here = table.filter(pa.array(~asks)), table.filter(pa.array(asks))
-        out = {"query_row": [], "query_id": [], "neighbour_id": [], "score": []}
+        parts: list[tuple] = []
         if there.num_rows and here.num_rows:
             plain, wanted = stack(there.column(VECTOR), kind), stack(here.column(VECTOR), kind)
             turned, turned_queries = lift(plain, longest) @ turn, lift(wanted, None) @ turn
-            turned = np.asfortranarray(turned)
             rows_there, rows_here = there.column(ROW).to_numpy(), here.column(ROW).to_numpy()
             at = {row: place for place, row in enumerate(rows_there.tolist())}
-            keys = there.column(KEY)
+            keys, asking = there.column(KEY).combine_chunks(), here.column(KEY).combine_chunks()
             rank_of_key = np.empty(len(plain), np.int64)
-            rank_of_key[np.asarray(pa.compute.sort_indices(keys))] = np.arange(len(plain))
-            for place, row in enumerate(rows_here.tolist()):
-                left = scan(turned, turned_queries[place], k, epsilon, at.get(row))
-                scores = (plain[left] * wanted[place]).sum(axis=1)
-                best = np.lexsort((rank_of_key[left], -scores))[:k]
-                out["query_row"] += [row] * len(best)
-                out["query_id"] += [here.column(KEY)[place]] * len(best)
-                out["neighbour_id"] += [keys[int(x)] for x in left[best]]
-                out["score"] += scores[best].tolist()
-        key_kind = table.schema.field(KEY).type
-        columns = [pa.array(out["query_row"], pa.int64()), *(pa.array([x.as_py() for x in out[name]], key_kind) for name in ("query_id", "neighbour_id")), pa.array(out["score"], pa.float64())]
-        return pa.table(columns, names=list(out))
+            rank_of_key[np.asarray(pc.sort_indices(keys))] = np.arange(len(plain))
+            own = np.array([at.get(row, -1) for row in rows_here.tolist()])
+            for start in range(0, len(wanted), TOGETHER):
+                rows, columns = scan(turned, turned_queries[start : start + TOGETHER], k, epsilon, own[start : start + TOGETHER])
+                rows = rows + start
+                scores = (plain[columns] * wanted[rows]).sum(axis=1)
+                order = np.lexsort((rank_of_key[columns], -scores, rows))
+                rows, columns, scores = rows[order], columns[order], scores[order]
+                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                best = place < k
+                parts.append((rows_here[rows[best]], asking.take(pa.array(rows[best])), keys.take(pa.array(columns[best])), scores[best]))
+        return pa.table(
+            [
+                pa.array(np.concatenate([p[0] for p in parts]) if parts else [], pa.int64()),
+                pa.chunked_array([p[1] for p in parts], table.schema.field(KEY).type).combine_chunks(),
+                pa.chunked_array([p[2] for p in parts], table.schema.field(KEY).type).combine_chunks(),
+                pa.array(np.concatenate([p[3] for p in parts]) if parts else [], pa.float64()),
+            ],
+            names=["query_row", "query_id", "neighbour_id", "score"],
+        )
 
     schema = f"query_row long, query_id {key_type}, neighbour_id {key_type}, score double"
     if not n:

@@ -174,7 +174,7 @@ def test_nearest_recall_over_lists_and_blocks(spark, monkeypatch):
     data = generator.standard_normal((1_200, 40)) * generator.uniform(0.5, 2, (1_200, 1))
     rows = [(n, [float(x) for x in v], 0) for n, v in enumerate(data)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    found = dimension_scan.nearest(frame, "vec_id", "embedding", F.col("key") % 20 == 0, k=20, list_points=100).collect()
+    found = dimension_scan.nearest(frame, "vec_id", "embedding", F.col("key") % 20 == 0, k=20, lists=12).collect()
     want = exact_nearest(rows, lambda key: key % 20 == 0, 20)
     got = {}
     for row in found:
