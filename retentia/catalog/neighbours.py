@@ -29,6 +29,26 @@ def nearmiss2_tiled(spark, folder):
     return undersample_nearmiss_v2(_embeddings(spark, folder), "v", "label", K, key="vec_id", sizes=sizes).drop("v")
 
 
+_REPEATED_SQL = (
+    NEARMISS_SQL.replace("embedding::DOUBLE[] AS v,", "embedding::DOUBLE[] AS v, CASE WHEN vec_id % 3 <> 0 THEN vec_id // 4 END AS k,")
+    .replace("AS (SELECT a.vec_id, list", "AS (SELECT a.vec_id, a.k, list")
+    .replace("AS (SELECT vec_id, d,", "AS (SELECT vec_id, k, d,")
+    .replace("AS (SELECT vec_id, avg(d) AS score FROM ranked WHERE r <= 3 GROUP BY vec_id)", "AS (SELECT vec_id, any_value(k) AS k, avg(d) AS score FROM ranked WHERE r <= 3 GROUP BY vec_id)")
+    .replace("ORDER BY score, vec_id", "ORDER BY score, k NULLS FIRST")
+    .replace("SELECT vec_id, label FROM e WHERE", "SELECT vec_id, label, form FROM e, (VALUES ('one pass'), ('tiled')) f(form) WHERE")
+)
+
+
+@query("nearmiss2_repeated_keys", _REPEATED_SQL)
+def nearmiss2_repeated_keys(spark, folder):
+    """A key with repeats and nulls: both forms give the same, complete answer."""
+    rows = _embeddings(spark, folder).withColumn("k", F.when(F.col("vec_id") % 3 != 0, F.expr("vec_id div 4")))
+    tiled = Sizes(broadcast_bytes=0, pivots=16, tile_rows=256, one_task_rows=16)
+    one = undersample_nearmiss_v2(rows, "v", "label", K, key="k").withColumn("form", F.lit("one pass"))
+    two = undersample_nearmiss_v2(rows, "v", "label", K, key="k", sizes=tiled).withColumn("form", F.lit("tiled"))
+    return one.unionByName(two).select("vec_id", "label", "form")
+
+
 @query("nearmiss2_approx")
 def nearmiss2_approx(spark, folder):
     return undersample_nearmiss_v2(_embeddings(spark, folder), "v", "label", K, key="vec_id", approx=True).drop("v")

@@ -13,7 +13,7 @@ SEED = 7
 def draw_sql(*parts: str) -> str:
     """The keyed uniform number, as DuckDB SQL."""
     text = " || '|' || ".join([f"'{SEED}'", *[f"({part})::VARCHAR" for part in parts]])
-    return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+    return f"(('0x' || substr(md5({text}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
 @query(
@@ -66,6 +66,18 @@ def undersample(spark, folder):
     return balance.undersample_random(labels, "quality", "doc_id", SEED)
 
 
+@query("undersample_keyless", "SELECT DISTINCT quality, true AS within_bounds FROM labels")
+def undersample_keyless(spark, folder):
+    """Without a key, rows that are equal draw each for themselves: class sizes within five deviations."""
+    labels = table(spark, folder, "labels").select("quality")
+    sizes = labels.groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
+    smallest = sizes.agg(F.min("n").alias("smallest"))
+    kept = balance.undersample_random(labels, "quality", seed=SEED).groupBy("quality").agg(F.count(F.lit(1)).alias("kept"))
+    joined = sizes.crossJoin(F.broadcast(smallest)).join(kept, "quality", "left")
+    deviation = F.sqrt(F.col("smallest") * (1 - F.col("smallest") / F.col("n")))
+    return joined.select("quality", (F.abs(F.coalesce("kept", F.lit(0)) - F.col("smallest")) <= 5 * deviation).alias("within_bounds"))
+
+
 @query(
     "oversample_replicate",
     f"""WITH {_RATES}, c AS (SELECT doc_id, quality, CASE WHEN n = largest THEN 1 ELSE floor(largest / n)::BIGINT +

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from retentia.functions.columns import column, hashable_columns
 
 NULL_TEXT = "\\N"
-TWO_POW_32 = 4294967296.0
+HEX_DIGITS = 13
+TWO_POW_52 = 4503599627370496.0
 
 
 def resolve_seed(seed: int | None) -> int:
@@ -33,14 +34,18 @@ def key_columns(df: DataFrame, key: str | Sequence[str] | None) -> list[Column]:
 
 
 def row_digest(df: DataFrame) -> Column:
-    """Text identifying a row by its content; identical rows share it."""
+    """Text identifying a row by its content; identical rows share it.
+
+    Spark's hashes skip nulls, so where the nulls are is hashed as well.
+    """
     columns = hashable_columns(df)
+    columns += [F.struct(*[c.isNull() for c in columns])] if columns else []
     return F.concat_ws("-", F.xxhash64(*columns).cast("string"), F.hash(*columns).cast("string"))
 
 
 def keyed_uniform(seed: int, *columns: Column) -> Column:
-    """Uniform number in [0, 1) with 32 bits, from the md5 of seed and columns."""
+    """Uniform number in [0, 1) with 52 bits, all of which a double holds, from the md5 of seed and columns."""
     parts = [F.lit(str(seed))]
     parts += [F.coalesce(column.cast("string"), F.lit(NULL_TEXT)) for column in columns]
-    head = F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8)
-    return F.conv(head, 16, 10).cast("double") / F.lit(TWO_POW_32)
+    head = F.substring(F.md5(F.concat_ws("|", *parts)), 1, HEX_DIGITS)
+    return F.conv(head, 16, 10).cast("double") / F.lit(TWO_POW_52)

@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 
 from retentia.functions.columns import column
 from retentia.functions.keytable import KeyTable
+from retentia.functions.scratch import materialize
 from retentia.functions.uniform import key_columns, keyed_uniform, resolve_seed
 
 Key = str | Sequence[str] | None
 
+ROW = "__row_number"
+
 COPIES_PER_CHUNK = 65_536
 MODES = ("poisson", "replicate")
-# Draws have 32 bits; Poisson(1) exceeds 14 with a probability far below that.
-POISSON_TERMS = 15
+# Draws have 52 bits; Poisson(1) exceeds 18 with a probability far below that.
+POISSON_TERMS = 19
 
 
 def class_weights(df: DataFrame, labels_column: str) -> KeyTable:
@@ -36,16 +39,21 @@ def compute_class_weights_column(df: DataFrame, labels_column: str) -> DataFrame
 
 
 def undersample_random(df: DataFrame, labels_column: str, key: Key = None, seed: int | None = None) -> DataFrame:
-    """Keep each row with probability smallest class / own class."""
+    """Keep each row with probability smallest class / own class.
+
+    Without ``key`` every row draws for itself, also one that equals another.
+    """
+    names = df.columns
+    df, key = _with_key(df, key)
     classes = KeyTable.of(df, labels_column)
     if classes.rows < 2:
-        return df
+        return df.select(*map(column, names))
     classes = classes.with_values(__share=F.lit(float(classes.smallest)) / F.col(classes.count_col))
     draw = keyed_uniform(resolve_seed(seed), column(labels_column), *key_columns(df, key))
     drawn = df.withColumn("__draw", draw)
     # As a coalesce the test adds no null check, which would compute the draw twice.
     kept = F.coalesce(F.col("__draw") < F.col("__share"), F.lit(False))
-    return classes.attach(drawn, column(labels_column), ["__share"]).filter(kept).drop("__draw", "__share")
+    return classes.attach(drawn, column(labels_column), ["__share"]).filter(kept).select(*map(column, names))
 
 
 def oversample_random(
@@ -55,13 +63,15 @@ def oversample_random(
 
     With rate = largest / own class a row is repeated Poisson(rate) times (sampling
     with replacement), or with ``mode="replicate"`` floor(rate) times and once more
-    with the remaining probability.
+    with the remaining probability. Without ``key`` every row draws for itself.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
+    names = df.columns
+    df, key = _with_key(df, key)
     classes = KeyTable.of(df, labels_column)
     if classes.rows < 2:
-        return df
+        return df.select(*map(column, names))
     rate = F.lit(float(classes.largest)) / F.col(classes.count_col)
     whole = F.floor(rate).cast("long")
     classes = classes.with_values(
@@ -82,10 +92,17 @@ def oversample_random(
     return (
         marked.withColumn("__copies", F.when(F.col("__largest"), F.lit(1).cast("long")).otherwise(copies))
         .withColumn("__copy", F.explode(F.array_repeat(F.lit(True), F.col("__copies").cast("int"))))
-        .select(*[column(name) for name in df.columns])
+        .select(*map(column, names))
     )
 
 
+def _with_key(df: DataFrame, key: Key) -> tuple[DataFrame, Key]:
+    """Without a key, number the rows; written, so that a row keeps its number."""
+    if key is not None:
+        return df, key
+    return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered"), ROW
+
+
 def _copies(mode: str, seed: int, label: Column, key_parts: int, chunk: Column) -> Column:
     """Copies a row's chunk yields: units 0 to whole-1 of rate one, then one of rate rest."""
     ids = [F.col("__id")[at] for at in range(key_parts)]

@@ -31,7 +31,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentia.functions.columns import as_double_array, column
+from retentia.functions.columns import as_double_array, column, hashable_columns
 from retentia.functions.keytable import KeyTable
 from retentia.functions.ordering import ONE_TASK_ROWS, running_total, smallest_rows
 from retentia.functions.scratch import materialize
@@ -42,12 +42,21 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Fixed values of the approximate mode.
 HASH_TABLES = 3
 
-ID, POINT, SCORE, FLOOR, COPY = "__id", "__point", "__score", "__floor", "__copy"
+ROW, ID, POINT, SCORE, FLOOR, COPY = "__row", "__id", "__point", "__score", "__floor", "__copy"
 SLACK = 1e-9
 MARGIN = 8
 BOUNDS = 1_024
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """Greatest distances from the centre of every ``step``-th of ``count`` minority blocks."""
+
+    reach: list[float]
+    step: int
+    count: int
+
+
 @dataclass(frozen=True)
 class Sizes:
     """Bounds on what one task or the driver holds."""
@@ -75,20 +84,24 @@ def undersample_nearmiss_v2(
 ) -> DataFrame:
     """The smallest class and equally many of the other rows, chosen by NearMiss-2.
 
-    ``key`` names a unique column that breaks ties; without one, row ids are written
-    out first. ``approx`` compares only rows that share a hash bucket and may return
-    fewer rows, as some find no partner.
+    ``key`` names a column that breaks ties, smallest first and null before all; equal
+    keys go by a hash of the row. Rows are told apart by numbers given in that order and
+    written out first, so the key need not be unique. ``approx`` compares only rows that
+    share a hash bucket and may return fewer rows, as some find no partner.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    if key is None:
-        df, key = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "rows"), "__row"
+    names = df.columns
+    if key is not None:
+        order = [column(key).asc_nulls_first(), F.xxhash64(*hashable_columns(df))]
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    df = materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
     classes = KeyTable.of(df.filter(column(labels_column).isNotNull()), labels_column)
     if classes.rows < 2:
-        return df.drop("__row")
+        return df.select(*map(column, names))
     smallest = classes.frame.orderBy(classes.count_col, column(labels_column)).first()
     is_minority = column(labels_column) == F.lit(smallest[0])
-    points = df.withColumns({ID: column(key), POINT: as_double_array(df, features_column)})
+    points = df.withColumns({ID: F.col(ROW), POINT: as_double_array(df, features_column)})
     minority = points.filter(is_minority)
     majority = points.filter(~F.coalesce(is_minority, F.lit(False)))
     size = smallest[classes.count_col]
@@ -98,7 +111,7 @@ def undersample_nearmiss_v2(
         picked = _rows_of(majority, chosen, size, sizes)
     else:
         picked = _closest(majority, minority, size, classes.total - size, k, sizes)
-    columns = [column(name) for name in df.columns if name != "__row"]
+    columns = [column(name) for name in names]
     return minority.select(*columns).unionByName(picked.select(*columns))
 
 
@@ -194,7 +207,7 @@ def farthest(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, n
             near = np.argpartition(closeness, wide - 1, axis=1)[:, :wide]
         else:
             near = np.broadcast_to(np.arange(wide), (len(part), wide))
-        exact = np.sqrt(((right[near] - part[:, None, :]) ** 2).sum(axis=2))
+        exact = _exact_distances(part, right, near)
         order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
         distances[start : start + step] = np.take_along_axis(exact, order, axis=1)
         positions[start : start + step] = np.take_along_axis(near, order, axis=1)
@@ -221,13 +234,18 @@ def _pivot_scores(pivots: DataFrame, center: np.ndarray, k: int):
     return scores.asNondeterministic()
 
 
-def _minority_blocks(minority: DataFrame, center: np.ndarray, tile_rows: int) -> tuple[DataFrame, list[float]]:
+def _minority_blocks(minority: DataFrame, center: np.ndarray, tile_rows: int) -> tuple[DataFrame, Bounds]:
     """Minority rows in blocks of ``tile_rows`` by falling distance from the centre, and
-    each block's greatest distance."""
-    offsets = F.zip_with(POINT, F.array(*[F.lit(float(x)) for x in center]), lambda x, c: (x - c) * (x - c))
-    reach = F.sqrt(F.aggregate(offsets, F.lit(0.0), lambda total, x: total + x))
+    the greatest distances of at most ``BOUNDS`` of them, evenly apart."""
+    shared = minority.sparkSession.sparkContext.broadcast(center)
+
+    @F.arrow_udf("double")
+    def distance(values: pa.Array) -> pa.Array:
+        return pa.array(np.sqrt(((_matrix(values) - shared.value) ** 2).sum(axis=1)))
+
+    reach = distance(F.col(POINT))
     placed = running_total(
-        minority.select(ID, POINT, reach.alias("reach")),
+        materialize(minority.select(ID, POINT, reach.alias("reach")), "reach"),
         [],
         [F.col("reach").desc(), F.col(ID).asc()],
         F.lit(1).cast("long"),
@@ -236,12 +254,14 @@ def _minority_blocks(minority: DataFrame, center: np.ndarray, tile_rows: int) ->
     blocks = materialize(
         placed.select(ID, POINT, "reach", F.floor(F.col("position") / tile_rows).cast("int").alias("block")), "minority"
     )
-    bounds = blocks.groupBy("block").agg(F.max("reach").alias("reach")).orderBy("block").collect()
-    return blocks, [row["reach"] for row in bounds]
+    count = blocks.agg(F.max("block")).first()[0] + 1
+    step = math.ceil(count / BOUNDS)
+    thinned = blocks.filter(F.col("block") % step == 0).groupBy("block").agg(F.max("reach").alias("reach"))
+    return blocks, Bounds([row["reach"] for row in thinned.orderBy("block").collect()], step, count)
 
 
 def _tiled_scores(
-    rows: DataFrame, blocks: DataFrame, bounds: list[float], k: int, width: int, sizes: Sizes
+    rows: DataFrame, blocks: DataFrame, bounds: Bounds, k: int, width: int, sizes: Sizes
 ) -> DataFrame:
     """Exact scores ``(id, score)`` of bounded rows against all minority blocks.
 
@@ -258,41 +278,46 @@ def _tiled_scores(
         ),
         "points",
     )
-    chunks = F.lit(max(1, math.ceil(distinct.count() / sizes.tile(width))))
     # No row of a block is farther than reach + block bound; later blocks only get closer.
     needed = F.col(FLOOR) - F.col("__reach") - SLACK * (1 + F.col(FLOOR) + F.col("__reach"))
-    step = math.ceil(len(bounds) / BOUNDS)
-    steps = F.size(F.filter(F.array(*[F.lit(bound) for bound in bounds[::step]]), lambda bound: bound >= needed))
-    reachable = F.least(steps * step, F.lit(len(bounds)))
-    left = distinct.select(
+    steps = F.size(F.filter(F.array(*[F.lit(bound) for bound in bounds.reach]), lambda bound: bound >= needed))
+    reachable = F.least(steps * bounds.step, F.lit(bounds.count))
+    # Rows that reach equally far share a chunk, so that a block meets few chunks.
+    placed = running_total(
+        distinct.withColumn("reachable", reachable), [], [F.col("reachable").asc(), F.col(COPY).asc()], F.lit(1).cast("long"), "at"
+    )
+    reachable = F.col("reachable")
+    left = placed.select(
+        F.floor(F.col("at") / sizes.tile(width)).cast("int").alias("row_chunk"),
         F.explode(F.sequence(F.lit(0), reachable - 1)).alias("cell"),
         F.col(COPY).alias(ID),
         POINT,
         (F.col(FLOOR) * (1 - SLACK)).alias(FLOOR),
     )
     right = blocks.select(F.col("block").alias("cell"), F.col(ID).alias("__other"), POINT)
-    scored = _scores(_tiles(left, right, chunks, F.lit(1), k), k).withColumnRenamed(ID, COPY)
+    scored = _scores(_tiles(left, right, F.lit(1), k), k).withColumnRenamed(ID, COPY)
     table = KeyTable(scored.join(distinct.select(COPY, "count"), COPY), COPY)
     return table.attach(marked.select(ID, COPY), F.col(COPY), [SCORE]).select(ID, SCORE)
 
 
-def _tiles(left: DataFrame, right: DataFrame, left_chunks: Column, right_chunks: Column, k: int) -> DataFrame:
+def _tiles(left: DataFrame, right: DataFrame, right_chunks: Column, k: int) -> DataFrame:
     """Per left row and tile, its k farthest right rows of the same cell, as ``(id, far)``.
 
-    A cell is cut into ``left_chunks`` by ``right_chunks`` tiles, so a cell of any size
-    becomes tasks of bounded size.
+    A cell is cut into the left rows' ``row_chunk`` by ``right_chunks`` tiles, so a cell of any size
+    becomes tasks of bounded size. Right rows go only to chunks that have rows in their cell.
     """
+    reached = left.select(F.col("cell").alias("reached_cell"), F.col("row_chunk").alias("reached_chunk")).distinct()
     left_side = left.select(
         "cell",
-        F.pmod(F.xxhash64(ID), left_chunks).cast("int").alias("row_chunk"),
+        "row_chunk",
         F.explode(F.sequence(F.lit(0), right_chunks - 1)).alias("col_chunk"),
         ID,
         POINT,
         FLOOR,
     )
-    right_side = right.select(
-        "cell",
-        F.explode(F.sequence(F.lit(0), left_chunks - 1)).alias("row_chunk"),
+    right_side = right.join(reached, F.col("cell") == F.col("reached_cell")).select(
+        F.col("reached_cell").alias("cell"),
+        F.col("reached_chunk").alias("row_chunk"),
         F.pmod(F.xxhash64("__other"), right_chunks).cast("int").alias("col_chunk"),
         "__other",
         F.col(POINT).alias("__other_point"),
@@ -387,9 +412,10 @@ def _shared_bucket_scores(
         return cells.attach(rows, F.col("cell"), chunks).filter(F.col("left_chunks").isNotNull())
 
     tiles = _tiles(
-        shared(left).withColumn(FLOOR, F.lit(0.0)),
+        shared(left).withColumns(
+            {FLOOR: F.lit(0.0), "row_chunk": F.pmod(F.xxhash64(ID), F.col("left_chunks")).cast("int")}
+        ),
         shared(right).withColumnRenamed(ID, "__other"),
-        F.col("left_chunks"),
         F.col("right_chunks"),
         k,
     )

@@ -60,7 +60,9 @@ def preprocess_data(
 
     cleaned = drop_duplicate_rows(clean_nulls(df, **clean_nulls_options))
     keys = [key] if isinstance(key, str) else list(key or [])
-    row_key = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in key_columns(cleaned, keys or None)])
+    parts = key_columns(cleaned, keys or None)
+    # JSON keeps the parts of a composite key apart, nulls too.
+    row_key = parts[0] if len(parts) == 1 else F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
     marked = cleaned.withColumn(ROW_KEY, row_key)
     marked = with_split(marked, train_split_ratio, seed, ROW_KEY, labels_col if stratified_split else None, SPLIT)
     # Read by every fit below and by both results.
