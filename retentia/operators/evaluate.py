@@ -21,8 +21,16 @@ def confusion_matrix(df: DataFrame, label_col: str, prediction_col: str) -> Data
 
 
 def class_metrics(confusion: DataFrame) -> DataFrame:
-    """Support, precision, recall and f1 of every class, from a confusion matrix."""
-    known = confusion.filter(F.col("label").isNotNull() & F.col("prediction").isNotNull())
+    """Support, precision, recall and f1 of every class, from a confusion matrix.
+
+    Pairs with a null on either side are left out; ``performance_evaluation`` counts them.
+    """
+    return _class_sums(confusion).filter(F.col("class").isNotNull()).drop("unscored")
+
+
+def _class_sums(confusion: DataFrame) -> DataFrame:
+    """``class_metrics``, and a row with class null that counts the unscored pairs."""
+    known = F.col("label").isNotNull() & F.col("prediction").isNotNull()
     hit = F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(0)
     none = F.lit(0).cast("long")
 
@@ -32,14 +40,17 @@ def class_metrics(confusion: DataFrame) -> DataFrame:
             support.alias("support"),
             hits.alias("hits"),
             predicted.alias("predicted"),
+            none.alias("unscored"),
         )
 
     as_label = counted("label", F.col("count"), hit, none)
     as_prediction = counted("prediction", none, none, F.col("count"))
+    no_class = F.lit(None).cast("double").alias("class")
+    left_out = F.struct(no_class, *[none.alias(name) for name in ("support", "hits", "predicted")], F.col("count").alias("unscored"))
     sums = (
-        known.select(F.inline(F.array(as_label, as_prediction)))
+        confusion.select(F.inline(F.when(known, F.array(as_label, as_prediction)).otherwise(F.array(left_out))))
         .groupBy("class")
-        .agg(*[F.sum(name).alias(name) for name in ("support", "hits", "predicted")])
+        .agg(*[F.sum(name).alias(name) for name in ("support", "hits", "predicted", "unscored")])
     )
     zero = F.lit(0.0)
     precision = F.coalesce(F.try_divide(F.col("hits").cast("double"), F.col("predicted")), zero)
@@ -49,8 +60,11 @@ def class_metrics(confusion: DataFrame) -> DataFrame:
 
 
 def performance_evaluation(df: DataFrame, label_col: str, prediction_col: str = "prediction") -> DataFrame:
-    """One row: accuracy, weighted precision, recall and f1, and the test error; one pass."""
-    classes = class_metrics(confusion_matrix(df, label_col, prediction_col))
+    """One row: accuracy, weighted precision, recall and f1, and the test error; one pass.
+
+    They are of the rows with a label and a prediction; ``rows`` counts all rows and ``unscored`` the others.
+    """
+    classes = _class_sums(confusion_matrix(df, label_col, prediction_col))
     total = F.sum("support")
 
     def weighted(name: str) -> Column:
@@ -63,6 +77,8 @@ def performance_evaluation(df: DataFrame, label_col: str, prediction_col: str =
         weighted("recall").alias("weighted_recall"),
         weighted("f1").alias("f1"),
         (1 - accuracy).alias("test_error"),
+        F.coalesce(total + F.sum("unscored"), F.lit(0).cast("long")).alias("rows"),
+        F.coalesce(F.sum("unscored"), F.lit(0).cast("long")).alias("unscored"),
     )
 
 

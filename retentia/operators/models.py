@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -11,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import column
-from retentia.functions.scratch import local_table
+from retentia.functions.scratch import local_table, materialize
+from retentia.functions.uniform import key_columns, keyed_uniform
 
 # The model seed, the fold count and the parameter grids.
 SEED = 42
 FOLDS = 5
 DEFAULT_BINS = 32
+FOLD = "__fold"
 GRIDS = {
     "RandomForestClassifier": {
         "numTrees": [10, 20, 30],
@@ -59,9 +63,13 @@ def build_classification_model(
     folds: int = FOLDS,
     metric: str = "weightedRecall",
     parallelism: int = 4,
+    fold_col: str = "",
     **params,
 ) -> CrossValidator:
-    """Cross-validation over the grid; ``parallelism`` fits share the cluster at a time."""
+    """Cross-validation over the grid; ``parallelism`` fits share the cluster at a time.
+
+    ``fold_col`` names a column with each row's fold (0 to ``folds`` - 1); without it Spark draws the folds.
+    """
     estimator = build_classifier(model, label_col, features_col, weight_col, **params)
     evaluator = MulticlassClassificationEvaluator(labelCol=label_col, predictionCol="prediction", metricName=metric)
     return CrossValidator(
@@ -71,6 +79,7 @@ def build_classification_model(
         numFolds=folds,
         parallelism=parallelism,
         seed=SEED,
+        foldCol=fold_col,
     )
 
 
@@ -84,32 +93,55 @@ def category_counts(df: DataFrame, features_col: str) -> dict[str, int]:
 
 
 def check_bins(df: DataFrame, features_col: str, model: str, options: dict) -> None:
-    """Trees need at least as many bins as a feature has categories."""
+    """Trees need at least as many bins as a feature has categories; every value to be tried must do."""
     counts = category_counts(df, features_col)
     if not counts or model not in GRIDS:
         return
     name, needed = max(counts.items(), key=lambda item: item[1])
-    grid = dict(GRIDS[model] if options.get("grid") is None else options["grid"])
+    grid = GRIDS[model] if options.get("grid") is None else options["grid"]
     bins = grid.get("maxBins", [options.get("maxBins", DEFAULT_BINS)])
-    enough = [value for value in bins if value >= needed]
-    if not enough:
-        raise ValueError(f"feature {name} has {needed} categories, more than maxBins {max(bins)}")
-    if "maxBins" in grid:
-        options["grid"] = grid | {"maxBins": enough}
+    if min(bins) < needed:
+        raise ValueError(f"feature {name} has {needed} categories, more than maxBins {min(bins)}; see usable_grid")
+
+
+def usable_grid(df: DataFrame, features_col: str, model: str, grid: dict[str, list] | None = None) -> tuple[dict[str, list], list[int]]:
+    """A grid without the values of ``maxBins`` that are too small for the features, and those values."""
+    grid = dict(GRIDS[model] if grid is None else grid)
+    needed = max(category_counts(df, features_col).values(), default=0)
+    bins = grid.get("maxBins", [])
+    enough, left_out = [b for b in bins if b >= needed], [b for b in bins if b < needed]
+    if left_out and not enough:
+        raise ValueError(f"a feature has {needed} categories, more than maxBins {max(bins)}")
+    return (grid | {"maxBins": enough} if bins else grid), left_out
+
+
+def with_folds(df: DataFrame, folds: int = FOLDS, seed: int = SEED, key: str | Sequence[str] | None = None, out: str = FOLD) -> DataFrame:
+    """Add each row's fold, 0 to ``folds`` - 1, drawn from seed and key; without a key, equal rows share a fold."""
+    return df.withColumn(out, F.floor(keyed_uniform(seed, *key_columns(df, key)) * folds).cast("int"))
 
 
 def train_classification_model(
-    train: DataFrame, label_col: str, features_col: str, weight_col: str | None, model: str, **options
+    train: DataFrame,
+    label_col: str,
+    features_col: str,
+    weight_col: str | None,
+    model: str,
+    key: str | Sequence[str] | None = None,
+    **options,
 ):
     """The best model by cross-validation, refitted on all of ``train``.
 
-    Values of ``maxBins`` too small for the categories in the features are left out of
-    the grid; if none is left, that is an error before anything is fitted.
+    Every row's fold follows from its ``key``, or its content, so it does not depend on the order
+    of the rows, and the training rows are written once for all fits. A value of
+    ``maxBins`` too small for the categories in the features is an error before anything
+    is fitted.
     """
     check_bins(train, features_col, model, options)
     needed = [label_col, features_col] + ([weight_col] if weight_col else [])
-    validator = build_classification_model(label_col, features_col, weight_col, model, **options)
-    return validator.fit(train.select(*[column(name) for name in needed])).bestModel
+    folds = with_folds(train, options.get("folds", FOLDS), SEED, key)
+    rows = materialize(folds.select(*[column(name) for name in [*needed, FOLD]]), "train")
+    validator = build_classification_model(label_col, features_col, weight_col, model, fold_col=FOLD, **options)
+    return validator.fit(rows).bestModel
 
 
 def decision_tree(label_col: str, features_col: str, max_categories: int = 4) -> Pipeline:

@@ -23,9 +23,9 @@ def long_form(wide: DataFrame, rows: list[dict[str, Column]]) -> DataFrame:
     return wide.select(F.inline(F.array(*structs)))
 
 
-def show_summary_general(df: DataFrame, n_rows: int = 5) -> tuple[DataFrame, DataFrame]:
-    """The schema as a table, and the first rows."""
-    return schema_table(df), df.limit(n_rows)
+def show_summary_general(df: DataFrame, n_rows: int = 5, order_by: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The schema as a table, and the first rows, by ``order_by`` or as they come."""
+    return schema_table(df), (df.orderBy(*order_by) if order_by else df).limit(n_rows)
 
 
 def schema_table(df: DataFrame, wide_numeric: bool = False) -> DataFrame:

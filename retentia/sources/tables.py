@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from retentia.functions.columns import column
+
 # The accepted suffixes and the reader each one selects.
 READERS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".json.gz": "json"}
+# Text formats write times to the millisecond unless told otherwise.
+MICROSECONDS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+# CSV that keeps line breaks, quotes, blanks at either end, and the difference between null and empty text.
+NULL_TEXT = "\\N"
+LOSSLESS_CSV = {
+    "multiLine": "true",
+    "quote": '"',
+    "escape": '"',
+    "nullValue": NULL_TEXT,
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def format_of(path: str) -> str:
@@ -47,7 +63,7 @@ def load_data(
 def save_data(df: DataFrame, path: str, mode: str = "errorifexists", **options: str) -> None:
     """Write a table in the format its suffix names; ``.json.gz`` and CSV headers included."""
     target = format_of(path)
-    writer = df.write.mode(mode).options(**options)
+    writer = df.write.mode(mode).options(**({} if target == "parquet" else MICROSECONDS) | options)
     if target == "csv":
         writer = writer.option("header", True)
     if path.rstrip("/").endswith(".gz"):
@@ -64,9 +80,21 @@ def convert_table(
     mode: str = "errorifexists",
     **options: str,
 ) -> DataFrame:
-    """Rewrite a table in another format under a declared schema and read it back."""
-    save_data(load_data(source, spark, schema=schema, **options), target, mode)
-    return load_data(target, spark, schema=schema)
+    """Rewrite a table in another format under a declared schema and read it back.
+
+    ``options`` are for reading ``source``. CSV is written and read back with ``LOSSLESS_CSV``; a text
+    that is exactly ``NULL_TEXT``, which stands for null there, is an error.
+    """
+    rows = load_data(source, spark, schema=schema, **options)
+    if format_of(target) != "csv":
+        save_data(rows, target, mode)
+        return load_data(target, spark, schema=schema)
+    texts = [field.name for field in rows.schema.fields if isinstance(field.dataType, T.StringType)]
+    taken = F.raise_error(F.lit(f"a text is {NULL_TEXT}, which stands for null in CSV")).cast("string")
+    # Quotes around every empty text tell it from null, which is written bare.
+    checked = rows.withColumns({name: F.when(column(name) == NULL_TEXT, taken).otherwise(column(name)) for name in texts})
+    save_data(checked, target, mode, **LOSSLESS_CSV | {"emptyValue": '""'})
+    return load_data(target, spark, schema=schema, **LOSSLESS_CSV)
 
 
 def save_model(model, path: str) -> None:
