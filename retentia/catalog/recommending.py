@@ -40,20 +40,30 @@ def recommend_one_user(spark, folder):
     return _joined(recommend.get_user_top_recommendations(user_arrays(spark, folder), 8, "user_id", TOP))
 
 
-@query(
-    "recommend_items",
-    f"""WITH {SCORES_SQL} SELECT user_id, event_type AS asin, score::FLOAT AS score FROM s""",
-)
+ITEMS_SQL = f"""WITH {SCORES_SQL} SELECT user_id, event_type AS asin, score::FLOAT AS score FROM s"""
+
+
+@query("recommend_items", ITEMS_SQL)
 def recommend_items(spark, folder):
-    """Arrays of (index, score) back to item ids by the indexer's labels."""
+    """Arrays of (index, score) back to item ids by the indexer's catalogue."""
+    return _items(spark, folder)
+
+
+@query("recommend_items_large", ITEMS_SQL)
+def recommend_items_large(spark, folder):
+    """The same with an index and a catalogue that never meet on the driver."""
+    return _items(spark, folder, driver_labels=0, rows_at_once=0)
+
+
+def _items(spark, folder, driver_labels=50_000, rows_at_once=50_000):
     events = table(spark, folder, "events")
-    model = fit_string_index(events, [("event_type", "productIndex")])
+    model = fit_string_index(events, [("event_type", "productIndex")], driver_labels=driver_labels)
     indexed = model.transform(events).groupBy("user_id", "productIndex").agg(F.round(F.sum("value"), 2).alias("score"))
     arrays = indexed.groupBy("user_id").agg(
         F.collect_list(F.struct(F.col("productIndex").cast("int").alias("index"), F.col("score").cast("float").alias("score"))).alias(
             "recommendations"
         )
     )
-    catalogue = recommend.catalogue_of(model.labels("productIndex"), arrays)
-    named = recommend.revert_item_index_in_recommendations(arrays, catalogue)
+    catalogue = model.catalogue(spark, "productIndex")
+    named = recommend.revert_item_index_in_recommendations(arrays, catalogue, rows_at_once=rows_at_once)
     return named.select("user_id", F.inline("recommendations"))

@@ -1,4 +1,4 @@
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from retentia.catalog import query, table
@@ -160,6 +160,30 @@ def preprocess_flow(spark, folder):
     return flow_report(train, test, "quality")
 
 
+@query(
+    "preprocess_flow_wide_numeric",
+    f"""WITH {_FLOW_SQL}, w AS (SELECT *, CASE WHEN {draw_sql('quality', 'doc_id')} < 0.8 THEN 'train' ELSE 'test' END AS part
+          FROM d), t AS (SELECT part AS split, quality AS label, (n_chars / 100)::DECIMAL(12, 2)::DOUBLE AS dec, (doc_id % 100)::DOUBLE AS small,
+          (doc_id % 7)::DOUBLE AS tiny, n_chars::DOUBLE AS v FROM w)
+        SELECT split, label, slot, count(*) AS rows, round(sum(value), 4) AS total
+        FROM (SELECT split, label, unnest([0, 1, 2, 3])::INT AS slot, unnest([dec, small, tiny, v]) AS value FROM t) GROUP BY ALL""",
+)
+def preprocess_flow_wide_numeric(spark, folder):
+    """Decimal, short, byte and vector features."""
+    rows = labelled_documents(spark, folder).select(
+        "doc_id",
+        "quality",
+        (F.col("n_chars") / 100).cast("decimal(12, 2)").alias("dec"),
+        (F.col("doc_id") % 100).cast("smallint").alias("small"),
+        (F.col("doc_id") % 7).cast("tinyint").alias("tiny"),
+        array_to_vector(F.array(F.col("n_chars").cast("double"))).alias("v"),
+    )
+    train, test = preprocess_data(
+        rows, "quality", {"row_threshold": 0.4, "column_threshold": 0.2}, stratified_split=True, train_split_ratio=0.8, seed=SEED, key="doc_id"
+    )
+    return flow_report(train, test, "quality")
+
+
 @query("preprocess_flow_nearmiss")
 def preprocess_flow_nearmiss(spark, folder):
     """NearMiss-2 inside the flow: as many rows of the large class as the small one has."""

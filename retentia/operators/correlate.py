@@ -17,7 +17,7 @@ from retentia.functions.ordering import running_total
 from retentia.functions.scratch import local_table, materialize
 
 METHODS = ("pearson", "spearman")
-VECTOR, RANK = "__vector", "__rank"
+VECTOR, RANK, ROW = "__vector", "__rank", "__row"
 MOMENT_COLUMNS = 20
 
 
@@ -47,17 +47,17 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """Replace values by ranks from 1, ties sharing their mean rank.
 
     Ranks come from the counts of distinct values, so a value held by most rows is
-    one row of the rank table.
+    one row of the rank table. All columns go through one look-up and one regrouping.
     """
-    counts = df.unpivot([], columns, "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+    numbered = materialize(df.select(*map(column, columns), F.monotonically_increasing_id().alias(ROW)), "numbers")
+    melted = numbered.unpivot([ROW], columns, "column", "value")
+    counts = melted.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
     ranks = running_total(counts, ["column"], [F.col("value").asc()], F.col("count"), "before").select(
-        "column", "value", "count", (F.col("before") + (F.col("count") + 1) / 2).alias(RANK)
+        F.struct("column", "value").alias("key"), "count", (F.col("before") + (F.col("count") + 1) / 2).alias(RANK)
     )
-    ranks = materialize(ranks, "ranks", ["column"])
-    for name in columns:
-        table = KeyTable(ranks.filter(F.col("column") == name).drop("column"), "value", stored=True)
-        df = table.attach(df, column(name), [RANK]).drop(name).withColumnRenamed(RANK, name)
-    return df
+    table = KeyTable(materialize(ranks, "ranks"), "key", stored=True)
+    placed = table.attach(melted, F.struct("column", "value"), [RANK])
+    return placed.groupBy(ROW).agg(*[F.max(F.when(F.col("column") == name, F.col(RANK))).alias(name) for name in columns]).drop(ROW)
 
 
 def _check(method: str) -> None:
@@ -87,5 +87,7 @@ def _moments(df: DataFrame, columns: list[str]) -> list[list[float]]:
 
 def _blocks(df: DataFrame, columns: list[str]) -> list[list[float]]:
     """The built-in matrix, for more columns than one aggregation should have pairs of."""
+    if df.isEmpty():
+        return [[1.0 if a == b else math.nan for b in columns] for a in columns]
     assembled = VectorAssembler(inputCols=columns, outputCol=VECTOR).transform(df).select(VECTOR)
     return Correlation.corr(assembled, VECTOR, "pearson").head()[0].toArray().tolist()

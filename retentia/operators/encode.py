@@ -7,14 +7,14 @@ from dataclasses import dataclass
 
 from pyspark.ml import Transformer
 from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexerModel, VectorAssembler, VectorIndexer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retentia.functions.columns import column
 from retentia.functions.keytable import BROADCAST_BYTES, BROADCAST_ROWS, KeyTable
 from retentia.functions.ordering import running_total
-from retentia.functions.scratch import materialize
+from retentia.functions.scratch import local_table, materialize
 from retentia.operators.profile import column_ranges
 
 INVALID = ("error", "skip", "keep")
@@ -52,7 +52,10 @@ class TableIndexer:
     def revert(self, df: DataFrame, index_col: str, out: str) -> DataFrame:
         values = self.table.frame.select(INDEX, F.col("value").alias(VALUE), "count")
         by_index = KeyTable(values, INDEX, stored=True)
-        return by_index.attach(df, column(index_col), [VALUE]).withColumnRenamed(VALUE, out)
+        found = by_index.attach(df, column(index_col), [VALUE])
+        unknown = F.raise_error(F.concat(F.lit("no value for index "), column(index_col).cast("string"))).cast("string")
+        known = F.when(column(index_col).isNotNull() & F.col(VALUE).isNull(), unknown).otherwise(F.col(VALUE))
+        return found.withColumn(out, known).select(*[column(name) for name in (*df.columns, out)])
 
 
 @dataclass(frozen=True)
@@ -64,8 +67,18 @@ class IndexerModel:
     tables: tuple[TableIndexer, ...] = ()
 
     def labels(self, output_col: str) -> list[str]:
+        """Values in order of their index, where they are few enough for the driver; ``catalogue`` always works."""
+        if output_col not in self.natives:
+            raise ValueError(f"no labels on the driver for {output_col}; use catalogue")
         return list(self.natives[output_col].labels)
 
+    def catalogue(self, spark: SparkSession, output_col: str) -> DataFrame:
+        """``(item_index, item)`` of an index column, however many values it has."""
+        table = self.table(output_col)
+        if table is None:
+            return local_table(spark, list(enumerate(self.labels(output_col))), "item_index bigint, item string")
+        return table.table.frame.select(F.col(INDEX).cast("long").alias("item_index"), F.col("value").alias("item"))
+
     def table(self, output_col: str) -> TableIndexer | None:
         return next((table for table in self.tables if table.output_col == output_col), None)
 
@@ -78,6 +91,11 @@ class IndexerModel:
         before = df.columns
         for model in (*self.natives.values(), *self.tables):
             df = model.transform(df)
+        # Slots of one-hot vectors are named by these attributes: alike for vocabularies of any size.
+        for out, model in self.natives.items():
+            size = len(model.labels) + (model.getHandleInvalid() == "keep")
+            attribute = {"ml_attr": {"type": "nominal", "name": out, "num_vals": size}}
+            df = df.withColumn(out, column(out).alias(out, metadata=attribute))
         return df.select(*[column(name) for name in (*before, *self.outputs)])
 
 

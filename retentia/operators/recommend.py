@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import column
-from retentia.functions.keytable import KeyTable
+from retentia.functions.keytable import BROADCAST_BYTES, BROADCAST_ROWS, KeyTable
 from retentia.functions.scratch import local_table, materialize
 
-ROW, USER = "__row", "__user"
+ROW, USER, ITEMS = "__row", "__user", "__items"
 GROUP_LIMIT = 1_000
 SLICES = 64
 
@@ -87,16 +87,41 @@ def catalogue_of(labels: list[str], df: DataFrame) -> DataFrame:
     return local_table(df.sparkSession, list(enumerate(labels)), "item_index bigint, item string")
 
 
+def _as_array(catalogue: DataFrame, most: int) -> DataFrame | None:
+    """The items in one row as an array by index, if they are few, small and numbered without gaps from 0."""
+    found = catalogue.agg(
+        F.count(F.lit(1)), F.count_distinct("item_index"), F.min("item_index"), F.max("item_index"), F.sum(F.octet_length("item"))
+    ).first()
+    rows, distinct, low, high, size = found
+    if not rows or rows > most or distinct != rows or low != 0 or high != rows - 1 or (size or 0) > BROADCAST_BYTES:
+        return None
+    pairs = F.sort_array(F.collect_list(F.struct("item_index", "item")))
+    return catalogue.agg(F.transform(pairs, lambda pair: pair["item"]).alias(ITEMS))
+
+
+def _by_array(df: DataFrame, items: DataFrame, recommendations_col: str, index: str, score: str) -> DataFrame:
+    def named(rec: Column) -> Column:
+        at = rec[index].cast("long")
+        missing = F.raise_error(F.concat(F.lit("no item for index "), F.coalesce(at.cast("string"), F.lit("null")))).cast("string")
+        item = F.when((at >= 0) & (at < F.size(ITEMS)), F.get(F.col(ITEMS), at.cast("int")))
+        return F.struct(F.when(item.isNotNull(), item).otherwise(missing).alias("asin"), rec[score].cast("float").alias("score"))
+
+    joined = df.crossJoin(F.broadcast(items)).withColumn(recommendations_col, F.transform(column(recommendations_col), named))
+    return joined.select(*[column(name) for name in df.columns])
+
+
 def revert_item_index_in_recommendations(
-    df: DataFrame, catalogue: DataFrame, recommendations_col: str = "recommendations"
+    df: DataFrame, catalogue: DataFrame, recommendations_col: str = "recommendations", rows_at_once: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Replace ``(index, score)`` elements by ``(asin, score)`` from ``(item_index, item)``.
 
-    Elements are looked up one by one, whatever the catalogue's size, and each row's
-    array is put together again in its order. An index that is not in the catalogue
-    is an error.
+    A small catalogue whose indexes count from 0 is broadcast as one array, and rows stay as
+    they are. With any other, elements are looked up one by one and each row's array is put
+    together again in its order. An index that is not in the catalogue is an error either way.
     """
     index, score = element_fields(df, recommendations_col)
+    if rows_at_once > 0 and (items := _as_array(catalogue, rows_at_once)) is not None:
+        return _by_array(df, items, recommendations_col, index, score)
     numbered = materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "recommendations")
     elements = numbered.select(ROW, F.posexplode(column(recommendations_col)).alias("at", "rec")).select(
         ROW, "at", F.col("rec")[index].cast("long").alias("index"), F.col("rec")[score].cast("float").alias("score")

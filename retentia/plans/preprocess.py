@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,17 @@ FIT_ON = ("all", "train")
 ROW_KEY, SPLIT = "__row_key", "__split"
 
 
+class Prepared(tuple):
+    """``(train, test)``, with the names of the columns ``left_out`` of the features."""
+
+    left_out: list[str]
+
+    def __new__(cls, parts: tuple[DataFrame, DataFrame], left_out: list[str]) -> Prepared:
+        prepared = super().__new__(cls, parts)
+        prepared.left_out = left_out
+        return prepared
+
+
 def preprocess_data(
     df: DataFrame,
     labels_col: str,
@@ -38,9 +50,13 @@ def preprocess_data(
     seed: int | None = None,
     key: str | Sequence[str] | None = None,
     fit_on: str = "all",
-) -> tuple[DataFrame, DataFrame]:
+) -> Prepared:
     """Clean, de-duplicate, encode, scale, assemble, split and rebalance.
 
+    Returns the training and the test part. The slots of ``features`` are the categorical
+    columns, then the numeric ones (decimal, short and byte among them), the boolean ones, and vectors,
+    each group in the order of the table. ``left_out`` of the result names the columns that could
+    not become features: one-hot encoded ones with a single value and scaled ones that are constant.
     Both results have ``features`` and the label (``<label>_index`` for text labels).
     Rebalancing applies to the training part only. ``key`` columns identify rows and
     are no features; without them a row is identified by its content, which is unique
@@ -69,11 +85,12 @@ def preprocess_data(
     rows = materialize(marked, "cleaned")
     sample = rows.filter(F.col(SPLIT) == "train") if fit_on == "train" else rows
 
-    groups = columns_types(rows.drop(ROW_KEY, SPLIT, *keys))
+    groups = columns_types(rows.drop(ROW_KEY, SPLIT, *keys), wide_numeric=True)
+    vectors = [f.name for f in rows.schema.fields if isinstance(f.dataType, VectorUDT) and f.name not in (labels_col, *keys)]
     categorical = [name for name in groups["categorical_cols"] if name != labels_col]
     numerical = [name for name in groups["numeric_cols"] if name != labels_col]
     others = [name for name in rows.columns if name not in (ROW_KEY, SPLIT, labels_col, *keys, *categorical, *numerical)]
-    unusable = [name for name in others if name not in groups["boolean_cols"]] + (categorical if how is None else [])
+    unusable = [name for name in others if name not in groups["boolean_cols"] + vectors] + (categorical if how is None else [])
     if unusable:
         raise ValueError(f"columns cannot become features as they are: {unusable}; drop or transform them first")
 
@@ -83,6 +100,7 @@ def preprocess_data(
         label = f"{labels_col}_index"
         pairs = [*pairs, (labels_col, label)]
     features: list[str] = []
+    left_out: list[str] = []
     if pairs:
         indexer = fit_string_index(sample, pairs, handle_invalid="skip" if fit_on == "train" else "error")
         sample, rows = indexer.transform(sample), indexer.transform(rows)
@@ -94,15 +112,17 @@ def preprocess_data(
             _, encoder = encoded_index_columns(sample, [(f"{name}_index", f"{name}_encoded") for name in encodable])
             rows = encoder.transform(rows)
         features += [f"{name}_encoded" for name in encodable]
+        left_out += [name for name in categorical if name not in encodable]
     if transformation_numerical == "normalize" and numerical:
         ranges = column_ranges(sample, numerical)
         # A constant column scales to null, and a null feature would cost its row.
         scaled = min_max_expressions({name: (low, high) for name, (low, high) in ranges.items() if low != high})
         rows = rows.withColumns(scaled)
         features += list(scaled)
+        left_out += [name for name, (low, high) in ranges.items() if low == high]
     else:
         features += numerical
-    features += [name for name in groups["boolean_cols"] if name != labels_col]
+    features += [name for name in groups["boolean_cols"] if name != labels_col] + vectors
 
     assembled = vector_feature_column(rows, features, "features").select(
         "features", column(label), ROW_KEY, SPLIT
@@ -118,4 +138,4 @@ def preprocess_data(
         train = undersample_nearmiss_v2(train, "features", label, key=ROW_KEY, **options)
     elif rebalancing_technique == "class_weights":
         train = compute_class_weights_column(train, label)
-    return train.drop(ROW_KEY), test
+    return Prepared((train.drop(ROW_KEY), test), left_out)

@@ -149,8 +149,10 @@ def test_bins_must_hold_the_categories(spark):
     indexed, _ = encode.vector_index_column(vector, "v", "f", 50)
     assert models.category_counts(indexed, "f") == {"c": 40}
     options = {"grid": {"maxBins": [32, 64], "maxDepth": [2]}}
-    models.check_bins(indexed, "f", "RandomForestClassifier", options)
-    assert options["grid"] == {"maxBins": [64], "maxDepth": [2]}
+    with pytest.raises(ValueError, match="40 categories"):
+        models.check_bins(indexed, "f", "RandomForestClassifier", options)
+    grid, left_out = models.usable_grid(indexed, "f", "RandomForestClassifier", options["grid"])
+    assert grid == {"maxBins": [64], "maxDepth": [2]} and left_out == [32]
     with pytest.raises(ValueError, match="40 categories"):
         models.train_classification_model(indexed, "y", "f", None, "RandomForestClassifier", grid={"maxDepth": [2]})
 
