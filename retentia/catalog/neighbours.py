@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from retentia.catalog import query, table
+from retentia.functions.scratch import materialize
 from retentia.operators.nearmiss import Sizes, undersample_nearmiss_v2
 
 K = 3
@@ -49,6 +50,16 @@ def nearmiss2_repeated_keys(spark, folder):
     return one.unionByName(two).select("vec_id", "label", "form")
 
 
-@query("nearmiss2_approx")
+@query(
+    "nearmiss2_approx",
+    """WITH smallest AS (SELECT label FROM embeddings GROUP BY label ORDER BY count(*), label LIMIT 1)
+       SELECT vec_id, label, true AS others_within FROM embeddings WHERE label = (SELECT label FROM smallest)""",
+)
 def nearmiss2_approx(spark, folder):
-    return undersample_nearmiss_v2(_embeddings(spark, folder), "v", "label", K, key="vec_id", approx=True).drop("v")
+    """The minority, whole, and whether at most as many other rows came with it."""
+    kept = materialize(undersample_nearmiss_v2(_embeddings(spark, folder), "v", "label", K, key="vec_id", approx=True).drop("v"), "kept")
+    sizes = table(spark, folder, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    rare = sizes.orderBy("size", "label").limit(1)
+    others = kept.join(F.broadcast(rare), "label", "left_anti").agg(F.count(F.lit(1)).alias("others"))
+    minority = kept.join(F.broadcast(rare), "label").crossJoin(F.broadcast(others))
+    return minority.select("vec_id", "label", (F.col("others") <= F.col("size")).alias("others_within"))

@@ -184,7 +184,20 @@ def preprocess_flow_wide_numeric(spark, folder):
     return flow_report(train, test, "quality")
 
 
-@query("preprocess_flow_nearmiss")
+@query(
+    "preprocess_flow_nearmiss",
+    f"""WITH {_FLOW_SQL}, t AS (SELECT * FROM f WHERE split = 'train'),
+          rare AS (SELECT quality, n FROM r ORDER BY n, quality LIMIT 1),
+          pairs AS (SELECT a.doc_id, sqrt((a.lx - b.lx) * (a.lx - b.lx) + (a.sx - b.sx) * (a.sx - b.sx) + (a.nx - b.nx) * (a.nx - b.nx)) AS dist
+                    FROM t a JOIN t b ON a.quality <> (SELECT quality FROM rare) AND b.quality = (SELECT quality FROM rare)),
+          places AS (SELECT doc_id, dist, row_number() OVER (PARTITION BY doc_id ORDER BY dist DESC) AS place FROM pairs),
+          scores AS (SELECT doc_id, avg(dist) AS score FROM places WHERE place <= 3 GROUP BY doc_id),
+          near AS (SELECT doc_id FROM scores ORDER BY score, doc_id LIMIT (SELECT n FROM rare)),
+          kept AS (SELECT * FROM f WHERE split = 'test' OR quality = (SELECT quality FROM rare) OR doc_id IN (SELECT doc_id FROM near))
+        SELECT split, quality AS label, 0 AS slot, count(*) AS rows, round(sum(lx), 4) AS total FROM kept GROUP BY ALL
+        UNION ALL SELECT split, quality, 1, count(*), round(sum(sx), 4) FROM kept GROUP BY ALL
+        UNION ALL SELECT split, quality, 2, count(*), round(sum(nx), 4) FROM kept GROUP BY ALL""",
+)
 def preprocess_flow_nearmiss(spark, folder):
     """NearMiss-2 inside the flow: as many rows of the large class as the small one has."""
     train, test = preprocess_data(
