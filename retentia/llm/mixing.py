@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from retentia.functions.columns import column
 from retentia.functions.ordering import running_total
-from retentia.functions.scratch import local_table, materialize
+from retentia.functions.scratch import local_table
 
 WEIGHTS = (3, 1, 2)
 VOLUME = 1.5
@@ -131,7 +131,7 @@ def mix(
     names = F.array_sort(F.array_distinct(sources))
     marked = df.select(F.struct(*[column(name) for name in df.columns]).alias("row"), size.alias("size"), names.alias("names"))
     tie = F.xxhash64(*[F.col("row").getField(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
-    rows = materialize(marked.withColumns({"id": F.col("row").getField(key), "tie": tie}).withColumn("mark", F.xxhash64(F.lit(seed), "id")).select("row", "size", "names", "id", "tie", "mark"), "mix-rows")
+    rows = marked.withColumns({"id": F.col("row").getField(key), "tie": tie, "mark": F.xxhash64(F.lit(seed), F.col("row").getField(key))})
     sums = rows.groupBy("names").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
     if len(sums) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} sets of sources")
