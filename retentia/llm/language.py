@@ -33,6 +33,7 @@ LEAST_RATIO = 0.1
 BITS_PER_ENTRY = 12
 HASHES = 5
 HELD_WORDS = 1 << 19
+HELD_GRAMS = 1 << 16
 WORD_CHARS = 256
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -56,6 +57,7 @@ class LanguageFilters:
     languages: list[str]
     masks: np.ndarray
     _memo: Memo | None = field(default=None, repr=False)
+    _grams: Memo | None = field(default=None, repr=False)
 
     @classmethod
     def build(cls, languages: list[str], entries: list[tuple[str, list[int]]]) -> LanguageFilters:
@@ -101,14 +103,23 @@ class LanguageFilters:
 
     def hits(self, words: list[str]) -> np.ndarray:
         """Per word, its number of n-grams and those that each language claims."""
+        if self._grams is None:
+            self._grams = Memo(self._look_up, HELD_GRAMS)
         grams = [ngrams(word) for word in words]
         counts = np.array(list(map(len, grams)), np.int64)
-        places = self._places([gram for some in grams for gram in some], len(self.masks))
+        found = b"".join(self._grams([gram for some in grams for gram in some]))
+        claimed = np.frombuffer(found, "<i4").reshape(-1, len(self.languages) + 1)
+        return np.add.reduceat(claimed, np.cumsum(counts) - counts, axis=0).astype("<i4")
+
+    def _look_up(self, grams: list[str]) -> list[bytes]:
+        """Per n-gram, a one and the languages whose filters contain it."""
+        places = self._places(grams, len(self.masks))
         masks = self.masks[next(places)]
         for more in places:
             masks &= self.masks[more]
-        claimed = np.add.reduceat(self._bits(masks), np.cumsum(counts) - counts, axis=0, dtype=np.int64)
-        return np.column_stack([counts, claimed]).astype("<i4")
+        bits = self._bits(masks)
+        data, width = np.column_stack([np.ones(len(grams)), bits]).astype("<i4").tobytes(), 4 * (len(self.languages) + 1)
+        return [data[at : at + width] for at in range(0, len(data), width)]
 
 
 def word_counts(df: DataFrame, text: str, lang: str) -> DataFrame:

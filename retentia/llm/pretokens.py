@@ -13,6 +13,7 @@ import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -147,14 +148,21 @@ class Memo:
     """Remembers what a function gives for a pre-token.
 
     Holds two generations of ``limit`` pre-tokens at most; what is met again moves to the
-    younger one, and the older one is forgotten when the younger is full.
+    younger one, and the older one is forgotten when the younger is full. Worker processes serve
+    one stage after another: of memos with the full limit, only the one used last holds anything.
     """
 
+    _holder: ClassVar[Memo | None] = None
+
     def __init__(self, fill: Callable[[list[str]], list], limit: int = MEMO_PIECES):
         self._fill, self._limit, self._young, self._old = fill, limit, {}, {}
 
     def __call__(self, pieces: list[str]) -> list:
         """Values of the pieces in order; those not known are computed in one call."""
+        if Memo._holder is not self and self._limit >= MEMO_PIECES:
+            if Memo._holder is not None:
+                Memo._holder._young, Memo._holder._old = {}, {}
+            Memo._holder = self
         values = list(map(self._young.get, pieces))
         if None in values:
             missing = {piece: self._old.get(piece) for piece, value in zip(pieces, values) if value is None}

@@ -34,7 +34,7 @@ from retentia.functions.columns import column
 from retentia.llm.pretokens import Memo, TokenizerFile, no_collector, tokenizer_file
 
 ID_TYPE = np.dtype("<u4")
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 SHORT = 48
 WINDOWS = 8
 
