@@ -39,13 +39,34 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@query("op1_arc_to_warc")
+_BASE32 = """list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(x, (5 * i // 4 + 1)::BIGINT, 2))::BIGINT >> (3 - 5 * i % 4)::BIGINT) & 31) + 1)::BIGINT, 1)), 'string_agg', '')"""
+
+
+@query(
+    "op1_arc_to_warc",
+    f"""WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+          t AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS largest FROM d)
+        SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+          CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+          CASE WHEN page_id <> largest THEN largest END AS refers_to FROM t""",
+)
 def op1_arc_to_warc(spark, folder):
     read = archive_pages(table(spark, folder, "pages"), "page_id", "url", "html", scratch_path(spark, "archives"), least_bytes=0)
     return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op2_spherical_cells")
+@query(
+    "op2_spherical_cells",
+    """WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+          links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+          reached AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+          smallest AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
+        SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN smallest ON a = vec_id""",
+)
 def op2_spherical_cells(spark, folder):
     return near_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding", "label", threshold=0.98)
 
