@@ -192,3 +192,44 @@ def model_table(spark, folder):
         drop=["source", "toxic"],
     )
     return prepared.select("doc_id", "Churn_Index", F.posexplode(vector_to_array("features")).alias("slot", "value"))
+
+
+@query(
+    "model_table_weights",
+    """SELECT doc_id, round((SELECT count(*) FROM documents JOIN labels USING (doc_id)) /
+       (count(*) OVER (PARTITION BY quality) * (SELECT count(DISTINCT quality) FROM documents JOIN labels USING (doc_id))), 6) AS class_weights
+       FROM documents JOIN labels USING (doc_id)""",
+)
+def model_table_weights(spark, folder):
+    rows = labelled_documents(spark, folder)
+    prepared, _ = process_data_to_model(
+        rows, [("lang", "langIndex")], [("langIndex", "langEncoded")], ["langEncoded", "n_chars"], "quality", drop=["source", "toxic"]
+    )
+    return rounded(prepared.select("doc_id", "class_weights"), "class_weights")
+
+
+@query(
+    "feature_vectors_mixed",
+    """WITH d AS (SELECT doc_id, lang, n_chars, (n_chars > 1000)::INT AS long, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS y
+                  FROM documents JOIN labels USING (doc_id)),
+         l AS (SELECT lang, row_number() OVER (ORDER BY count(*) DESC, lang) - 1 AS lx FROM d GROUP BY lang),
+         c AS (SELECT y, row_number() OVER (ORDER BY count(*) DESC, y) - 1 AS yx, count(*) AS n FROM d GROUP BY y)
+       SELECT doc_id, yx::DOUBLE AS label, round((SELECT count(*) FROM d) / (2 * n), 6) AS class_weights,
+              unnest([0, 1, 2])::INT AS slot, unnest([lx::DOUBLE, long::DOUBLE, n_chars::DOUBLE]) AS value
+       FROM d JOIN l USING (lang) JOIN c USING (y)""",
+)
+def feature_vectors_mixed(spark, folder):
+    """A text, a boolean and a number as features of a text label."""
+    rows = labelled_documents(spark, folder).select(
+        "doc_id", "lang", "n_chars", (F.col("n_chars") > 1000).alias("long"), F.when(F.col("quality") == 1, "good").otherwise("bad").alias("y")
+    )
+    vectors = get_indexed_and_encode_vectors(rows, ["lang", "long", "n_chars"], "y")
+    return rounded(
+        vectors.df.select(
+            "doc_id",
+            F.col(vectors.label_col).alias("label"),
+            F.col(vectors.weight_col).alias("class_weights"),
+            F.posexplode(vector_to_array(vectors.indexed_col)).alias("slot", "value"),
+        ),
+        "class_weights",
+    )

@@ -242,3 +242,27 @@ def correlation_spearman(spark, folder):
 def feature_correlation(spark, folder):
     customer = table(spark, folder, "customer").select("c_mktsegment", "c_nationkey", "c_acctbal")
     return rounded(show_correlation_matrix(customer, "c_nationkey", "pearson"), "correlation")
+
+
+_FEATURES = ["c_mktsegmentIndex", "c_nationkey", "c_acctbal"]
+_FEATURE_RANKS = ", ".join(
+    f"""rank() OVER (ORDER BY "{name}") + (count(*) OVER (PARTITION BY "{name}") - 1) / 2 AS "{name}" """ for name in _FEATURES
+)
+
+
+@query(
+    "feature_correlation_spearman",
+    f"""WITH idx AS (SELECT c_mktsegment AS s, row_number() OVER (ORDER BY count(*) DESC, c_mktsegment) - 1 AS ix
+                     FROM customer GROUP BY c_mktsegment),
+        f AS (SELECT ix::DOUBLE AS "c_mktsegmentIndex", c_nationkey::DOUBLE AS c_nationkey, c_acctbal
+              FROM customer JOIN idx ON c_mktsegment = s),
+        r AS (SELECT {_FEATURE_RANKS} FROM f) """
+    + " UNION ALL ".join(
+        f"""SELECT '{a}' AS row_name, '{b}' AS col_name, round(corr("{a}", "{b}"), 6) AS correlation FROM r"""
+        for a in _FEATURES
+        for b in _FEATURES
+    ),
+)
+def feature_correlation_spearman(spark, folder):
+    customer = table(spark, folder, "customer").select("c_mktsegment", "c_nationkey", "c_acctbal")
+    return rounded(show_correlation_matrix(customer, "c_nationkey", "spearman"), "correlation")

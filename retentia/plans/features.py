@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from retentia.functions.columns import columns_types
+from retentia.functions.scratch import materialize
 from retentia.operators.balance import compute_class_weights_column
 from retentia.operators.correlate import vector_correlation
 from retentia.operators.encode import (
@@ -48,8 +49,9 @@ def get_indexed_and_encode_vectors(df: DataFrame, feature_cols: Sequence[str], l
 
     Categorical features come first in the vectors, then boolean, then numeric ones.
     Features with a single value cannot be one-hot encoded; they are left out of the
-    encoded vector and named in ``not_encoded``.
+    encoded vector and named in ``not_encoded``. The table is written first, as several fits read it.
     """
+    df = materialize(df, "features")
     groups = columns_types(df)
     numeric, categorical, boolean = (
         [name for name in groups[group] if name in feature_cols]
