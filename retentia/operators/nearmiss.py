@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import sys
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +47,7 @@ ROW, ID, POINT, SCORE, FLOOR, COPY = "__row", "__id", "__point", "__score", "__f
 SLACK = 1e-9
 MARGIN = 8
 BOUNDS = 1_024
+MERGE_SLICES = 64
 
 
 @dataclass(frozen=True)
@@ -326,7 +328,7 @@ def _tiles(left: DataFrame, right: DataFrame, right_chunks: Column, k: int) -> D
     id_type = left.schema[ID].dataType.simpleString()
     other_type = right.schema["__other"].dataType.simpleString()
 
-    def multiply(rows: pa.Table, others: pa.Table) -> pa.Table:
+    def multiply(key: tuple, rows: pa.Table, others: pa.Table) -> pa.Table:
         ids, other_ids = rows[ID].combine_chunks(), others["__other"].combine_chunks()
         if len(ids) and len(other_ids):
             points, other_points = _matrix(rows[POINT]), _matrix(others["__other_point"])
@@ -343,11 +345,16 @@ def _tiles(left: DataFrame, right: DataFrame, right_chunks: Column, k: int) -> D
         far = pa.StructArray.from_arrays(
             [pa.array(distances[kept]), other_ids.take(pa.array(positions[kept]))], ["distance", "other"]
         )
+        part = np.full(int(some.sum()), zlib.crc32(str(key[0].as_py()).encode()) % MERGE_SLICES)
         return pa.table(
-            {ID: ids.filter(pa.array(some)), "far": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), far)}
+            {
+                ID: ids.filter(pa.array(some)),
+                "slice": pa.array(part, pa.int32()),
+                "far": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), far),
+            }
         )
 
-    schema = f"`{ID}` {id_type}, far array<struct<distance:double,other:{other_type}>>"
+    schema = f"`{ID}` {id_type}, slice int, far array<struct<distance:double,other:{other_type}>>"
     return left_side.groupBy(*tile).cogroup(right_side.groupBy(*tile)).applyInArrow(multiply, schema)
 
 
@@ -362,9 +369,16 @@ def _exact_distances(points: np.ndarray, others: np.ndarray, positions: np.ndarr
 
 
 def _scores(tiles: DataFrame, k: int) -> DataFrame:
-    """Mean of the k largest distances of each row to different rows; a tile gives at most k."""
-    merged = tiles.groupBy(ID).agg(F.flatten(F.collect_list("far")).alias("far"))
-    top = F.slice(F.sort_array(F.array_distinct("far"), asc=False), 1, k)
+    """Mean of the k largest distances of each row to different rows; a tile gives at most k.
+
+    Tiles are merged slice by slice first, so no group holds the distances of all tiles.
+    """
+
+    def largest(rows: DataFrame, *groups: str) -> DataFrame:
+        merged = rows.groupBy(*groups).agg(F.flatten(F.collect_list("far")).alias("far"))
+        return merged.select(*groups, F.slice(F.sort_array(F.array_distinct("far"), asc=False), 1, k).alias("far"))
+
+    merged, top = largest(largest(tiles, ID, "slice"), ID), F.col("far")
     total = F.aggregate(top, F.lit(0.0), lambda sum_, pair: sum_ + pair["distance"])
     return merged.select(ID, (total / F.size(top)).alias(SCORE))
 

@@ -8,6 +8,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
+    from retentia.functions import scratch
     from retentia.session import build_session
 
     session = build_session(
@@ -19,4 +20,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    scratch.release(session)
     session.stop()
