@@ -14,112 +14,169 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retentia.functions.columns import column
 from retentia.functions.scratch import materialize
-from retentia.llm.pretokens import Memo, no_collector, stretches
+from retentia.llm.pretokens import no_collector, stretches
 
-ORDERS = (2, 3)
 LEAST_SHARE = 1e-5
 LEAST_RATIO = 0.1
 BITS_PER_ENTRY = 12
 HASHES = 5
 HELD_WORDS = 1 << 19
-HELD_GRAMS = 1 << 16
-WORD_CHARS = 256
+PIECE_CHARS = 1 << 18
 UNKNOWN = "und"
+BLANK = ord(" ")
+CODE_BITS = 21
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, in lower case."""
-    return _WORD.findall(text.lower()) if text else []
+    found = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    # The pattern takes numbers such as fractions for letters.
+    return "".join(char if char.isalpha() else " " for char in text.lower()).split()
 
 
-def ngrams(word: str) -> list[str]:
-    """N-grams of a word with a blank before and after it."""
+def ngrams(word: str) -> Iterator[str]:
+    """Pairs and triples of characters of a word with a blank before and after it; triples have a letter in the middle."""
     marked = f" {word} "
-    return [marked[at : at + n] for n in ORDERS for at in range(len(marked) - n + 1)]
+    yield from map("".join, zip(marked, marked[1:]))
+    yield from map("".join, zip(marked, marked[1:], marked[2:]))
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Each code point, or a blank for those that are no letters."""
+    codes = np.arange(0x110000, dtype=np.uint32)
+    return np.where(np.fromiter(map(str.isalpha, map(chr, range(len(codes)))), bool, len(codes)), codes, np.uint32(BLANK))
+
+
+def _codes(text: str) -> np.ndarray:
+    return _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.uint64)
+
+
+def _hashed(packed: np.ndarray) -> np.ndarray:
+    """A bijective mix of 64-bit numbers."""
+    x = packed * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def _pairs(codes: np.ndarray) -> np.ndarray:
+    return codes[:-1] | codes[1:] << np.uint64(CODE_BITS)
+
+
+def _triples(codes: np.ndarray) -> np.ndarray:
+    return _pairs(codes)[:-1] | codes[2:] << np.uint64(2 * CODE_BITS)
 
 
 @dataclass
 class LanguageFilters:
-    """Filters of all languages: ``masks`` has a row of 64-bit words per position, bit i of word j for language 64 j + i."""
+    """Filters of all languages: ``masks`` has a row of words per position, bit i of word j for language 64 j + i.
+
+    The number of positions is a power of two. With few languages a row is one narrow word.
+    """
 
     languages: list[str]
     masks: np.ndarray
-    _memo: Memo | None = field(default=None, repr=False)
-    _grams: Memo | None = field(default=None, repr=False)
 
     @classmethod
     def build(cls, languages: list[str], entries: list[tuple[str, list[int]]]) -> LanguageFilters:
-        """``entries`` has n-grams and the numbers of the languages that contain them."""
-        most = np.bincount([x for _, numbers in entries for x in numbers], minlength=1).max(initial=1)
-        words = -(-max(1, len(languages)) // 64)
-        masks = np.zeros((int(most) * BITS_PER_ENTRY + 64, words), np.uint64)
+        """``entries`` has pairs and triples of characters and the numbers of the languages that contain them."""
+        most = int(np.bincount([x for _, numbers in entries for x in numbers], minlength=1).max(initial=1))
+        masks = np.zeros((1 << (most * BITS_PER_ENTRY).bit_length(), -(-max(1, len(languages)) // 64)), np.uint64)
         grams = [gram for gram, numbers in entries for _ in numbers]
         numbers = np.array([x for _, numbers in entries for x in numbers], np.int64)
-        if len(grams):
-            for places in cls._places(grams, len(masks)):
-                np.bitwise_or.at(masks, (places, numbers // 64), np.uint64(1) << (numbers % 64).astype(np.uint64))
-        return cls(languages, masks)
+        packed = np.array([sum(ord(char) << CODE_BITS * at for at, char in enumerate(gram)) for gram in grams], np.uint64)
+        for places in cls._places(packed, len(masks)):
+            np.bitwise_or.at(masks, (places, numbers // 64), np.uint64(1) << (numbers % 64).astype(np.uint64))
+        return cls(languages, masks.astype(np.uint8) if len(languages) <= 8 else masks)
 
     @staticmethod
-    def _places(grams: list[str], size: int) -> Iterator[np.ndarray]:
-        hashed = np.array([xxhash.xxh3_64_intdigest(gram) for gram in grams], np.uint64)
+    def _places(packed: np.ndarray, size: int) -> Iterator[np.ndarray]:
+        hashed = _hashed(packed)
         place, step = hashed >> np.uint64(32), hashed & np.uint64(0xFFFFFFFF) | np.uint64(1)
         for _ in range(HASHES):
-            yield (place % np.uint64(size)).astype(np.int64)
+            yield (place & np.uint64(size - 1)).astype(np.int64)
             place = place + step
 
-    def false_rates(self) -> np.ndarray:
-        """Chance of each language to claim an n-gram that it does not contain."""
-        return self._bits(self.masks).mean(axis=0) ** HASHES
-
-    def _bits(self, masks: np.ndarray) -> np.ndarray:
-        octets = masks.astype("<u8").view(np.uint8).reshape(len(masks), -1)
-        return np.unpackbits(octets, axis=1, bitorder="little")[:, : len(self.languages)]
-
-    def counts(self, words: list[str]) -> list[bytes]:
-        """As ``hits``, packed, remembered from call to call; a very long word counts in pieces."""
-        if self._memo is None:
-            self._memo = Memo(self._fill)
-        return self._memo(words)
-
-    def _fill(self, words: list[str]) -> list[bytes]:
-        pieces = [[word[at : at + WORD_CHARS] for at in range(0, len(word), WORD_CHARS)] for word in words]
-        ends, width = np.cumsum(list(map(len, pieces))), 4 * (len(self.languages) + 1)
-        found = self.hits([piece for some in pieces for piece in some])
-        data = np.add.reduceat(found, np.concatenate([[0], ends[:-1]]), axis=0).astype("<i4").tobytes()
-        return [data[at : at + width] for at in range(0, len(data), width)]
-
-    def hits(self, words: list[str]) -> np.ndarray:
-        """Per word, its number of n-grams and those that each language claims."""
-        if self._grams is None:
-            self._grams = Memo(self._look_up, HELD_GRAMS)
-        grams = [ngrams(word) for word in words]
-        counts = np.array(list(map(len, grams)), np.int64)
-        found = b"".join(self._grams([gram for some in grams for gram in some]))
-        claimed = np.frombuffer(found, "<i4").reshape(-1, len(self.languages) + 1)
-        return np.add.reduceat(claimed, np.cumsum(counts) - counts, axis=0).astype("<i4")
-
-    def _look_up(self, grams: list[str]) -> list[bytes]:
-        """Per n-gram, a one and the languages whose filters contain it."""
-        places = self._places(grams, len(self.masks))
+    def containing(self, packed: np.ndarray) -> np.ndarray:
+        """Per n-gram, the mask of all languages whose filters contain it."""
+        places = self._places(packed, len(self.masks))
         masks = self.masks[next(places)]
         for more in places:
             masks &= self.masks[more]
-        bits = self._bits(masks)
-        data, width = np.column_stack([np.ones(len(grams)), bits]).astype("<i4").tobytes(), 4 * (len(self.languages) + 1)
-        return [data[at : at + width] for at in range(0, len(data), width)]
+        return masks
+
+    def false_rates(self) -> np.ndarray:
+        """Chance of each language to claim an n-gram that it does not contain."""
+        return np.array([self._bit(self.masks, at).mean() for at in range(len(self.languages))]) ** HASHES
+
+    def _bit(self, masks: np.ndarray, language: int) -> np.ndarray:
+        word = masks[:, language // 64]
+        return (word >> word.dtype.type(language % 64)) & word.dtype.type(1)
+
+    def _count(self, codes: np.ndarray, starts: np.ndarray, skip: int = 0) -> np.ndarray:
+        """Per stretch of windows from ``starts``, the n-grams and those that each language contains.
+
+        ``codes`` begin and end with a blank or a neighbouring letter; the first ``skip`` pairs do not count.
+        """
+        letter = codes != BLANK
+        pair, triple = letter[:-1] | letter[1:], letter[1:-1].copy()
+        pair[:skip] = False
+        total = np.zeros((len(starts), len(self.languages) + 1), np.int64)
+        for packed, valid in ((_pairs(codes), pair), (_triples(codes), triple)):
+            # A last stretch without a window of this length has nothing to add.
+            inside = starts < len(valid)
+            at = starts[inside]
+            masks = self.containing(packed)
+            total[inside, 0] += np.add.reduceat(valid, at, dtype=np.int64)
+            for language in range(len(self.languages)):
+                total[inside, language + 1] += np.add.reduceat(self._bit(masks, language) * valid, at, dtype=np.int64)
+        return total
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """Per text, its number of n-grams and those that each language's filter contains.
+
+        Short texts are counted together, a long one in pieces: memory follows ``PIECE_CHARS``, not the text.
+        """
+        total = np.zeros((len(texts), len(self.languages) + 1), np.int64)
+        lowered = [text.lower() for text in texts]
+        held: list[int] = []
+        size = 0
+        for at, text in enumerate(lowered):
+            if len(text) > PIECE_CHARS:
+                marked = f" {text} "
+                for start in range(0, len(text), PIECE_CHARS):
+                    codes = _codes(marked[start : start + PIECE_CHARS + 2])
+                    total[at] += self._count(codes, np.zeros(1, np.int64), skip=min(start, 1))[0]
+                continue
+            held.append(at)
+            size += len(text)
+            if size > PIECE_CHARS:
+                total[held] = self._together([lowered[x] for x in held])
+                held, size = [], 0
+        if held:
+            total[held] = self._together([lowered[x] for x in held])
+        return total
+
+    def _together(self, texts: list[str]) -> np.ndarray:
+        """Two blanks keep neighbouring texts apart: no n-gram with a letter holds both."""
+        starts = np.cumsum([0, *(len(text) + 2 for text in texts[:-1])])
+        return self._count(_codes(" " + "  ".join(texts) + " "), starts)
 
 
 def word_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
@@ -152,10 +209,8 @@ def gram_counts(words: DataFrame) -> DataFrame:
         for batch in batches:
             counts: Counter = Counter()
             for name, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                # A very long run of letters counts in pieces, so that memory follows the piece.
-                for at in range(0, len(word), WORD_CHARS):
-                    for gram in ngrams(word[at : at + WORD_CHARS]):
-                        counts[name, gram] += n
+                for gram in ngrams(word):
+                    counts[name, gram] += n
             found = list(counts)
             columns = [[name for name, _ in found], [gram for _, gram in found], [counts[x] for x in found]]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["lang", "gram", "n"])
@@ -200,19 +255,16 @@ def predict(df: DataFrame, text: str, filters: LanguageFilters, columns: Sequenc
             texts = batch.column(len(carried))
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for start, stop in stretches(texts):
-                with no_collector():
-                    words = [words_of(text) for text in texts.slice(start, stop - start).to_pylist()]
-                    full = [at for at, some in enumerate(words) if some and model.languages]
-                    if not full:
-                        continue
-                    found = np.frombuffer(b"".join(model.counts([word for at in full for word in words[at]])), "<i4").reshape(-1, len(false) + 1)
-                ends = np.cumsum([len(words[at]) for at in full])
-                total = np.add.reduceat(found, np.concatenate([[0], ends[:-1]]), axis=0, dtype=np.int64)
+                if not model.languages:
+                    break
+                total = model.counts([text or "" for text in texts.slice(start, stop - start).to_pylist()])
+                full = np.flatnonzero(total[:, 0])
+                total = total[full]
                 right = (total[:, 1:] - total[:, :1] * false) / (total[:, :1] * (1 - false))
                 best = right.argmax(axis=1)
-                for at, language in zip(full, best.tolist()):
+                for at, language in zip(full.tolist(), best.tolist()):
                     names[start + at] = model.languages[language]
-                scores[start + np.array(full)] = np.clip(right[np.arange(len(full)), best], 0, 1)
+                scores[start + full] = np.clip(right[np.arange(len(full)), best], 0, 1)
             added = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.record_batch([*batch.columns[: len(carried)], *added], [*carried, "lang_pred", "score"])
 

@@ -256,15 +256,33 @@ def test_no_language_learned(spark):
 
 def test_filters_return_all_languages():
     names = [f"l{n:03d}" for n in range(70)]
-    entries = [(f"g{n}", sorted(random.Random(n).sample(range(70), 3))) for n in range(500)]
+    entries = [(chr(97 + n % 26) + chr(97 + n // 26), sorted(random.Random(n).sample(range(70), 3))) for n in range(500)]
     filters = language.LanguageFilters.build(names, entries)
     assert filters.masks.shape[1] == 2
-    grams = [gram for gram, _ in entries]
-    places = language.LanguageFilters._places(grams, len(filters.masks))
-    masks = filters.masks[next(places)]
-    for more in places:
-        masks &= filters.masks[more]
-    bits = filters._bits(masks)
+    masks = filters.containing(np.array([ord(a) | ord(b) << language.CODE_BITS for (a, b), _ in entries], np.uint64))
+    bits = np.stack([filters._bit(masks, at) for at in range(70)], axis=1)
     assert all(bits[at, numbers].all() for at, (_, numbers) in enumerate(entries))
-    claimed = bits.sum() - 1500
-    assert claimed <= 3 * filters.false_rates().sum() * 500 + 20
+    assert bits.sum() - 1500 <= 3 * filters.false_rates().sum() * 500 + 20
+
+
+def test_counts_are_those_of_the_words(monkeypatch):
+    """Counting whole texts at once, together or in pieces, is counting the n-grams of their words."""
+    texts = ["", "a", "Ab, cd\nE", " über ½x² ", "123", "word " * 50, "x" * 130, "a b"]
+    entries = {}
+    for at, text in enumerate(texts[1:6]):
+        for word in language.words_of(text):
+            for gram in language.ngrams(word):
+                entries.setdefault(gram, set()).add(at % 3)
+    filters = language.LanguageFilters.build(["l0", "l1", "l2"], [(gram, sorted(x)) for gram, x in entries.items()])
+
+    def claimed(text):
+        grams = [gram for word in language.words_of(text) for gram in language.ngrams(word)]
+        packed = np.array([sum(ord(c) << language.CODE_BITS * at for at, c in enumerate(gram)) for gram in grams], np.uint64)
+        masks = filters.containing(packed)
+        return [len(grams), *(int(filters._bit(masks, at).sum()) for at in range(3))]
+
+    want = [claimed(text) for text in texts]
+    assert filters.counts(texts).tolist() == want
+    for size in (1, 2, 7, 40):
+        monkeypatch.setattr(language, "PIECE_CHARS", size)
+        assert filters.counts(texts).tolist() == want
