@@ -29,7 +29,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 BLOCK_CHARS = 1 << 16
 STRETCH_BYTES = 1 << 18
-MEMO_PIECES = 3 << 16
+MEMO_PIECES = 5 << 15
 LONG_PIECE = 64
 _FULL = regex.compile(PATTERN)
 # The same pattern for texts below U+0250, where the classes are short enough to spell out; ``re`` is faster.

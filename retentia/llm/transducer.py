@@ -37,6 +37,7 @@ ID_TYPE = np.dtype("<u4")
 BATCH_BYTES = 4 << 20
 SHORT = 48
 WINDOWS = 8
+NO_RULE = 1 << 60
 
 
 def sufficient_lookahead(merges: Iterable[tuple[int, int, int]], lengths: dict[int, int] | list[int]) -> int:
@@ -66,7 +67,8 @@ class Transducer:
     def __init__(self, merges: list[tuple[int, int, int]], byte_ids: list[int], lengths: list[int]):
         self.lookahead = sufficient_lookahead(merges, lengths)
         self._byte_ids, self._lengths = byte_ids, lengths
-        self._rules = {(left, right): (rank, result) for rank, (left, right, result) in enumerate(merges)}
+        self._ranks = {(left, right): rank for rank, (left, right, _) in enumerate(merges)}
+        self._results = [result for _, _, result in merges]
 
     @classmethod
     def of(cls, file: TokenizerFile) -> Transducer:
@@ -95,45 +97,41 @@ class Transducer:
         yield from self._merge_many(held)
 
     def _merge_few(self, ids: list[int]) -> list[int]:
-        rules = self._rules
-        while len(ids) > 1:
-            found = [rules.get(pair) for pair in zip(ids, ids[1:])]
-            best = min((rule for rule in found if rule), default=None)
-            if best is None:
-                break
-            merged, at, last = [], 0, len(ids) - 1
-            while at <= last:
-                # Equal pairs merge from left to right; a rule's own result cannot be part of it.
-                if at < last and found[at] == best:
-                    merged.append(best[1])
-                    at += 2
-                else:
-                    merged.append(ids[at])
-                    at += 1
-            ids = merged
+        """Merges the pair of lowest rank, the leftmost of equals, until none is left."""
+        rank_of, results = self._ranks.get, self._results
+        ranks = [rank_of(pair, NO_RULE) for pair in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < NO_RULE:
+            at = ranks.index(best)
+            ids[at : at + 2] = [results[best]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank_of((ids[at], ids[at + 1]), NO_RULE)
+            if at:
+                ranks[at - 1] = rank_of((ids[at - 1], ids[at]), NO_RULE)
         return ids
 
     def _merge_many(self, data: bytes) -> list[int]:
         """The same for longer input: pairs wait in a heap by rank and place, tokens in a linked list."""
-        rules = self._rules
+        ranks = self._ranks
         ids: list[int | None] = [self._byte_ids[byte] for byte in data]
         after = list(range(1, len(ids) + 1))
         before = list(range(-1, len(ids) - 1))
-        heap = [(*rule, at, *pair) for at, pair in enumerate(zip(ids, ids[1:])) if (rule := rules.get(pair))]
+        heap = [(rank, at) for at, pair in enumerate(zip(ids, ids[1:])) if (rank := ranks.get(pair)) is not None]
         heapify(heap)
         while heap:
-            _, result, at, left, right = heappop(heap)
+            rank, at = heappop(heap)
             follower = after[at]
-            if ids[at] != left or follower >= len(ids) or ids[follower] != right:
+            # The pair may be gone, or another one by now.
+            if ids[at] is None or follower >= len(ids) or ranks.get((ids[at], ids[follower])) != rank:
                 continue
-            ids[at], ids[follower] = result, None
+            ids[at], ids[follower] = self._results[rank], None
             after[at] = beyond = after[follower]
             if beyond < len(ids):
                 before[beyond] = at
-                if rule := rules.get((result, ids[beyond])):
-                    heappush(heap, (*rule, at, result, ids[beyond]))
-            if (previous := before[at]) >= 0 and (rule := rules.get((ids[previous], result))):
-                heappush(heap, (*rule, previous, ids[previous], result))
+                if (rank := ranks.get((ids[at], ids[beyond]))) is not None:
+                    heappush(heap, (rank, at))
+            if (previous := before[at]) >= 0 and (rank := ranks.get((ids[previous], ids[at]))) is not None:
+                heappush(heap, (rank, previous))
         return [token for token in ids if token is not None]
 
 
