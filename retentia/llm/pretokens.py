@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 # Spark runs as many tasks as there are cores; threads of the library's own would only take memory.
@@ -29,6 +30,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 BLOCK_CHARS = 1 << 16
 STRETCH_BYTES = 1 << 18
+BATCH_BYTES = 8 << 20
 MEMO_PIECES = 5 << 15
 LONG_PIECE = 64
 _FULL = regex.compile(PATTERN)
@@ -98,6 +100,10 @@ class TokenizerFile:
                 start = found.end()
         yield from ((pieces, None) for pieces in self._blocks(text[start:] if start else text))
 
+    def is_latin(self, text: str) -> bool:
+        """Whether a text has only characters below U+0250 and none of the added strings."""
+        return not _NOT_LATIN.search(text) and not any(special in text for special in self.specials)
+
     def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pre-tokens by the library, one after the other, and where those of each piece begin and end.
 
@@ -187,6 +193,12 @@ def stretches(texts: pa.Array, size: int = STRETCH_BYTES) -> Iterator[tuple[int,
         start = stop
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, after telling its session to cut the batches it hands to Python by bytes: texts may be of any length."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 @contextmanager
 def no_collector() -> Iterator[None]:
     """Pauses the cycle collector, which would walk through the memo again and again; nothing inside makes cycles."""

@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import column
-from retentia.llm.pretokens import Memo, TokenizerFile, no_collector, tokenizer_file
+from retentia.llm.piece_table import TextEncoder
+from retentia.llm.pretokens import TokenizerFile, bound_batches, stretches, tokenizer_file
 
 ID_TYPE = np.dtype("<u4")
 BATCH_BYTES = 4 << 20
+DECODE_IDS = 1 << 16
 SHORT = 48
 WINDOWS = 8
 NO_RULE = 1 << 60
@@ -155,22 +157,17 @@ class Codec:
     def __init__(self, path: str):
         self.file = tokenizer_file(path)
         self.transducer = Transducer.of(self.file)
-        self._memo = Memo(lambda pieces: [self._blob(piece) for piece in pieces])
-
-    def _blob(self, piece: str) -> bytes:
-        return np.array(self.transducer.encode(piece.encode()), ID_TYPE).tobytes()
-
-    def blobs(self, text: str) -> Iterator[bytes]:
-        """Ids of successive stretches of the text, as little-endian 32-bit integers."""
-        for pieces, special in self.file.parts(text):
-            if pieces:
-                yield b"".join(self._memo(pieces))
-            if special is not None:
-                yield special.to_bytes(4, "little")
-
-    def decode(self, blobs: Iterable[bytes]) -> str:
-        state = Detokenizer(self.file.tokens)
-        parts = [state.feed(np.frombuffer(blob, ID_TYPE).tolist()) for blob in blobs]
+        self.encode = TextEncoder(self.file, self._pieces, ID_TYPE)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.transducer.encode(piece.encode()) for piece in pieces]
+        ends = np.cumsum([0, *map(len, found)])
+        return np.array([number for ids in found for number in ids], ID_TYPE), np.column_stack([ends[:-1], ends[1:]])
+
+    def decode(self, blob: bytes) -> str:
+        """Text of ids, taken some at a time."""
+        state, step = Detokenizer(self.file.tokens), DECODE_IDS * ID_TYPE.itemsize
+        parts = [state.feed(np.frombuffer(blob[at : at + step], ID_TYPE).tolist()) for at in range(0, len(blob), step)]
         return "".join([*parts, state.close()])
 
 
@@ -200,22 +197,19 @@ def encode_decode(df: DataFrame, key: str, text: str, path: str, as_arrays: bool
         codec = _codec(path)
         for batch in batches:
             keys, texts = batch.columns
-            start, size, rows = 0, 0, []
-            for at in range(len(texts)):
-                with no_collector():
-                    blobs = list(codec.blobs(texts[at].as_py() or ""))
-                    rows.append((b"".join(blobs), codec.decode(blobs)))
-                size += len(rows[-1][0])
-                if size > BATCH_BYTES or at + 1 == len(texts):
-                    ids, decoded = map(list, zip(*rows))
-                    counts = pa.array([len(blob) // ID_TYPE.itemsize for blob in ids], pa.int64())
-                    columns = [keys.slice(start, len(rows)), counts, ids_array(ids), pa.array(decoded, pa.string())]
-                    yield pa.record_batch(columns, [key, "n_tokens", "token_ids", "decoded"])
-                    start, size, rows = at + 1, 0, []
+            for start, stop in stretches(texts, BATCH_BYTES):
+                ids, decoded = [], []
+                for low, high in stretches(texts.slice(start, stop - start)):
+                    blobs = codec.encode([text or "" for text in texts.slice(start + low, high - low).to_pylist()])
+                    ids += blobs
+                    decoded += map(codec.decode, blobs)
+                counts = pa.array([len(blob) // ID_TYPE.itemsize for blob in ids], pa.int64())
+                columns = [keys.slice(start, len(ids)), counts, ids_array(ids), pa.array(decoded, pa.string())]
+                yield pa.record_batch(columns, [key, "n_tokens", "token_ids", "decoded"])
 
     kind, held = df.schema[key].dataType.simpleString(), "array<int>" if as_arrays else "binary"
     schema = f"`{key}` {kind}, n_tokens long, token_ids {held}, decoded string"
-    return df.select(column(key), column(text).alias("__text")).mapInArrow(run, schema)
+    return bound_batches(df).select(column(key), column(text).alias("__text")).mapInArrow(run, schema)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

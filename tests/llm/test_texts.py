@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from retentia.functions.scratch import scratch_path
-from retentia.llm import language, records, simhash, token_counts, transducer
+from retentia.llm import language, piece_table, records, simhash, token_counts, transducer
 from retentia.llm.components import Links, components
 from retentia.llm.pretokens import TokenizerFile, tokenizer_file
 
@@ -118,6 +118,35 @@ def test_pretokens_follow_the_library(library):
         assert mine == [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "É", "1", "²", " ", "  ", "\n", "\t", "'", "'s", "'re", "'R", "!", "-", "\xa0", "\x85", "\x1c", " '", "'ll"]), max_size=12), min_size=1, max_size=4))
+def test_piece_starts_follow_the_library(parts):
+    texts = ["".join(part) for part in parts]
+    joined = "".join(text + chr(piece_table.SEPARATOR) for text in texts)
+    codes = np.frombuffer(joined.encode("utf-16-le"), "<u2")
+    starts = piece_table.piece_starts(codes)
+    found = [joined[a:b] for a, b in zip(starts, np.append(starts[1:], len(codes))) if joined[a] != chr(piece_table.SEPARATOR)]
+    cut = tokenizer_file(PATH).library.pre_tokenizer.pre_tokenize_str
+    assert found == [text[a:b] for text in texts for _, (a, b) in cut(text)]
+
+
+def test_piece_classes_are_the_librarys():
+    cut = tokenizer_file(PATH).library.pre_tokenizer.pre_tokenize_str
+    for code in range(piece_table.LATIN):
+        char = chr(code)
+        for text in (f"a{char}1{char} {char}{char} {char}", f"{char}a{char} {char}1 '{char}", f"'s{char}{char}{char}b"):
+            codes = np.frombuffer((text + chr(piece_table.SEPARATOR)).encode("utf-16-le"), "<u2")
+            assert piece_table.piece_starts(codes)[:-1].tolist() == [a for _, (a, _) in cut(text)]
+
+
+def test_full_tables_start_anew(library):
+    generator = random.Random(9)
+    texts = [" ".join("".join(generator.choices("abcdeé", k=generator.randrange(1, 9))) for _ in range(60)) for _ in range(40)]
+    table = piece_table.PieceTable(tokenizer_file(PATH).encode, np.dtype("<u2"), limit=100, slots=256)
+    found = [blob for at in range(0, 40, 3) for blob in table(texts[at : at + 3])]
+    assert [np.frombuffer(blob, "<u2").tolist() for blob in found] == [ids_of(library, text) for text in texts]
+
+
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         TokenizerFile(public_tokenizers.path("word_bpe_49k.json"))
