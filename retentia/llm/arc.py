@@ -28,6 +28,7 @@ from retentia.functions.columns import column
 from retentia.functions.keytable import KeyTable
 from retentia.functions.scratch import materialize
 from retentia.llm.files import new_name, open_to_read, open_to_write, spread
+from retentia.llm.pretokens import bound_batches
 
 # The header fields of either ARC version, as the version block spells them.
 FIELDS = {
@@ -167,7 +168,7 @@ def write_arc(pages: DataFrame, key: str, url: str, html: str, folder: str) -> D
             sink.close()
             yield pa.RecordBatch.from_pydict({"file": [uri], "records": [records]})
 
-    chosen = pages.select(column(key).cast("long").alias("k"), column(url).alias("u"), column(html).alias("h"))
+    chosen = bound_batches(pages).select(column(key).cast("long").alias("k"), column(url).alias("u"), column(html).alias("h"))
     return materialize(chosen.mapInArrow(run, "file string, records long"), "arc-files")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from retentia.functions.columns import column
 from retentia.functions.scratch import materialize
-from retentia.llm.pretokens import no_collector, stretches
+from retentia.llm.pretokens import bound_batches, no_collector, stretches
 
 LEAST_SHARE = 1e-5
 LEAST_RATIO = 0.1
@@ -198,7 +198,7 @@ def word_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
                 by_language = {}
         yield rows(Counter({(name, word): n for name, counts in by_language.items() for word, n in counts.items()}))
 
-    chosen = df.filter(column(lang).isNotNull() & column(text).isNotNull()).select(column(text).alias("text"), column(lang).alias("lang"))
+    chosen = bound_batches(df).filter(column(lang).isNotNull() & column(text).isNotNull()).select(column(text).alias("text"), column(lang).alias("lang"))
     return chosen.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -271,7 +271,7 @@ def predict(df: DataFrame, text: str, filters: LanguageFilters, columns: Sequenc
     carried = [name for name in columns if name not in ("lang_pred", "score")]
     fields = [df.schema[name] for name in carried]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return df.select(*map(column, carried), column(text).alias("__text")).mapInArrow(run, schema)
+    return bound_batches(df).select(*map(column, carried), column(text).alias("__text")).mapInArrow(run, schema)
 
 
 def held_out(key: str, folds: int = 5) -> Column:

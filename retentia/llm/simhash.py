@@ -27,6 +27,7 @@ from retentia.functions.columns import column
 from retentia.functions.keytable import KeyTable
 from retentia.functions.scratch import materialize
 from retentia.llm.components import Links, components
+from retentia.llm.pretokens import bound_batches
 
 SEED = 42
 SAMPLE = 1 << 14
@@ -69,7 +70,7 @@ def fingerprints(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
             yield pa.record_batch([keys, pa.array(values, pa.int64())], [key, "fingerprint"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(column(key), column(text).alias("__text")).mapInArrow(run, f"`{key}` {kind}, fingerprint long")
+    return bound_batches(df).select(column(key), column(text).alias("__text")).mapInArrow(run, f"`{key}` {kind}, fingerprint long")
 
 
 def _distance(points: np.ndarray, pivot: np.ndarray | np.uint64) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from retentia.functions.columns import column
 from retentia.functions.scratch import materialize
-from retentia.llm.pretokens import tokenizer_file
+from retentia.llm.pretokens import bound_batches, tokenizer_file
 
 HOT_PIECES = 1 << 18
 HOT_CHARS = 32
@@ -40,7 +40,7 @@ def piece_frequencies(df: DataFrame, text: str, path: str) -> DataFrame:
                     counts = Counter()
         yield from _rows(counts)
 
-    found = df.select(column(text).alias("text")).mapInArrow(run, "piece string, n long")
+    found = bound_batches(df).select(column(text).alias("text")).mapInArrow(run, "piece string, n long")
     return found.groupBy("piece").agg(F.sum("n").alias("n"))
 
 
