@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.functions.scratch import scratch_path
+from retentia.functions.scratch import materialize, scratch_path
 from retentia.llm.arc import archive_pages
 from retentia.llm.dimension_scan import nearest
+from retentia.llm.files import spread
 from retentia.llm.hilbert import shard_rows
 from retentia.llm.language import held_out, identify
 from retentia.llm.mixing import mix, word_count
@@ -108,7 +109,8 @@ def op6_language_filters(spark, folder):
 def op7_framed_records(spark, folder):
     documents, path = table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE)
     files = write_records(documents, "doc_id", "text", path, scratch_path(spark, "records"))
-    records = read_records(read_index(files, "long"), path, "long")
+    index = spread(read_index(files, "long")).sortWithinPartitions("file", "offset")
+    records = read_records(index, path, "long")
     return records.select(
         F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
@@ -128,7 +130,8 @@ def op9_token_counts(spark, folder):
 
 @query("op10_flow_mix")
 def op10_flow_mix(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id", "source", "text")
-    sized = documents.select("doc_id", "source", word_count("text").alias("words"))
+    documents = table(spark, folder, "documents")
+    # Counted once and written: the mix reads its rows twice.
+    sized = materialize(documents.select("doc_id", "source", word_count("text").alias("words")), "sized")
     mixed = mix(sized, "doc_id", F.col("words"), F.array("source"))
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")

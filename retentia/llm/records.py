@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from retentia.functions.columns import column
 from retentia.functions.scratch import materialize
 from retentia.llm.files import new_name, open_to_read, open_to_write, spread
-from retentia.llm.pretokens import Memo, TokenizerFile, no_collector, stretches, tokenizer_file
+from retentia.llm.piece_table import TextEncoder
+from retentia.llm.pretokens import TokenizerFile, bound_batches, stretches, tokenizer_file
 
 # Fixed values of the record format: CRC-32C's reflected polynomial and the mask's rotation and addend.
 POLYNOMIAL = 0x82F63B78
@@ -114,38 +115,14 @@ def id_type(file: TokenizerFile) -> np.dtype:
 
 
 @lru_cache(maxsize=4)
-def _library_memo(path: str) -> Memo:
+def _encoder(path: str) -> TextEncoder:
     file = tokenizer_file(path)
-    width = id_type(file).itemsize
-
-    def fill(pieces: list[str]) -> list[bytes]:
-        ids, bounds = file.encode(pieces)
-        data = ids.astype(id_type(file)).tobytes()
-        return [data[start:stop] for start, stop in (bounds * width).tolist()]
-
-    return Memo(fill)
-
-
-def token_bytes(texts: Sequence[str], path: str) -> list[bytes]:
-    """Ids of whole texts from the tokenizers library, each distinct pre-token encoded once."""
-    file, memo = tokenizer_file(path), _library_memo(path)
-    joined: list[str] = []
-    cuts: list[list[tuple[int, int | None]]] = []
-    for text in texts:
-        cuts.append([])
-        for pieces, special in file.parts(text):
-            joined += pieces
-            cuts[-1].append((len(joined), special))
-    found, at, blobs = memo(joined), 0, []
-    for ends in cuts:
-        parts = []
-        for end, special in ends:
-            parts += found[at:end]
-            at = end
-            if special is not None:
-                parts.append(np.array([special], id_type(file)).tobytes())
-        blobs.append(b"".join(parts))
-    return blobs
+    return TextEncoder(file, file.encode, id_type(file))
+
+
+def token_bytes(texts: list[str], path: str) -> list[bytes]:
+    """Ids of whole texts from the tokenizers library, each distinct pre-token encoded once as long as it is remembered."""
+    return _encoder(path)(texts)
 
 
 def write_records(df: DataFrame, key: str, text: str, path: str, folder: str, end_id: int = 0) -> DataFrame:
@@ -169,8 +146,7 @@ def write_records(df: DataFrame, key: str, text: str, path: str, folder: str, en
             keys, texts = batch.columns[:2]
             for start, stop in stretches(texts):
                 some = [text.as_py() or "" for text in texts.slice(start, stop - start)]
-                with no_collector():
-                    payloads = [blob + end for blob in token_bytes(some, path)]
+                payloads = [blob + end for blob in token_bytes(some, path)]
                 if data is None:
                     data, sink = open_to_write(name), open_to_write(f"{name}.index")
                     layout = pa.schema([("key", keys.type), ("offset", pa.int64()), ("bytes", pa.int64()), ("ids", pa.int64())])
@@ -187,7 +163,7 @@ def write_records(df: DataFrame, key: str, text: str, path: str, folder: str, en
             data.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "records": [records], "ids": [ids]})
 
-    placed = df.select(column(key), column(text).alias("__text")).withColumn("__tie", F.xxhash64("__text"))
+    placed = bound_batches(df).select(column(key), column(text).alias("__text")).withColumn("__tie", F.xxhash64("__text"))
     order = [column(key).asc(), F.col("__tie").asc()]
     ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order, F.col("__text"))
     files = materialize(ranged.mapInArrow(run, "part long, file string, records long, ids long"), "record-files")
@@ -212,7 +188,9 @@ def read_index(files: DataFrame, key_type: str) -> DataFrame:
                         columns = [found.column("key"), names, found.column("offset"), found.column("bytes"), ids, starts]
                         yield pa.record_batch([*map(pa.array, columns)], ["key", "file", "offset", "bytes", "n_ids", "start"])
 
-    return spread(files.select("file", "start")).mapInArrow(run, f"key {key_type}, file string, offset long, bytes long, n_ids long, start long")
+    rows = spread(files.select("file", "start")).mapInArrow(run, f"key {key_type}, file string, offset long, bytes long, n_ids long, start long")
+    # Written, so that reading records is a stage of its own: a task that ran both would hold two Python workers.
+    return materialize(rows, "record-index")
 
 
 def read_records(index: DataFrame, path: str, key_type: str) -> DataFrame:
