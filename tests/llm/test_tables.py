@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from retentia.functions.scratch import scratch_path
-from retentia.llm import arc, dimension_scan, hilbert, mixing, spherical
+from retentia.llm import arc, dimension_scan, hilbert, mixing, near_copies, spherical
 from retentia.llm.vectors import spherical_kmeans
 
 SMALL = "/root/testdata/sf0.001"
@@ -345,6 +345,42 @@ def test_stages(spark):
     assert all(plain[r["doc_id"]] == r["decoded_sha256"] for r in encoded)
 
 
+def changed(words, places):
+    return " ".join(f"new{at}" if at in places else word for at, word in enumerate(words))
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t.split()[at : at + 5]) for at in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_are_dropped(spark):
+    generator = random.Random(12)
+    rows, copies, others = [], set(), set()
+    for n in range(0, 80, 2):
+        words = [f"w{generator.randrange(10**6)}" for _ in range(60)]
+        near = n % 4 == 0
+        text = changed(words, {30} if near else {20, 40})
+        assert (jaccard(" ".join(words), text) >= 0.8) == near
+        rows += [(n, " ".join(words), "xx", "s", 1), (n + 1, text, "xx", "s", 1)]
+        (copies if near else others).add(n + 1)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS), SMALL).collect()}
+    assert not copies & kept and others <= kept and set(range(0, 80, 2)) <= kept
+
+
+def test_near_copies_over_long_runs(spark):
+    # Copies with one word changed each, linked only by the text that all of them come from.
+    generator = random.Random(13)
+    words = [f"w{generator.randrange(10**6)}" for _ in range(60)]
+    rows = [(n, changed(words, {n})) for n in range(6, 54)] + [(100, " ".join(words)), (101, changed(words, {20, 40})), (102, " ".join(words).upper()), (103, None), (104, " ")]
+    found = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    texts = {n: (text or "").lower() for n, text in rows[:-2]}
+    group = dict(zip(texts, texts))
+    for _ in texts:
+        group = {a: min(group[b] for b in texts if jaccard(texts[a], texts[b]) >= 0.8) for a in texts}
+    assert found == group | {103: 103, 104: 103}
+
+
 def test_stages_on_an_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
