@@ -345,6 +345,16 @@ def test_stages(spark):
     assert all(plain[r["doc_id"]] == r["decoded_sha256"] for r in encoded)
 
 
+def test_unlearned_languages_are_rejected(spark):
+    finnish = "Hallitus päätti eilen, että uusi laki tulee voimaan vasta ensi vuonna, koska kysymyksiä on vielä paljon."
+    italian = "Il governo ha deciso ieri che la nuova legge entrerà in vigore solo il prossimo anno perché ci sono ancora molte domande. "
+    given = spark.read.parquet(f"{SMALL}/documents.parquet").select(corpus_pipeline.COLUMNS)
+    # Rows without a key are held out, so that nothing is learned from them.
+    added = spark.createDataFrame([(None, finnish, "en", "f", 1), (None, italian * 5, "en", "i", 1)], DOCS)
+    kept = corpus_pipeline.keep_languages(spark, given.unionByName(added), SMALL)
+    assert kept.filter("doc_id is null").count() == 0 and kept.count() == given.count()
+
+
 def changed(words, places):
     return " ".join(f"new{at}" if at in places else word for at, word in enumerate(words))
 
