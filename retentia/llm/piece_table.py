@@ -2,9 +2,10 @@
 
 For texts below U+0250, where a pre-token starts follows from the classes of neighbouring
 characters, so a stretch of texts is cut by a few array operations instead of a
-pattern. A pre-token's key is a pair of polynomial hashes, 128 bits, read off running
-sums; a table with open addressing holds the keys of those met before, and where their ids
-lie in one array. Strings are made only of pre-tokens that are new.
+pattern. A pre-token's key is a pair of polynomial hashes, read off running
+sums; a table with open addressing holds the keys of those met before, and where their characters and ids
+lie in one array each. Keys only propose an entry: every character is compared before its ids are
+taken. Strings are made only of pre-tokens that are new or whose characters differ.
 """
 
 from __future__ import annotations
@@ -73,6 +74,13 @@ def piece_starts(codes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
+def _room(array: np.ndarray, used: int, more: int) -> np.ndarray:
+    """``array`` with room for ``more`` values after the first ``used``."""
+    if used + more <= len(array):
+        return array
+    return np.concatenate([array, np.zeros(max(len(array), more), array.dtype)])
+
+
 class PieceTable:
     """Remembers the ids of up to ``limit`` pre-tokens; ``encode`` gives those of new ones, and where each begins and ends."""
 
@@ -86,6 +94,9 @@ class PieceTable:
         self._entry = np.full(self._slots, -1, np.int32)
         self._offset, self._length = np.zeros(self._limit, np.int64), np.zeros(self._limit, np.int32)
         self._pool, self._used, self._count = np.zeros(1 << 20, self._id_type), 0, 0
+        # Where the characters of an entry lie, and how many; entries that the table does not hold have none.
+        self._at, self._chars = np.zeros(self._limit, np.int32), np.zeros(self._limit, np.int32)
+        self._codes, self._held = np.zeros(1 << 20, np.uint16), 0
 
     def _power(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Powers of the bases and of their inverses."""
@@ -115,7 +126,7 @@ class PieceTable:
             keys.append((sums[stops] - sums[starts]) * inverse[starts])
         entries = np.zeros(len(starts), np.int32)
         real = np.flatnonzero(~ends)
-        found, overflow = self._look_up([key[real] for key in keys], joined, starts[real], stops[real])
+        found, overflow = self._look_up([key[real] for key in keys], joined, codes, starts[real], stops[real])
         entries[real] = found
         lengths = np.where(ends, 0, self._length[entries])
         offsets = self._offset[entries]
@@ -129,35 +140,60 @@ class PieceTable:
             self._forget()
         return blobs
 
-    def _look_up(self, keys: list[np.ndarray], text: str, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, bool]:
-        """Entries of pieces by their keys; new ones are added. The second value says that the table is full now."""
+    def _look_up(self, keys: list[np.ndarray], text: str, codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Entries of pieces; new ones are added. The second value says that the table is full now."""
         entries = self._probe(keys)
+        absent = entries < 0
+        entries[self._differ(entries, codes, starts, stops)] = -1
         new = np.flatnonzero(entries < 0)
         if not len(new):
             return entries, False
-        order = np.lexsort((keys[1][new], keys[0][new]))
-        new = new[order]
-        apart = np.ones(len(new), bool)
-        apart[1:] = (keys[0][new][1:] != keys[0][new][:-1]) | (keys[1][new][1:] != keys[1][new][:-1])
-        firsts = new[apart]
-        ids, bounds = self._encode([text[a:b] for a, b in zip(starts[firsts].tolist(), stops[firsts].tolist())])
-        if self._used + len(ids) > len(self._pool):
-            self._pool = np.concatenate([self._pool, np.zeros(max(len(self._pool), len(ids)), self._id_type)])
+        numbers: dict[str, int] = {}
+        which = [numbers.setdefault(text[a:b], len(numbers)) for a, b in zip(starts[new].tolist(), stops[new].tolist())]
+        ids, bounds = self._encode(list(numbers))
+        _, firsts = np.unique(which, return_index=True)
+        firsts = new[firsts]
+        self._pool = _room(self._pool, self._used, len(ids))
         self._pool[self._used : self._used + len(ids)] = ids
-        if self._count + len(firsts) > len(self._offset):
-            more = max(len(self._offset), len(firsts))
-            self._offset, self._length = np.concatenate([self._offset, np.zeros(more, np.int64)]), np.concatenate([self._length, np.zeros(more, np.int32)])
-        numbers = np.arange(self._count, self._count + len(firsts), dtype=np.int32)
-        self._offset[numbers], self._length[numbers] = bounds[:, 0] + self._used, bounds[:, 1] - bounds[:, 0]
+        for name in ("_offset", "_length", "_at", "_chars"):
+            setattr(self, name, _room(getattr(self, name), self._count, len(firsts)))
+        added = np.arange(self._count, self._count + len(firsts), dtype=np.int32)
+        self._offset[added], self._length[added] = bounds[:, 0] + self._used, bounds[:, 1] - bounds[:, 0]
         self._used, self._count = self._used + len(ids), self._count + len(firsts)
-        entries[new] = numbers[np.cumsum(apart) - 1]
-        # Very long pieces do not come again, and a full table takes no more.
-        short = stops[firsts] - starts[firsts] <= LONG_PIECE
+        entries[new] = added[which]
         full = self._count > self._limit
         if not full:
-            self._insert([key[firsts[short]] for key in keys], numbers[short])
+            # Very long pieces do not come again. Of pieces with one key the table holds the first; the others stay new.
+            held = np.flatnonzero(absent[firsts] & (stops[firsts] - starts[firsts] <= LONG_PIECE))
+            _, one = np.unique(np.stack([key[firsts[held]] for key in keys]), axis=1, return_index=True)
+            held = held[np.sort(one)]
+            self._keep(added[held], codes, starts[firsts[held]], stops[firsts[held]])
+            self._insert([key[firsts[held]] for key in keys], added[held])
         return entries, full
 
+    def _keep(self, numbers: np.ndarray, codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+        """Store the characters of entries."""
+        sizes = stops - starts
+        before, total = np.cumsum(sizes) - sizes, int(sizes.sum())
+        self._codes = _room(self._codes, self._held, total)
+        self._codes[self._held : self._held + total] = codes[np.repeat(starts - before, sizes) + np.arange(total)]
+        self._at[numbers], self._chars[numbers] = self._held + before, sizes
+        self._held += total
+
+    def _differ(self, entries: np.ndarray, codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Which pieces have an entry of other characters."""
+        sizes = (stops - starts).astype(np.int32)
+        wrong = (entries >= 0) & (self._chars[entries] != sizes)
+        same = np.flatnonzero((entries >= 0) & ~wrong)
+        sizes = sizes[same]
+        before = np.cumsum(sizes, dtype=np.int32) - sizes
+        steps = np.arange(int(sizes.sum()), dtype=np.int32)
+        here = codes[np.repeat(starts[same].astype(np.int32) - before, sizes) + steps]
+        there = self._codes[np.repeat(self._at[entries[same]] - before, sizes) + steps]
+        unlike = np.flatnonzero(here != there)
+        wrong[same[np.searchsorted(before, unlike, side="right") - 1]] = True
+        return np.flatnonzero(wrong)
+
     def _probe(self, keys: list[np.ndarray]) -> np.ndarray:
         place = (keys[0] >> np.uint64(20)).astype(np.int64) & (self._slots - 1)
         entries = self._entry[place]

@@ -147,6 +147,34 @@ def test_full_tables_start_anew(library):
     assert [np.frombuffer(blob, "<u2").tolist() for blob in found] == [ids_of(library, text) for text in texts]
 
 
+def thue_morse(n):
+    """Two words over a and b of ``n`` letters that every polynomial modulo 2^64 takes for one, if n is 1,024 or more."""
+    first = "".join("ab"[at.bit_count() & 1] for at in range(n))
+    return [first, first.translate({97: "b", 98: "a"})]
+
+
+def test_pieces_with_equal_keys_stay_apart(library, monkeypatch):
+    """Keys propose entries, characters decide."""
+    words = [word for n in (1_024, 2_048, 4_096, 8_192) for word in thue_morse(n)]
+    encode, kind = tokenizer_file(PATH).encode, np.dtype("<u2")
+    table = piece_table.PieceTable(encode, kind)
+    for texts in (words, words[::-1], [" ".join(words)]):
+        assert [np.frombuffer(blob, "<u2").tolist() for blob in table(texts)] == [ids_of(library, text) for text in texts]
+    # With bases of one, a piece's key is the sum of its characters.
+    monkeypatch.setattr(piece_table, "BASES", (1, 1))
+    texts = ["abc cab bca", "ad bc cb da", "cab", "abc abd acc bca", " bca ad", "ad da bc"]
+    for table in (piece_table.PieceTable(encode, kind), piece_table.PieceTable(encode, kind, limit=3, slots=8)):
+        for some in (texts, texts[:1], texts[::-1], texts[3:]):
+            assert [np.frombuffer(blob, "<u2").tolist() for blob in table(some)] == [ids_of(library, text) for text in some]
+
+
+def test_equal_keys_through_the_operators(spark, library):
+    rows = list(enumerate(thue_morse(2_048) + thue_morse(1_024)[::-1]))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = transducer.encode_decode(frame, "doc_id", "text", PATH, as_arrays=True).collect()
+    assert sorted((r[0], r[2], r[3]) for r in found) == [(key, ids_of(library, text), text) for key, text in rows]
+
+
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         TokenizerFile(public_tokenizers.path("word_bpe_49k.json"))
