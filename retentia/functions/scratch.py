@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[str] = []
 
 
@@ -27,14 +29,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting that holds inside only."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str = "table", partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once and read it back.
 
     Cuts the lineage, survives lost executors, and fixes values that would
-    otherwise be recomputed (row ids, partition numbers, floating-point scores).
+    otherwise be recomputed (row ids, partition numbers, floating-point scores). The shuffle
+    files of the job that writes are deleted with its end instead of with the driver's garbage.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    with _set(df.sparkSession, SHUFFLE_CLEANUP, "true"):
+        df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
