@@ -13,7 +13,10 @@ from retentia.llm.files import spread
 from retentia.llm.hilbert import shard_rows
 from retentia.llm.language import held_out, identify
 from retentia.llm.mixing import mix, word_count
+from retentia.llm.periodic import periodic_runs, with_planted_period
+from retentia.llm.prefix_trie import EMPTY_SHA256, id_list_digests, number_turns, prefix_trie, rebuilt
 from retentia.llm.records import read_index, read_records, write_records
+from retentia.llm.repeats import drop_repeats
 from retentia.llm.simhash import near_duplicates
 from retentia.llm.spherical import near_duplicates as near_vectors
 from retentia.llm.token_counts import count_tokens
@@ -135,3 +138,89 @@ def op10_flow_mix(spark, folder):
     sized = materialize(documents.select("doc_id", "source", word_count("text").alias("words")), "sized")
     mixed = mix(sized, "doc_id", F.col("words"), F.array("source"))
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+# CRC-32 of a decimal number, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]), lambda r, i: xor(r >> 1, (r & 1) * 3988292384))))"""
+
+
+@query(
+    "op11_periodic_runs",
+    f"""WITH d AS (SELECT doc_id, {_WORDS} AS o, {_CRC32.format('doc_id')} AS h FROM documents),
+          p AS (SELECT *, len(o) AS n, h // 10 AS g FROM d),
+          q AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM p),
+          r AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN o ELSE list_transform(range(n), lambda i: o[(CASE WHEN i >= a
+            THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END + 1)::BIGINT]) END AS w FROM q),
+          t AS (SELECT doc_id, unnest(range(n)) AS pos, unnest(w) AS word FROM r),
+          grams AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i + 1 : i + 16], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(n - 15)) AS i FROM r WHERE n >= 16)),
+          pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS gap FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.gram = y.gram AND y.i > x.i),
+          islands AS (SELECT doc_id, gap, i, i - row_number() OVER (PARTITION BY doc_id, gap ORDER BY i) AS island FROM pairs),
+          stretches AS (SELECT doc_id, gap, min(i) AS start, count(*) + 15 + gap AS length FROM islands GROUP BY doc_id, gap, island),
+          runs AS MATERIALIZED (SELECT doc_id, start, length, min(gap) AS period FROM stretches WHERE length >= greatest(24, 3 * gap) GROUP BY doc_id, start, length),
+          listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+          best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1),
+          gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS pos FROM runs),
+          kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept FROM t ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+          sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM r LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+)
+def op11_periodic_runs(spark, folder):
+    documents = table(spark, folder, "documents")
+    runs = periodic_runs(documents, "doc_id", with_planted_period(F.col("doc_id"), F.col("text")))
+    line = lambda run: F.concat(F.concat_ws(",", run["start"], run["length"], run["period"]), F.lit("\n"))
+    best = F.col("strongest")
+    return runs.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(F.lit(1000) * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query(
+    "op12_prefix_trie",
+    f"""WITH t AS (SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS turn,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place FROM conversations WHERE conv_id IS NOT NULL),
+          l AS (SELECT conv_id, list(turn ORDER BY place) AS turns, {_CRC32.format('conv_id')} % 6 AS h FROM t GROUP BY conv_id),
+          c AS (SELECT l.conv_id, coalesce(b.turns[1:l.h], []) || l.turns[l.h + 1:] AS turns FROM l LEFT JOIN l b ON b.conv_id = l.conv_id - l.conv_id % 100),
+          p AS (SELECT conv_id, unnest(range(len(turns) + 1)) AS depth, turns FROM c),
+          nodes AS MATERIALIZED (SELECT turns[1:depth] AS prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs FROM p GROUP BY ALL),
+          children AS (SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+          parents AS (SELECT n.prefix, u.conv_id AS parent_conv_id FROM nodes n JOIN nodes u ON n.depth = u.depth + 1 AND n.prefix[1:n.depth - 1] = u.prefix),
+          up AS (SELECT prefix AS below, unnest(range(depth + 1)) AS height, depth, n_convs, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (prefix)),
+          sums AS (SELECT below[1:height] AS prefix, count(*) FILTER (n_children = 0) AS n_leaves,
+            sum(CASE WHEN depth > 0 THEN (n_convs - 1) * length(below[depth].text) ELSE 0 END)::BIGINT AS saved_tokens FROM up GROUP BY ALL),
+          ends AS (SELECT turns AS prefix, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM c GROUP BY turns)
+        SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM nodes JOIN sums USING (prefix) LEFT JOIN children USING (prefix) LEFT JOIN parents USING (prefix) LEFT JOIN ends USING (prefix)""",
+)
+def op12_prefix_trie(spark, folder):
+    """Prefixes of conversations that begin as others, with what sharing them saves."""
+    turns = materialize(number_turns(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text"), "turns")
+    nodes, ends = prefix_trie(*rebuilt(turns))
+    digests = F.coalesce("ends_sha256", F.lit(EMPTY_SHA256)).alias("ends_sha256")
+    joined = nodes.join(id_list_digests(ends), "name", "left")
+    return joined.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", digests)
+
+
+@query(
+    "op13_repeats",
+    f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+          windows AS MATERIALIZED (SELECT doc_id, i, sha256(array_to_string(w[i + 1 : i + 50], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+          firsts AS (SELECT h, min(doc_id) AS least FROM windows GROUP BY h),
+          gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM windows JOIN firsts USING (h) WHERE doc_id > least),
+          t AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word FROM d),
+          kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept FROM t ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+)
+def op13_repeats(spark, folder):
+    """Words that the passages of earlier documents cover, taken out."""
+    kept = drop_repeats(table(spark, folder, "documents"), "doc_id", "text", length=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
