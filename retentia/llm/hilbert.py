@@ -1,7 +1,7 @@
 """Shards along a Hilbert curve through several metadata columns.
 
-Each column is quantised to cells of about equally many rows, with approximate quantiles as
-borders, and a row's cells become its place on a Hilbert curve. Rows in the order of the curve
+Each column is quantised to cells of about equally many rows, with approximate quantiles, or texts of
+the column itself, as borders, and a row's cells become its place on a Hilbert curve. Rows in the order of the curve
 are cut into runs of equal length. A run covers a compact region, so the minima and
 maxima of all the columns tell a reader which files to leave out.
 """
@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retentia.functions.columns import column, hashable_columns
+from retentia.functions.ordering import running_total
 from retentia.functions.scratch import materialize
 
 BITS = 8
 ACCURACY = 10_000
-PREFIX_BYTES = 6
+BORDER_CHARS = 1_024
 # Fixed value: bits of monotonically_increasing_id that count rows within a partition.
 PART_SHIFT = 33
 
@@ -47,31 +48,48 @@ def curve_table(dims: int) -> list[int]:
     return table
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A number in the order of the column: text by its first bytes, anything else by its value."""
+def in_order(df: DataFrame, name: str) -> Column:
+    """Text as it is, anything else as a number in the order of the column."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(column(name), "UTF-8"), 1, PREFIX_BYTES)), 2 * PREFIX_BYTES, "0")
-        return F.conv(head, 16, 10).cast("double")
+        return column(name)
     if isinstance(kind, (T.DateType, T.TimestampNTZType)):
         return column(name).cast("timestamp").cast("double")
     return column(name).cast("double")
 
 
+def text_borders(df: DataFrame, name: str, bits: int) -> list[str]:
+    """Texts that cut a column into cells of about equally many rows; values more frequent than that are borders themselves.
+
+    Each distinct text is counted, and the counts are added up in the order of the texts, by range partitions. Borders are
+    cut after ``BORDER_CHARS`` characters.
+    """
+    counts = df.filter(column(name).isNotNull()).groupBy(column(name).alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    running = materialize(running_total(counts, [], [F.col("value").asc()], F.col("count"), "before"), "borders")
+    total = running.agg(F.sum("count")).first()[0] or 0
+    cell = F.floor((F.col("before") + F.col("count")) * (1 << bits) / F.lit(total or 1))
+    ends = running.groupBy(cell.alias("cell")).agg(F.max("value").alias("last")).select(F.substring("last", 1, BORDER_CHARS).alias("last"))
+    found = sorted(row["last"] for row in ends.collect())
+    return found[: (1 << bits) - 1]
+
+
 def curve_index(df: DataFrame, dimensions: Sequence[str], bits: int, row: Column, out: str) -> DataFrame:
     """``df``'s columns as a struct ``row``, and the place ``out`` of each row on the curve.
 
-    One aggregation finds the cell borders of all dimensions. Null is in the first cell.
+    One aggregation finds the cell borders of all dimensions but texts, whose borders come from their own order. Null is in the first cell.
     """
-    numbers = [as_number(df, name) for name in dimensions]
+    values = [in_order(df, name) for name in dimensions]
+    texts = [isinstance(df.schema[name].dataType, T.StringType) for name in dimensions]
     shares = [(at + 1) / (1 << bits) for at in range((1 << bits) - 1)]
-    borders = df.agg(*[F.percentile_approx(number, shares, ACCURACY) for number in numbers]).first()
+    numbers = [value for value, text in zip(values, texts) if not text]
+    quantiles = iter(df.agg(*[F.percentile_approx(number, shares, ACCURACY) for number in numbers]).first() if numbers else ())
     cells = {}
-    for at, (number, border) in enumerate(zip(numbers, borders)):
-        cells[f"c{at}"] = F.lit(0) if border is None else _cell(number, F.lit([float(x) for x in border]), bits)
+    for at, (name, value, text) in enumerate(zip(dimensions, values, texts)):
+        border = text_borders(df, name, bits) if text else [float(x) for x in next(quantiles) or ()]
+        cells[f"c{at}"] = _cell(value, border, bits)
     placed = df.select(row.alias("row"), *[cell.alias(name) for name, cell in cells.items()])
-    bit = " + ".join(f"shiftleft(shiftright(c{at}, level) & 1, {at})" for at in range(len(numbers)))
-    size, table = 1 << len(numbers), curve_table(len(numbers))
+    bit = " + ".join(f"shiftleft(shiftright(c{at}, level) & 1, {at})" for at in range(len(values)))
+    size, table = 1 << len(values), curve_table(len(values))
     # The state carries the last step, whose digit joins the place one level later.
     found = F.expr(
         f"""aggregate(
@@ -86,10 +104,14 @@ def curve_index(df: DataFrame, dimensions: Sequence[str], bits: int, row: Column
     return placed.select("row", found.alias(out))
 
 
-def _cell(value: Column, borders: Column, bits: int) -> Column:
+def _cell(value: Column, borders: list, bits: int) -> Column:
     """Number of borders below the value, by bisection."""
+    if not borders:
+        return F.lit(0)
+    size, borders = len(borders), F.lit(borders)
     steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(bits))])
-    found = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(value > F.element_at(borders, at + step), step).otherwise(F.lit(0)))
+    above = lambda at: (at <= size) & (value > F.try_element_at(borders, at))
+    found = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(above(at + step), step).otherwise(F.lit(0)))
     return F.when(value.isNull(), F.lit(0)).otherwise(found)
 
 
@@ -97,8 +119,9 @@ def shard_rows(df: DataFrame, key: str, dimensions: Sequence[str], shards: int,
     """All columns of ``df`` and ``shard``, ``slot`` and ``curve``: runs of the Hilbert curve with counts at most one apart.
 
     ``slot`` counts from 0 within a shard, in the order of the curve, then the key, then a hash of
-    the row. Repeated rows are rows of their own, side by side. A column of ``df`` that has the
-    name of a new one is replaced. An empty table stays empty. One shuffle, by range.
+    the row. Repeated rows are rows of their own, side by side. A null key comes before all others, a null dimension is in the first
+    cell, and texts of any length count whole but for borders, which are cut after ``BORDER_CHARS`` characters. A column of ``df`` that has the
+    name of a new one is replaced. An empty table stays empty. Rows are shuffled once, by range.
     """
     row = F.struct(*[column(name) for name in df.columns], F.xxhash64(*hashable_columns(df)).alias("__tie"))
     placed = curve_index(df, dimensions, bits, row, "curve")

@@ -21,7 +21,8 @@ from retentia.functions.scratch import materialize
 from retentia.llm.pretokens import bound_batches, tokenizer_file
 
 HOT_PIECES = 1 << 18
-HOT_CHARS = 32
+HOT_CHARS = 1_024
+HOT_CHARS_TOGETHER = 8 << 20
 COUNT_AT_ONCE = 1 << 14
 HELD_PIECES = 1 << 19
 
@@ -68,13 +69,14 @@ def count_pieces(pieces: DataFrame, path: str) -> DataFrame:
 
 
 def hottest(pieces: DataFrame, most: int) -> DataFrame:
-    """The pieces with the largest counts: all whose count has as many binary digits as keeps them within ``most``."""
+    """The pieces with the largest counts: all whose count has as many binary digits as keeps them within ``most``, and within a bound of characters."""
     short = pieces.filter(F.length("piece") <= HOT_CHARS).withColumn("digits", F.length(F.bin("n")))
-    left, least = most, 99
-    for digits, count in sorted(((r[0], r[1]) for r in short.groupBy("digits").count().collect()), reverse=True):
-        if count > left:
+    sizes = short.groupBy("digits").agg(F.count(F.lit(1)).alias("count"), F.sum(F.length("piece")).alias("chars")).collect()
+    left, room, least = most, HOT_CHARS_TOGETHER, 99
+    for digits, count, chars in sorted(map(tuple, sizes), reverse=True):
+        if count > left or chars > room:
             break
-        left, least = left - count, digits
+        left, room, least = left - count, room - chars, digits
     return short.filter(F.col("digits") >= least)
 
 

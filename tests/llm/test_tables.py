@@ -412,3 +412,63 @@ def test_queries(spark, name):
         assert found.filter("depth = 0").collect()[0]["n_convs"] == convs
         return
     assert found.count() == (rows if name != "op5_dimension_scan" else len(range(0, rows, 20)) * 20)
+
+
+def test_long_common_prefixes_are_told_apart(spark):
+    """Texts that differ only late still cut the rows: one source to a shard."""
+    prefix = "https://example.org/a/very/long/common/path/" * 3
+    rows = [(n, f"{prefix}{n % 8}", n % 5) for n in range(800)] + [(900 + n, None, 1) for n in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, part int")
+    found = hilbert.shard_rows(frame.filter("source is not null"), "doc_id", ["source"], 8).groupBy("shard").agg(F.countDistinct("source").alias("n")).collect()
+    assert [r["n"] for r in found] == [1] * 8
+    borders = hilbert.text_borders(frame, "source", 8)
+    assert borders == sorted(borders) and set(borders) <= {r[1] for r in rows}
+    assert hilbert.shard_rows(frame, "doc_id", ["source", "part"], 3).count() == 802
+
+
+def test_a_third_of_the_rows_with_one_text(spark):
+    rows = [(n, "same" if n % 3 == 0 else f"t{n:04d}") for n in range(3_000)]
+    cells = hilbert.curve_index(spark.createDataFrame(rows, "k long, t string"), ["t"], 8, F.struct("k", "t"), "at").select("row.t", "at").collect()
+    by_text = {}
+    for text, at in cells:
+        by_text.setdefault(text, set()).add(at)
+    assert all(len(some) == 1 for some in by_text.values())
+    ordered = [next(iter(by_text[text])) for text in sorted(by_text)]
+    assert ordered == sorted(ordered) and len(set(ordered)) > 120
+
+
+def test_single_sources_need_no_flow():
+    generator = random.Random(4)
+    for _ in range(30):
+        members = [["a"], ["b"], ["c"], ["b", "c"]][: generator.randrange(1, 5)]
+        sums = [(names, generator.randrange(5)) for names in members]
+        wanted = {name: float(generator.randrange(9)) for name in "abc"}
+        flows = mixing.route(sums, wanted, 2)
+        plain = mixing.min_cost_flow([size for _, size in sums], [round(wanted[x]) for x in "abc"], [["abc".index(x) for x in names] for names in members], [1, 3])
+        assert [sum(flow.values()) for flow in flows] == [sum(flow.values()) for flow in plain]
+    many = [([f"s{n}"], 10) for n in range(200_000)]
+    wanted = mixing.targets({names[0]: size for names, size in many})
+    assert all(flow == {names[0]: round(wanted[names[0]])} for (names, _), flow in zip(many, mixing.route(many, wanted, 2)))
+
+
+def test_mix_of_equal_rows(spark):
+    """Rows alike in every column are taken one by one, and the same file gives the same mix."""
+    frame = spark.createDataFrame([(1, "one two", "a")] * 50 + [(2, "three", "b")], "doc_id long, text string, source string")
+    found = mixing.mix(frame, "doc_id", mixing.word_count("text"), F.array("source"), volume=0.5).select("row.doc_id", "taken", "target", "repeats").collect()
+    taken = sum(r["taken"] for r in found if r["doc_id"] == 1)
+    assert len(found) == 51 and abs(taken - next(r["target"] for r in found if r["doc_id"] == 1)) <= 1.5
+
+
+def test_no_jump_at_any_length(spark):
+    """Texts alike but for their length are kept or rejected by one rule."""
+    scored = spark.createDataFrame([(n, "x" * n, 0.45) for n in range(1, 3_000)], "n int, text string, score double")
+    doubts = [r[0] for r in scored.orderBy("n").select(corpus_pipeline.score_doubt(F.col("score"), "text")).collect()]
+    assert all(0 <= a - b < 0.6 / n**1.5 for n, (a, b) in enumerate(zip(doubts, doubts[1:]), 1))
+
+
+def test_long_lines_are_hot(spark):
+    from retentia.llm import token_counts
+
+    line = "-" * 40
+    pieces = spark.createDataFrame([(line, 3_000, 1), ("rare", 1, 1), ("x" * 2_000, 3_000, 9)], "piece string, n long, tokens long")
+    assert [r["piece"] for r in token_counts.hottest(pieces, 1).collect()] == [line]
