@@ -13,7 +13,8 @@ from retentia.sources.tables import load_model, save_model
 SEED = 7
 # One feature decides the label, so a tree that may use it at once is right on every row.
 SMALL_FOREST = {"numTrees": [5, 10], "maxDepth": [3], "featureSubsetStrategy": ["all"]}
-SMALL_BOOSTING = {"maxDepth": [3], "subsamplingRate": [1.0]}
+# Boosting in a grid stops by these rows' error.
+VALIDATION_SHARE = 0.2
 _DECIDED = "SELECT doc_id, (lang = 'en')::INT AS english FROM documents JOIN labels USING (doc_id)"
 _TEST = f"SELECT * FROM ({_DECIDED}) WHERE {draw_sql('doc_id')} >= "
 _PERFECT = """SELECT 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS weighted_precision, 1.0::DOUBLE AS weighted_recall, 1.0::DOUBLE AS f1,
@@ -50,22 +51,47 @@ def rf_scores(spark, folder):
     return models.score(load_model(path, spark), test, vectors.label_col, ["doc_id"])
 
 
-@query("rf_metrics", f"{_PERFECT} FROM ({_TEST} 0.8)")
-def rf_metrics(spark, folder):
+def _searched(spark, folder, model="RandomForestClassifier", **options):
+    """The model's full grid, searched on the training part, and the test part."""
     vectors = _vectors(spark, folder)
     train, test = _parts(vectors)
-    scored = models.score(_forest(vectors, train), test, vectors.label_col)
-    return evaluate.performance_evaluation(scored, vectors.label_col)
+    found = models.search_grid(train, vectors.label_col, vectors.encoded_col, vectors.weight_col, model, key="doc_id", **options)
+    return found, test, vectors.label_col
+
+
+@query("rf_metrics", f"{_PERFECT} FROM ({_TEST} 0.8)")
+def rf_metrics(spark, folder):
+    """The best of the 81 points of the forest's grid, on the test part."""
+    found, test, label = _searched(spark, folder)
+    return evaluate.performance_evaluation(models.score(found.model, test, label), label)
+
+
+_FOLD = f"floor({draw_sql('doc_id').replace(chr(39) + str(SEED) + chr(39), chr(39) + str(models.SEED) + chr(39))} * 5)::INT"
+_FOLDS = f"folds AS (SELECT {_FOLD} AS fold, count(*) AS rows FROM ({_DECIDED}) WHERE {draw_sql('doc_id')} < 0.8 GROUP BY 1)"
+_POINTS = """points AS (SELECT unnest([10, 20, 30]) AS "numTrees", d AS "maxDepth", b AS "maxBins", s AS "featureSubsetStrategy"
+    FROM (SELECT unnest([5, 10, 15]) AS d), (SELECT unnest([32, 64, 128]) AS b), (SELECT unnest(['auto', 'sqrt', 'log2']) AS s))"""
+
 
+@query("grid_scores", f"WITH {_FOLDS}, {_POINTS} SELECT points.*, fold, rows, 1.0::DOUBLE AS weighted_recall FROM points, folds")
+def grid_scores(spark, folder):
+    """Every point of the forest's grid on every fold."""
+    return _searched(spark, folder)[0].scores.withColumnRenamed("weightedRecall", "weighted_recall")
 
-@query("best_parameters", f"SELECT unnest(['featureSubsetStrategy', 'maxDepth']) AS parameter, unnest(['all', '3']) AS value FROM ({_DECIDED}) LIMIT 2")
+
+@query(
+    "best_parameters",
+    f"""WITH {_FOLDS}, {_POINTS}, scores AS (SELECT points.*, 1.0::DOUBLE AS score FROM points, folds),
+          best AS (SELECT "numTrees", "maxDepth", "maxBins", "featureSubsetStrategy", avg(score) AS mean_score FROM scores
+            GROUP BY ALL ORDER BY mean_score DESC, "numTrees", "maxDepth", "maxBins", "featureSubsetStrategy" LIMIT 1)
+        SELECT unnest(['numTrees', 'maxDepth', 'maxBins', 'featureSubsetStrategy']) AS parameter,
+          unnest(["numTrees"::VARCHAR, "maxDepth"::VARCHAR, "maxBins"::VARCHAR, "featureSubsetStrategy"]) AS value, mean_score FROM best""",
+)
 def best_parameters(spark, folder):
-    vectors = _vectors(spark, folder)
-    train, _ = _parts(vectors)
-    return models.best_parameters(_forest(vectors, train), ["maxDepth", "featureSubsetStrategy"], spark)
+    """The winner of the scored grid."""
+    return models.best_point(_searched(spark, folder)[0].scores)
 
 
-@query("cv_folds", f"SELECT doc_id, floor({draw_sql('doc_id').replace(chr(39) + str(SEED) + chr(39), chr(39) + str(models.SEED) + chr(39))} * 5)::INT AS fold FROM labels")
+@query("cv_folds", f"SELECT doc_id, {_FOLD} AS fold FROM labels")
 def cv_folds(spark, folder):
     """The fold of each row in cross-validation."""
     return models.with_folds(table(spark, folder, "labels").select("doc_id"), key="doc_id", out="fold")
@@ -93,12 +119,9 @@ def flow_metrics(spark, folder):
 
 @query("gbt_scores", f"SELECT doc_id, english, english::DOUBLE AS prediction FROM ({_TEST} 0.8)")
 def gbt_scores(spark, folder):
-    vectors = _vectors(spark, folder)
-    train, test = _parts(vectors)
-    model = models.train_classification_model(
-        train, vectors.label_col, vectors.encoded_col, vectors.weight_col, "GBTClassifier", key="doc_id", grid=SMALL_BOOSTING
-    )
-    return models.score(model, test, vectors.label_col, ["doc_id"])
+    """The best of the 18 points of boosting's grid; every fit stops once its validation rows gain no more."""
+    found, test, label = _searched(spark, folder, "GBTClassifier", validation_share=VALIDATION_SHARE)
+    return models.score(found.model, test, label, ["doc_id"])
 
 
 _RANKED = f"c AS (SELECT english, row_number() OVER (ORDER BY count(*) DESC, english) - 1 AS place FROM t GROUP BY english)"

@@ -2,9 +2,10 @@ from pyspark.sql import functions as F
 
 from retentia.catalog import query, table
 from retentia.functions.scratch import materialize
-from retentia.operators.nearmiss import Sizes, undersample_nearmiss_v2
+from retentia.operators.nearmiss import Sizes, choice_recall, undersample_nearmiss_v2
 
 K = 3
+PROBES = 2
 NEARMISS_SQL = f"""WITH smallest AS (SELECT label FROM embeddings GROUP BY label ORDER BY count(*), label LIMIT 1),
   e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, label = (SELECT label FROM smallest) AS rare FROM embeddings),
   pairs AS (SELECT a.vec_id, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON NOT a.rare AND b.rare),
@@ -52,14 +53,13 @@ def nearmiss2_repeated_keys(spark, folder):
 
 @query(
     "nearmiss2_approx",
-    """WITH smallest AS (SELECT label FROM embeddings GROUP BY label ORDER BY count(*), label LIMIT 1)
-       SELECT vec_id, label, true AS others_within FROM embeddings WHERE label = (SELECT label FROM smallest)""",
+    NEARMISS_SQL.replace("SELECT vec_id, label FROM e", "SELECT vec_id, label, true AS chosen, 1.0::DOUBLE AS recall FROM e"),
 )
 def nearmiss2_approx(spark, folder):
-    """The minority, whole, and whether at most as many other rows came with it."""
-    kept = materialize(undersample_nearmiss_v2(_embeddings(spark, folder), "v", "label", K, key="vec_id", approx=True).drop("v"), "kept")
-    sizes = table(spark, folder, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    rare = sizes.orderBy("size", "label").limit(1)
-    others = kept.join(F.broadcast(rare), "label", "left_anti").agg(F.count(F.lit(1)).alias("others"))
-    minority = kept.join(F.broadcast(rare), "label").crossJoin(F.broadcast(others))
-    return minority.select("vec_id", "label", (F.col("others") <= F.col("size")).alias("others_within"))
+    """The rows of the exact choice, whether the approximate one has them, and the share that it has."""
+    rows = _embeddings(spark, folder)
+    near = materialize(undersample_nearmiss_v2(rows, "v", "label", K, key="vec_id", approx=True, probes=PROBES).drop("v"), "near")
+    exact = undersample_nearmiss_v2(rows, "v", "label", K, key="vec_id").drop("v")
+    found = materialize(choice_recall(near, exact, "vec_id"), "recall")
+    share = found.agg(F.avg(F.col("chosen").cast("int")).alias("recall"))
+    return found.join(F.broadcast(share), F.lit(True))

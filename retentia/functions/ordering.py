@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import column
-from retentia.functions.scratch import materialize
+from retentia.functions.scratch import local_table, materialize
 
 PART = "__part"
 ONE_TASK_ROWS = 20_000
-EDGE_VALUES = 2_000
+EDGE_VALUES = 50_000
 SKETCH_ACCURACY = 10_000
 SKETCH_ERRORS = 1.5
 
 Target = tuple[str, int]
-Interval = tuple[object, object, int, int]
+Interval = tuple[object, object]
 
 
 def running_total(
@@ -96,12 +98,12 @@ def exact_quantiles(
 ) -> tuple[dict[tuple[str, float], list], Row]:
     """Exact values at shares of the non-null values of numeric columns, and ``extra`` aggregates.
 
-    One pass takes the extra aggregates, the sizes and a sketch of each column, which
-    proposes two values around every wanted rank. Counting the rows on both sides of
-    them places the rank at one of the two, or strictly between them among a few
-    thousandths of the rows, or (had the sketch missed) strictly outside; this repeats
-    until at most ``small`` values are left to look at. Nothing is sorted or shuffled,
-    and a value held by any share of the rows is settled by its counts.
+    Two passes over ``df``. The first takes the extra aggregates, the sizes and a sketch of each column, which
+    proposes two values around every wanted rank. The second counts the values outside of these intervals
+    and writes those inside, each once with its number of rows: a few ten-thousandths of the
+    rows, and one entry for a value that any share of the rows holds. The wanted ranks are then looked up in that
+    table of candidates, on the driver if it has at most ``small`` rows, else by range partitions.
+    Had the sketch missed a rank, the second pass is repeated for the side on which it lies.
 
     A column without values gives empty lists. ``rank_rule`` turns a share and a size
     into the 0-based ranks to return.
@@ -116,22 +118,13 @@ def exact_quantiles(
     sizes = dict(zip(names, first[len(extra) :]))
     sketched = dict(zip(names, first[len(extra) + len(names) :]))
     ranks = {(name, share): rank_rule(share, sizes[name]) for name in names for share in shares[name] if sizes[name]}
-
-    # target (column, rank) -> (low, high, values up to low, values strictly between)
-    pending: dict[Target, Interval] = {}
-    proposals: dict[Target, tuple] = {}
-    for (name, share), wanted in ranks.items():
+    wanted: dict[Target, Interval] = {}
+    for (name, share), some in ranks.items():
         at = 2 * list(shares[name]).index(share)
-        for rank in wanted:
-            pending[name, rank] = (None, None, 0, sizes[name])
-            proposals[name, rank] = (sketched[name][at], sketched[name][at + 1])
+        wanted |= {(name, rank): (sketched[name][at], sketched[name][at + 1]) for rank in some}
     found: dict[Target, object] = {}
-    while proposals:
-        _narrow(df, pending, proposals, found)
-        proposals = _sketch_intervals(
-            df, {target: interval for target, interval in pending.items() if interval[3] > small}, accuracy
-        )
-    found |= _look_up(df, pending)
+    while wanted:
+        wanted = _select(df, wanted, found, small)
     values = {
         (name, share): [found[name, rank] for rank in ranks.get((name, share), [])] for name in names for share in shares[name]
     }
@@ -142,71 +135,95 @@ def _around(share: float, margin: float) -> list[float]:
     return [max(0.0, share - margin), min(1.0, share + margin)]
 
 
-def _narrow(df: DataFrame, pending: dict, proposals: dict, found: dict) -> None:
-    """Count the rows below and up to every proposed value, and shrink the intervals by it."""
-    points = list(dict.fromkeys((name, value) for (name, _), pair in proposals.items() for value in pair))
-    counted = df.agg(
-        *[
-            measure
-            for name, value in points
-            for measure in (F.count_if(column(name) < F.lit(value)), F.count_if(column(name) <= F.lit(value)))
-        ]
-    ).first()
-    sides = {point: (counted[2 * at], counted[2 * at + 1]) for at, point in enumerate(points)}
-    for (name, rank), (low, high) in proposals.items():
-        old_low, old_high, before, inside = pending.pop((name, rank))
-        below_low, upto_low = sides[name, low]
-        below_high, upto_high = sides[name, high]
-        if rank < below_low:
-            pending[name, rank] = (old_low, low, before, below_low - before)
-        elif rank < upto_low:
-            found[name, rank] = low
-        elif rank < below_high:
-            pending[name, rank] = (low, high, upto_low, below_high - upto_low)
-        elif rank < upto_high:
-            found[name, rank] = high
-        else:
-            pending[name, rank] = (high, old_high, upto_high, before + inside - upto_high)
-
-
-def _sketch_intervals(df: DataFrame, wide: dict, accuracy: int) -> dict:
-    """Two values around each rank from a sketch of its interval."""
-    if not wide:
-        return {}
-    sketches = [
-        F.percentile_approx(
-            F.when(_between(name, low, high), column(name)),
-            _around((rank - before + 0.5) / inside, SKETCH_ERRORS / accuracy),
-            accuracy,
-        )
-        for (name, rank), (low, high, before, inside) in wide.items()
-    ]
-    return {target: tuple(pair) for target, pair in zip(wide, df.agg(*sketches).first())}
-
-
-def _look_up(df: DataFrame, pending: dict) -> dict:
-    """Fetch the few values of each remaining interval and take the wanted one."""
-    intervals = list(dict.fromkeys((name, low, high) for (name, _), (low, high, _, _) in pending.items()))
-    if not intervals:
-        return {}
-    lists = df.agg(*[F.collect_list(F.when(_between(*interval), column(interval[0]))) for interval in intervals]).first()
-    ordered = {
-        interval: sorted(values, key=lambda value: (value != value, value)) for interval, values in zip(intervals, lists)
-    }
-    return {
-        (name, rank): ordered[name, low, high][rank - before] for (name, rank), (low, high, before, _) in pending.items()
-    }
+def _sortable(value: object) -> tuple:
+    """Spark's order of numbers: NaN after all others."""
+    return value != value, value
 
 
-def _between(name: str, low: object, high: object) -> Column:
-    inside = column(name).isNotNull()
-    if low is not None:
-        inside = inside & (column(name) > F.lit(low))
-    if high is not None:
-        inside = inside & (column(name) < F.lit(high))
-    return inside
+def _merged(intervals: Sequence[Interval]) -> list[Interval]:
+    """Disjoint intervals that cover the given ones; None is an open end."""
+    low_of = lambda interval: (interval[0] is not None, *(_sortable(interval[0]) if interval[0] is not None else ()))
+    merged: list[Interval] = []
+    for low, high in sorted(set(intervals), key=low_of):
+        if merged and (merged[-1][1] is None or low is None or _sortable(low) <= _sortable(merged[-1][1])):
+            last = merged[-1]
+            merged[-1] = (last[0], None if last[1] is None or high is None else max(last[1], high, key=_sortable))
+        else:
+            merged.append((low, high))
+    return merged
+
+
+def _select(df: DataFrame, wanted: dict[Target, Interval], found: dict[Target, object], small: int) -> dict[Target, Interval]:
+    """One pass: adds the values of ranks that lie in their intervals to ``found``, and returns where the others must be."""
+    names = list(dict.fromkeys(name for name, _ in wanted))
+    intervals = {name: _merged([interval for (of, _), interval in wanted.items() if of == name]) for name in names}
+    candidates = materialize(_candidates(df, intervals), "candidates")
+    counts = candidates.groupBy("at", "segment").agg(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("values")).collect()
+    rows = {(row["at"], row["segment"]): row["rows"] for row in counts}
+    # A column's segments in order: below its first interval, inside, between, inside, ..., above.
+    places: list[tuple] = []
+    missed: dict[Target, Interval] = {}
+    for (name, rank) in wanted:
+        at, before = names.index(name), 0
+        for segment in range(2 * len(intervals[name]) + 1):
+            inside = rows.get((at, segment), 0)
+            if rank < before + inside:
+                break
+            before += inside
+        if segment % 2:
+            places.append((at, segment, rank, rank - before))
+        else:
+            lows, highs = zip(*intervals[name])
+            missed[name, rank] = ((None, *highs)[segment // 2], (*lows, None)[segment // 2])
+    for at, rank, value in _ranked(candidates.filter("segment % 2 = 1"), places, sum(row["values"] for row in counts), small):
+        found[names[at], rank] = value
+    return missed
+
+
+def _candidates(df: DataFrame, intervals: dict[str, list[Interval]]) -> DataFrame:
+    """Rows per column and segment; those in an interval are counted by their value."""
+    kinds = list(dict.fromkeys(df.schema[name].dataType.simpleString() for name in intervals))
+    entries = []
+    for at, (name, ranges) in enumerate(intervals.items()):
+        value, kind = column(name), df.schema[name].dataType.simpleString()
+        segment = F.when(value.isNull(), F.lit(None))
+        for turn, (low, high) in enumerate(ranges):
+            if low is not None:
+                segment = segment.when(value < F.lit(low), F.lit(2 * turn))
+            segment = segment.when(F.lit(True) if high is None else value <= F.lit(high), F.lit(2 * turn + 1))
+        segment = segment.otherwise(F.lit(2 * len(ranges))).cast("int")
+        values = [F.when(segment % 2 == 1, value if kind == of else F.lit(None)).cast(of).alias(f"v{n}") for n, of in enumerate(kinds)]
+        entries.append(F.struct(F.lit(at).alias("at"), segment.alias("segment"), *values))
+    cells = df.select(F.inline(F.array(*entries))).filter(F.col("segment").isNotNull())
+    return cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("count"))
+
+
+def _ranked(candidates: DataFrame, places: list[tuple], values: int, small: int) -> list[tuple]:
+    """``(column, rank, value)`` for places ``(column, segment, rank, rank inside the segment)`` among counted values."""
+    kinds = [name for name in candidates.columns if name.startswith("v")]
+    value_of = lambda row: next((row[kind] for kind in kinds if row[kind] is not None), None)
+    if not places:
+        return []
+    if values <= small:
+        held: dict[tuple, list] = {}
+        for row in candidates.collect():
+            held.setdefault((row["at"], row["segment"]), []).append((value_of(row), row["count"]))
+        totals = {}
+        for place, pairs in held.items():
+            pairs.sort(key=lambda pair: _sortable(pair[0]))
+            totals[place] = [pair[0] for pair in pairs], list(accumulate(pair[1] for pair in pairs))
+        return [(at, rank, totals[at, segment][0][bisect_right(totals[at, segment][1], inside)]) for at, segment, rank, inside in places]
+    table = local_table(candidates.sparkSession, places, "at int, segment int, rank bigint, inside bigint")
+    placed = running_total(candidates, ["at", "segment"], [F.col(kind).asc() for kind in kinds], F.col("count"), "before")
+    reached = (F.col("before") <= F.col("inside")) & (F.col("inside") < F.col("before") + F.col("count"))
+    return [(row["at"], row["rank"], value_of(row)) for row in placed.join(F.broadcast(table), ["at", "segment"]).filter(reached).collect()]
 
 
 def median_ranks(share: float, size: int) -> list[int]:
     """The one or two middle ranks."""
     return sorted({(size - 1) // 2, size // 2})
+
+
+def median_of(middle: Sequence) -> float | None:
+    """The mean of the one or two middle values; None of none."""
+    return float(sum(middle)) / len(middle) if middle else None

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Transformer
-from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexerModel, VectorAssembler, VectorIndexer
+from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexerModel, VectorAssembler, VectorIndexer, VectorIndexerModel, VectorSlicer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,7 @@ from retentia.functions.scratch import local_table, materialize
 from retentia.operators.profile import column_ranges
 
 INVALID = ("error", "skip", "keep")
-INDEX, VALUE = "__index", "__value"
+INDEX, VALUE, SHORT = "__index", "__value", "__short"
 Pairs = Sequence[tuple[str, str]]
 
 
@@ -206,8 +207,68 @@ def vector_index_column(
     df: DataFrame, vector_col: str, output_col: str, max_categories: int = 5
 ) -> tuple[DataFrame, Transformer]:
     """Re-index vector slots with few distinct values as categories."""
-    model = VectorIndexer(inputCol=vector_col, outputCol=output_col, maxCategories=max(2, max_categories)).fit(df)
-    return model.transform(df), model
+    df, (model,) = vector_index_columns(df, [(vector_col, output_col)], max_categories)
+    return df, model
+
+
+def vector_index_columns(df: DataFrame, columns_to_index: Pairs, max_categories: int = 5) -> tuple[DataFrame, list[Transformer]]:
+    """The same for several vector columns in one pass, ``(input, output)`` pairs.
+
+    Slots that the attributes call binary, such as those of one-hot vectors, have the categories 0 and 1 and are not looked at.
+    The other slots of all vectors are cut out into one short vector, and each task holds at most
+    ``max_categories`` values of a slot and gives it up beyond.
+    """
+    limit = max(2, max_categories)
+    cut, parts, places = df, [], []
+    for at, (name, _) in enumerate(columns_to_index):
+        size, binary = _slots(df, name)
+        looked_at = [slot for slot in range(size) if slot not in binary]
+        places.append((size, binary, looked_at))
+        if looked_at:
+            parts.append(f"__slots{at}")
+            whole = len(looked_at) == size
+            cut = cut.withColumn(parts[-1], column(name)) if whole else VectorSlicer(inputCol=name, outputCol=parts[-1], indices=looked_at).transform(cut)
+    found: dict = {}
+    if parts:
+        short = VectorAssembler(inputCols=parts, outputCol=SHORT).transform(cut.select(*parts)).select(SHORT)
+        found = VectorIndexer(inputCol=SHORT, outputCol="__out", maxCategories=limit).fit(short).categoryMaps
+    models, start = [], 0
+    for (name, out), (size, binary, looked_at) in zip(columns_to_index, places):
+        maps = {slot: found[start + turn] for turn, slot in enumerate(looked_at) if start + turn in found}
+        maps |= {slot: {0.0: 0, 1.0: 1} for slot in binary}
+        start += len(looked_at)
+        models.append(_index_model(df.sparkSession, name, out, size, maps))
+        df = models[-1].transform(df)
+    return df, models
+
+
+def _slots(df: DataFrame, name: str) -> tuple[int, set[int]]:
+    """Size of a vector column, and its slots that are known to be 0 or 1."""
+    attributes = df.schema[name].metadata.get("ml_attr", {})
+    size = attributes.get("num_attrs")
+    if size is None:
+        first = df.select(column(name)).filter(column(name).isNotNull()).first()
+        size = first[0].size if first else 0
+    return size, {slot["idx"] for slot in attributes.get("attrs", {}).get("binary", [])}
+
+
+def _index_model(spark: SparkSession, name: str, out: str, size: int, maps: dict[int, dict[float, int]]) -> VectorIndexerModel:
+    """Spark's model from its category maps."""
+    jvm = spark.sparkContext._jvm
+    held = jvm.java.util.HashMap()
+    # Equal maps, as those of binary slots, are made once.
+    made: dict[tuple, object] = {}
+    for slot, values in maps.items():
+        key = tuple(values.items())
+        if key not in made:
+            inner = jvm.java.util.HashMap()
+            for value, index in key:
+                inner.put(float(value), index)
+            made[key] = jvm.PythonUtils.toScalaMap(inner)
+        held.put(slot, made[key])
+    uid = f"VectorIndexer_{uuid.uuid4().hex[:12]}"
+    java = jvm.org.apache.spark.ml.feature.VectorIndexerModel(uid, size, jvm.PythonUtils.toScalaMap(held))
+    return VectorIndexerModel(java).setInputCol(name).setOutputCol(out)
 
 
 def min_max_expressions(ranges: dict[str, tuple[float | None, float | None]]) -> dict[str, Column]:

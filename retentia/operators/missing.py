@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retentia.functions.columns import column
-from retentia.functions.ordering import exact_quantiles, median_ranks
-from retentia.operators.profile import AGGREGATES, long_form
+from retentia.functions.ordering import exact_quantiles, median_of, median_ranks
+from retentia.operators.profile import AGGREGATES, MEDIAN, long_form
 
+# The two ways to treat nulls that no rule fills. The names of kinds and report columns below are fixed, too.
 BEHAVIORS = ("drop_rows", "drop_cols")
 
 
@@ -110,7 +111,7 @@ def clean_nulls(
     hold nulls are filled from ``default_values``: a constant, or one of sum, count,
     avg, min, max, median computed on the rows left. If nulls remain, their rows or
     their columns are dropped. Two aggregation jobs decide all of it; exact medians
-    add passes that count.
+    add one pass that counts.
     """
     if unaccounted_nulls_behavior not in BEHAVIORS:
         raise AssertionError(f"unaccounted_nulls_behavior must be one of {BEHAVIORS}")
@@ -127,7 +128,7 @@ def clean_nulls(
     if not suspects:
         return df
     by_aggregate = {name: defaults[name] for name in suspects if _is_aggregate(defaults.get(name))}
-    medians = [name for name, how in by_aggregate.items() if how == "median"]
+    medians = [name for name, how in by_aggregate.items() if how == MEDIAN]
     others = [name for name in by_aggregate if name not in medians]
     measures = [F.count_if(column(name).isNull()) for name in suspects]
     measures += [AGGREGATES[by_aggregate[name]](column(name)) for name in others]
@@ -137,8 +138,7 @@ def clean_nulls(
         middle, second = {}, df.agg(*measures).first()
     open_nulls = {name for name, count in zip(suspects, second) if count > 0}
     computed = dict(zip(others, second[len(suspects) :]))
-    for (name, _), values in middle.items():
-        computed[name] = sum(float(value) for value in values) / len(values) if values else None
+    computed |= {name: median_of(values) for (name, _), values in middle.items()}
 
     fills = {}
     for name in suspects:
@@ -158,4 +158,4 @@ def clean_nulls(
 
 
 def _is_aggregate(value: object) -> bool:
-    return isinstance(value, str) and value in AGGREGATES
+    return isinstance(value, str) and value in (*AGGREGATES, MEDIAN)

@@ -83,16 +83,18 @@ def undersample_nearmiss_v2(
     approx: bool = False,
     seed: int = 0,
     sizes: Sizes = Sizes(),
+    probes: int = 0,
 ) -> DataFrame:
     """The smallest class and equally many of the other rows, chosen by NearMiss-2.
 
     ``key`` names a column that breaks ties, smallest first and null before all; equal
     keys go by a hash of the row. Rows are told apart by numbers given in that order and
     written out first, so the key need not be unique. ``approx`` compares only rows that
-    share a hash bucket and may return fewer rows, as some find no partner.
+    share a hash bucket and may return fewer rows, as some find no partner. With ``probes`` a row also meets the rows in that many
+    buckets on either side of its own, in every table: more comparisons, and a choice nearer to the exact one; see ``choice_recall``.
     """
-    if k < 1:
-        raise ValueError("k must be at least 1")
+    if k < 1 or probes < 0:
+        raise ValueError("k must be at least 1, probes at least 0")
     names = df.columns
     if key is not None:
         order = [column(key).asc_nulls_first(), F.xxhash64(*hashable_columns(df))]
@@ -108,7 +110,7 @@ def undersample_nearmiss_v2(
     majority = points.filter(~F.coalesce(is_minority, F.lit(False)))
     size = smallest[classes.count_col]
     if approx:
-        scored = _shared_bucket_scores(majority, minority, classes.total - size, k, seed, sizes)
+        scored = _shared_bucket_scores(majority, minority, classes.total - size, k, seed, sizes, probes)
         chosen = _keys_of(smallest_rows(scored, [SCORE, ID], size, sizes.one_task_rows))
         picked = _rows_of(majority, chosen, size, sizes)
     else:
@@ -117,6 +119,12 @@ def undersample_nearmiss_v2(
     return minority.select(*columns).unionByName(picked.select(*columns))
 
 
+def choice_recall(approximate: DataFrame, exact: DataFrame, key: str) -> DataFrame:
+    """The rows of an exact choice with ``chosen``: whether the approximate one has them, too; ``key`` must be unique and not null."""
+    found = approximate.select(column(key)).withColumn("chosen", F.lit(True))
+    return exact.join(found, key, "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+
+
 def _closest(majority: DataFrame, minority: DataFrame, size: int, others: int, k: int, sizes: Sizes) -> DataFrame:
     center = _center(minority)
     width = len(center)
@@ -384,9 +392,9 @@ def _scores(tiles: DataFrame, k: int) -> DataFrame:
 
 
 def _shared_bucket_scores(
-    majority: DataFrame, minority: DataFrame, others: int, k: int, seed: int, sizes: Sizes
+    majority: DataFrame, minority: DataFrame, others: int, k: int, seed: int, sizes: Sizes, probes: int = 0
 ) -> DataFrame:
-    """Scores over the minority rows that share a hash bucket with a row, in any table."""
+    """Scores over the minority rows in the same bucket as a row, or in one of ``probes`` on either side, in any table."""
     width = len(_center(minority))
     hasher = BucketedRandomProjectionLSH(
         inputCol="__vector",
@@ -396,13 +404,14 @@ def _shared_bucket_scores(
         seed=seed,
     ).fit(majority.limit(1).select(array_to_vector(POINT).alias("__vector")))
 
-    def bucketed(rows: DataFrame) -> DataFrame:
+    def bucketed(rows: DataFrame, reach: int) -> DataFrame:
         hashed = hasher.transform(rows.select(ID, POINT, array_to_vector(POINT).alias("__vector")))
         table = hashed.select(ID, POINT, F.posexplode("__hashes").alias("table", "hash"))
-        bucket = vector_to_array(F.col("hash"))[0].cast("long").cast("string")
-        return table.select(ID, POINT, F.concat_ws(":", F.col("table").cast("string"), bucket).alias("cell"))
+        own = vector_to_array(F.col("hash"))[0].cast("long")
+        near = table.withColumn("bucket", F.explode(F.sequence(own - reach, own + reach)))
+        return near.select(ID, POINT, F.concat_ws(":", F.col("table").cast("string"), F.col("bucket").cast("string")).alias("cell"))
 
-    left, right = bucketed(majority), bucketed(minority)
+    left, right = bucketed(majority, probes), bucketed(minority, 0)
     per_tile = sizes.tile(width)
     both = (
         left.select("cell", F.lit(1).alias("l"), F.lit(0).alias("r"))

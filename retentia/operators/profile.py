@@ -8,13 +8,15 @@ from pyspark.sql import types as T
 
 from retentia.functions.columns import column, column_group, columns_types
 from retentia.functions.keytable import KeyTable
-from retentia.functions.ordering import SKETCH_ACCURACY, exact_quantiles
+from retentia.functions.ordering import SKETCH_ACCURACY, exact_quantiles, median_of, median_ranks
 from retentia.functions.scratch import local_table
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 # The statistics after the count, in report order.
 SUMMARY = ("mean", "stddev", "min", *QUARTILES, "max")
-AGGREGATES = {"sum": F.sum, "count": F.count, "avg": F.avg, "min": F.min, "max": F.max, "median": F.median}
+# By one aggregation; the median is selected by rank instead, as Spark's keeps all distinct values in one buffer.
+AGGREGATES = {"sum": F.sum, "count": F.count, "avg": F.avg, "min": F.min, "max": F.max}
+MEDIAN = "median"
 
 
 def long_form(wide: DataFrame, rows: list[dict[str, Column]]) -> DataFrame:
@@ -129,11 +131,23 @@ def show_summary_labels(df: DataFrame, labels_col: str) -> DataFrame:
 
 
 def aggregate_by_name(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
-    """One row with the named aggregate of each column, as ``<aggregate>_<column>``."""
-    unknown = set(wanted.values()) - set(AGGREGATES)
+    """One row with the named aggregate of each column, as ``<aggregate>_<column>``.
+
+    Medians are exact doubles, the mean of the two middle values for an even number of them, found in two passes that count.
+    """
+    unknown = set(wanted.values()) - {*AGGREGATES, MEDIAN}
     if unknown:
         raise ValueError(f"unsupported aggregates: {sorted(unknown)}")
-    return df.agg(*[AGGREGATES[how](column(name)).alias(f"{how}_{name}") for name, how in wanted.items()])
+    plain = {name: AGGREGATES[how](column(name)).alias(f"{how}_{name}") for name, how in wanted.items() if how != MEDIAN}
+    medians = [name for name, how in wanted.items() if how == MEDIAN]
+    if not medians:
+        return df.agg(*plain.values())
+    middle, row = exact_quantiles(df, dict.fromkeys(medians, [0.5]), median_ranks, list(plain.values()))
+    found = dict(zip(plain, row)) | {name: median_of(middle[name, 0.5]) for name in medians}
+    kinds = df.agg(*plain.values()).schema.fields if plain else []
+    kinds = {name: field.dataType.simpleString() for name, field in zip(plain, kinds)} | dict.fromkeys(medians, "double")
+    schema = ", ".join(f"`{how}_{name}` {kinds[name]}".replace("``", "`") for name, how in wanted.items())
+    return local_table(df.sparkSession, [tuple(found[name] for name in wanted)], schema)
 
 
 def column_ranges(df: DataFrame, columns: list[str]) -> dict[str, tuple[float | None, float | None]]:

@@ -20,7 +20,7 @@ from retentia.operators.encode import (
     fit_string_index,
     string_index_columns,
     vector_feature_column,
-    vector_index_column,
+    vector_index_columns,
 )
 from retentia.operators.profile import distinct_counts
 
@@ -84,8 +84,7 @@ def get_indexed_and_encode_vectors(df: DataFrame, feature_cols: Sequence[str], l
     out = compute_class_weights_column(out, new_label)
     out = vector_feature_column(out, [index for _, index in text_pairs + boolean_pairs] + numeric, INDEXED)
     out = vector_feature_column(out, [encoded for _, encoded in to_encode] + numeric, ENCODED)
-    out, _ = vector_index_column(out, INDEXED, VECTOR_INDEXED, max_categories)
-    out, _ = vector_index_column(out, ENCODED, VECTOR_ENCODED, max_categories)
+    out, _ = vector_index_columns(out, [(INDEXED, VECTOR_INDEXED), (ENCODED, VECTOR_ENCODED)], max_categories)
     return FeatureVectors(out, VECTOR_INDEXED, VECTOR_ENCODED, new_label, WEIGHTS, indexer, single)
 
 
