@@ -15,8 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def arrow_uri(uri: str) -> str:
+    """A path as Spark writes it, under the name that Arrow knows its store by."""
+    return re.sub("^s3[an]:", "s3:", re.sub("^file:/+", "file:///", uri))
+
+
 def _at(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+    return fs.FileSystem.from_uri(arrow_uri(uri))
 
 
 def new_name(folder: str, stem: str, suffix: str) -> str:

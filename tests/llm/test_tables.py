@@ -472,3 +472,11 @@ def test_long_lines_are_hot(spark):
     line = "-" * 40
     pieces = spark.createDataFrame([(line, 3_000, 1), ("rare", 1, 1), ("x" * 2_000, 3_000, 9)], "piece string, n long, tokens long")
     assert [r["piece"] for r in token_counts.hottest(pieces, 1).collect()] == [line]
+
+
+def test_paths_of_stores():
+    from retentia.llm import files
+
+    assert [files.arrow_uri(x) for x in ("s3a://b/k", "s3n://b/k", "s3://b/k", "file:/a", "file:///a", "hdfs://h/a")] == [
+        "s3://b/k", "s3://b/k", "s3://b/k", "file:///a", "file:///a", "hdfs://h/a",
+    ]
