@@ -58,16 +58,32 @@ def missing_report(spark, folder):
     return rounded(missing.show_summary_nulls(marked_events(spark, folder)), "Percentage")
 
 
+_JOINED_TESTS = {
+    "doc_id": NULL_TEST,
+    "text": TEXT_TESTS,
+    "lang": TEXT_TESTS,
+    "source": TEXT_TESTS,
+    "n_chars": NULL_TEST,
+    "quality": NULL_TEST,
+    "toxic": NULL_TEST,
+}
+
+
 @query(
     "missing_report_non_null",
-    """SELECT 'toxic' AS "Column", 'Null' AS "Type", count(*) FILTER (toxic IS NULL) AS "Count",
-       round(count(*) FILTER (toxic IS NULL) * 100.0 / count(toxic), 6)::DOUBLE AS "Percentage"
-       FROM documents LEFT JOIN labels USING (doc_id)""",
+    "WITH joined AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)), counted AS ("
+    + " UNION ALL ".join(
+        f"""SELECT '{name}' AS "Column", '{kind}' AS "Type", count(*) FILTER ({test.format(c=name)}) AS "Count",
+            round(count(*) FILTER ({test.format(c=name)}) * 100.0 / count({name}), 6)::DOUBLE AS "Percentage" FROM joined"""
+        for name, tests in _JOINED_TESTS.items()
+        for kind, test in tests
+    )
+    + """) SELECT * FROM counted WHERE "Count" > 0""",
 )
 def missing_report_non_null(spark, folder):
+    """All columns of documents and their labels, in percent of the values that are there."""
     joined = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
-    report = missing.get_missing_values_count(joined.select("doc_id", "n_chars", "toxic"), denominator="non_null")
-    return rounded(report, "Percentage")
+    return rounded(missing.get_missing_values_count(joined, denominator="non_null"), "Percentage")
 
 
 @query(

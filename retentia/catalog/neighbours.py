@@ -31,6 +31,19 @@ def nearmiss2_tiled(spark, folder):
     return undersample_nearmiss_v2(_embeddings(spark, folder), "v", "label", K, key="vec_id", sizes=sizes).drop("v")
 
 
+_HALVES_SQL = NEARMISS_SQL.replace("SELECT label FROM embeddings", "SELECT (label < 4)::INT AS label FROM embeddings").replace(
+    "GROUP BY label ORDER BY count(*), label", "GROUP BY (label < 4)::INT ORDER BY count(*), (label < 4)::INT"
+).replace("AS (SELECT vec_id, label, embedding", "AS (SELECT vec_id, (label < 4)::INT AS label, embedding").replace("label = (SELECT", "(label < 4)::INT = (SELECT")
+
+
+@query("nearmiss2_wide", _HALVES_SQL)
+def nearmiss2_wide(spark, folder):
+    """A minority of about four tenths in 64 dimensions, tile by tile, with bounds from pivots."""
+    sizes = Sizes(broadcast_bytes=0, pivots=16, tile_rows=64, one_task_rows=16)
+    halves = _embeddings(spark, folder).withColumn("label", (F.col("label") < 4).cast("int"))
+    return undersample_nearmiss_v2(halves, "v", "label", K, key="vec_id", sizes=sizes).drop("v")
+
+
 _REPEATED_SQL = (
     NEARMISS_SQL.replace("embedding::DOUBLE[] AS v,", "embedding::DOUBLE[] AS v, CASE WHEN vec_id % 3 <> 0 THEN vec_id // 4 END AS k,")
     .replace("AS (SELECT a.vec_id, list", "AS (SELECT a.vec_id, a.k, list")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -17,9 +18,15 @@ _written: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; where that is unset, the session's warehouse folder."""
+    """Folder named by ``spark.checkpoint.dir``; where that is unset, the session's warehouse folder.
+
+    On a cluster, executors do not share a local warehouse folder; then a setting is asked for.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    root = (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if not configured and not re.match(r"local(\[|$)", spark.sparkContext.master) and re.match("file:|/", root):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

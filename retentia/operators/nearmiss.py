@@ -10,8 +10,9 @@ is found without forming pairs as rows:
   exactly, the worst of those scores limits the rest, and only rows whose bound is
   within the limit are scored as well.
 * Exact scoring multiplies tiles of at most ``tile_rows`` rows of each side. Minority
-  tiles are ordered by distance from the centre, and a row visits only the tiles
-  that can hold one of its k farthest. A tile returns at most k distances per row.
+  rows are put into tiles by the nearest of a few pivots, and a row visits only the tiles that can
+  hold one of its k farthest: by the triangle over each pivot, no row of a tile is farther than the
+  least of the sums of both distances from a pivot. A tile returns at most k distances per row.
 
 Distances inside a tile are one matrix product; the k kept are recomputed by
 differences.
@@ -47,14 +48,17 @@ ROW, ID, POINT, SCORE, FLOOR, COPY = "__row", "__id", "__point", "__score", "__f
 SLACK = 1e-9
 MARGIN = 8
 BOUNDS = 1_024
+PIVOTS = 32
+PIVOT_SAMPLE = 2_048
 MERGE_SLICES = 64
 
 
 @dataclass(frozen=True)
 class Bounds:
-    """Greatest distances from the centre of every ``step``-th of ``count`` minority blocks."""
+    """Pivots, and for each group of ``step`` of the ``count`` minority blocks its greatest distance from each pivot."""
 
-    reach: list[float]
+    pivots: np.ndarray
+    far: np.ndarray
     step: int
     count: int
 
@@ -138,14 +142,13 @@ def _closest(majority: DataFrame, minority: DataFrame, size: int, others: int, k
         near = majority.withColumn(SCORE, scores["mean"]).filter(F.col(SCORE) <= worst_score * (1 + SLACK))
         return _rows_of(near, chosen, size, sizes)
 
-    blocks, bounds = _minority_blocks(minority, center, sizes.tile(width))
+    blocks, bounds = _minority_blocks(minority, center, sizes.tile(width), sizes)
     pivots = blocks.orderBy(F.desc("reach"), ID).limit(max(k, min(sizes.pivots, sizes.tile(width))))
     bound = _pivot_scores(pivots, center, k)(F.col(POINT))
     bounded = majority.withColumn("__bound", bound).select(
         *[column(name) for name in majority.columns],
         F.col("__bound")["mean"].alias(SCORE),
         F.col("__bound")["least"].alias(FLOOR),
-        F.col("__bound")["reach"].alias("__reach"),
     )
     likely_share = min(1.0, size / others + 2e-4)
     limit = bounded.agg(F.percentile_approx(SCORE, likely_share, 10_000)).first()[0]
@@ -226,48 +229,68 @@ def farthest(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, n
 
 def _pivot_scores(pivots: DataFrame, center: np.ndarray, k: int):
     """Function of a point column giving, over a bounded set of minority rows, the mean
-    and least of the k largest distances, and the point's distance from the centre."""
+    and least of the k largest distances."""
     session = pivots.sparkSession
     rows = _matrix(pivots.select(POINT).toArrow()[POINT])
     shared = session.sparkContext.broadcast(rows - center)
 
-    @F.arrow_udf("struct<mean double, least double, reach double>")
+    @F.arrow_udf("struct<mean double, least double>")
     def scores(values: pa.Array) -> pa.Array:
-        points = _matrix(values) - center
-        distances, _ = farthest(points, shared.value, k)
-        reach = np.sqrt((points * points).sum(axis=1))
-        return pa.StructArray.from_arrays(
-            [pa.array(distances.mean(axis=1)), pa.array(distances[:, -1]), pa.array(reach)], ["mean", "least", "reach"]
-        )
+        distances, _ = farthest(_matrix(values) - center, shared.value, k)
+        return pa.StructArray.from_arrays([pa.array(distances.mean(axis=1)), pa.array(distances[:, -1])], ["mean", "least"])
 
     # Costly and only equal to the last bit between runs: evaluate where written, once.
     return scores.asNondeterministic()
 
 
-def _minority_blocks(minority: DataFrame, center: np.ndarray, tile_rows: int) -> tuple[DataFrame, Bounds]:
-    """Minority rows in blocks of ``tile_rows`` by falling distance from the centre, and
-    the greatest distances of at most ``BOUNDS`` of them, evenly apart."""
-    shared = minority.sparkSession.sparkContext.broadcast(center)
-
-    @F.arrow_udf("double")
-    def distance(values: pa.Array) -> pa.Array:
-        return pa.array(np.sqrt(((_matrix(values) - shared.value) ** 2).sum(axis=1)))
-
-    reach = distance(F.col(POINT))
-    placed = running_total(
-        materialize(minority.select(ID, POINT, reach.alias("reach")), "reach"),
-        [],
-        [F.col("reach").desc(), F.col(ID).asc()],
-        F.lit(1).cast("long"),
-        "position",
-    )
-    blocks = materialize(
-        placed.select(ID, POINT, "reach", F.floor(F.col("position") / tile_rows).cast("int").alias("block")), "minority"
-    )
+def pivot_distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.stack([np.sqrt(((points - pivot) ** 2).sum(axis=1)) for pivot in pivots], axis=1)
+
+
+def reachable(points: np.ndarray, floors: np.ndarray, pivots: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest pivot of each point, and whether a group of blocks may hold rows at least ``floors`` away; ``far`` is as in ``Bounds``."""
+    away = pivot_distances(points, pivots)
+    bound = np.full((len(points), len(far)), np.inf)
+    for at in range(len(pivots)):
+        np.minimum(bound, away[:, at : at + 1] + far[:, at], out=bound)
+    return away.argmin(axis=1), bound * (1 + SLACK) >= floors[:, None]
+
+
+def spread_points(sample: np.ndarray, first: np.ndarray, count: int) -> np.ndarray:
+    """``first``, then points of the sample, each as far as can be from those before it; fewer if the sample has no others."""
+    chosen = [first]
+    nearest = np.sqrt(((sample - first) ** 2).sum(axis=1))
+    while len(chosen) < count and len(sample) and nearest.max() > 0:
+        chosen.append(sample[nearest.argmax()])
+        nearest = np.minimum(nearest, np.sqrt(((sample - chosen[-1]) ** 2).sum(axis=1)))
+    return np.array(chosen)
+
+
+def _minority_blocks(minority: DataFrame, center: np.ndarray, tile_rows: int, sizes: Sizes) -> tuple[DataFrame, Bounds]:
+    """Minority rows in blocks of ``tile_rows`` that lie near one pivot, and the greatest distances of at
+    most ``BOUNDS`` groups of blocks from the centre and the other pivots."""
+    few = max(1, min(PIVOT_SAMPLE, sizes.tile_bytes // (8 * len(center))))
+    sample = _matrix(minority.orderBy(F.xxhash64(ID), ID).limit(few).select(POINT).toArrow()[POINT])
+    pivots = spread_points(sample, center, PIVOTS)
+    shared = minority.sparkSession.sparkContext.broadcast(pivots)
+
+    @F.arrow_udf("struct<cell int, away array<double>>")
+    def place(values: pa.Array) -> pa.Array:
+        away = pivot_distances(_matrix(values), shared.value)
+        lists = pa.ListArray.from_arrays(np.arange(0, away.size + 1, away.shape[1], dtype=np.int32), away.ravel())
+        return pa.StructArray.from_arrays([pa.array(away.argmin(axis=1).astype(np.int32)), lists], ["cell", "away"])
+
+    found = minority.select(ID, POINT, place.asNondeterministic()(F.col(POINT)).alias("place"))
+    near = materialize(found.select(ID, POINT, "place.*").withColumn("reach", F.col("away")[0]), "reach")
+    order = [F.col("cell").asc(), F.col("reach").desc(), F.col(ID).asc()]
+    placed = running_total(near, [], order, F.lit(1).cast("long"), "position")
+    block = F.floor(F.col("position") / tile_rows).cast("int")
+    blocks = materialize(placed.select(ID, POINT, "reach", "away", block.alias("block")), "minority")
     count = blocks.agg(F.max("block")).first()[0] + 1
     step = math.ceil(count / BOUNDS)
-    thinned = blocks.filter(F.col("block") % step == 0).groupBy("block").agg(F.max("reach").alias("reach"))
-    return blocks, Bounds([row["reach"] for row in thinned.orderBy("block").collect()], step, count)
+    groups = blocks.groupBy(F.floor(F.col("block") / step).alias("group")).agg(*[F.max(F.col("away")[at]) for at in range(len(pivots))])
+    far = np.array([row[1:] for row in groups.orderBy("group").collect()], float)
+    return blocks.drop("away"), Bounds(pivots, far, step, count)
 
 
 def _tiled_scores(
@@ -278,28 +301,26 @@ def _tiled_scores(
     Copies of a point are scored once, so a point that fills a third of the rows costs
     no more than any other.
     """
+    shared = rows.sparkSession.sparkContext.broadcast((bounds.pivots, bounds.far))
+
+    @F.arrow_udf("struct<near int, groups array<int>>")
+    def visits(values: pa.Array, floors: pa.Array) -> pa.Array:
+        near, reached = reachable(_matrix(values), floors.to_numpy() * (1 - SLACK), *shared.value)
+        offsets = np.concatenate([[0], np.cumsum(reached.sum(axis=1))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.nonzero(reached)[1].astype(np.int32)))
+        return pa.StructArray.from_arrays([pa.array(near.astype(np.int32)), lists], ["near", "groups"])
+
     marked = rows.withColumn(COPY, F.unhex(F.sha2(F.col(POINT).cast("string"), 256)))
-    distinct = materialize(
-        marked.groupBy(COPY).agg(
-            F.any_value(POINT).alias(POINT),
-            F.min(FLOOR).alias(FLOOR),
-            F.max("__reach").alias("__reach"),
-            F.count(F.lit(1)).alias("count"),
-        ),
-        "points",
-    )
-    # No row of a block is farther than reach + block bound; later blocks only get closer.
-    needed = F.col(FLOOR) - F.col("__reach") - SLACK * (1 + F.col(FLOOR) + F.col("__reach"))
-    steps = F.size(F.filter(F.array(*[F.lit(bound) for bound in bounds.reach]), lambda bound: bound >= needed))
-    reachable = F.least(steps * bounds.step, F.lit(bounds.count))
-    # Rows that reach equally far share a chunk, so that a block meets few chunks.
-    placed = running_total(
-        distinct.withColumn("reachable", reachable), [], [F.col("reachable").asc(), F.col(COPY).asc()], F.lit(1).cast("long"), "at"
-    )
-    reachable = F.col("reachable")
+    copies = marked.groupBy(COPY).agg(F.any_value(POINT).alias(POINT), F.min(FLOOR).alias(FLOOR), F.count(F.lit(1)).alias("count"))
+    visiting = copies.withColumn("visits", visits.asNondeterministic()(F.col(POINT), F.col(FLOOR)))
+    distinct = materialize(visiting.select(COPY, POINT, FLOOR, "count", "visits.*"), "points")
+    # Rows near one pivot visit much the same blocks; they share a chunk, so that a block meets few chunks.
+    order = [F.col("near").asc(), F.size("groups").asc(), F.col(COPY).asc()]
+    placed = running_total(distinct, [], order, F.lit(1).cast("long"), "at")
+    of_group = lambda group: F.sequence(group * bounds.step, F.least((group + 1) * bounds.step, F.lit(bounds.count)) - 1)
     left = placed.select(
         F.floor(F.col("at") / sizes.tile(width)).cast("int").alias("row_chunk"),
-        F.explode(F.sequence(F.lit(0), reachable - 1)).alias("cell"),
+        F.explode(F.flatten(F.transform("groups", of_group))).alias("cell"),
         F.col(COPY).alias(ID),
         POINT,
         (F.col(FLOOR) * (1 - SLACK)).alias(FLOOR),

@@ -186,3 +186,27 @@ def test_scope_deletes_what_was_written(spark):
         path = df.inputFiles()[0].removeprefix("file://")
         assert os.path.exists(path) and df.count() == 5
     assert not os.path.exists(path)
+
+
+class Elsewhere:
+    """As much of a session on a cluster as the choice of the scratch folder asks for."""
+
+    def __init__(self, master, **conf):
+        self.sparkContext, self._conf = self, conf
+        self.master, self.conf = master, self
+
+    def get(self, name, default=None):
+        return self._conf.get(name.replace(".", "_"), default)
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_scratch_is_never_local_on_a_cluster():
+    local = {"spark_sql_warehouse_dir": "file:/home/x/spark-warehouse"}
+    assert scratch.scratch_root(Elsewhere("local[8]", **local)) == "file:/home/x/spark-warehouse"
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            scratch.scratch_root(Elsewhere(master, **local))
+        assert scratch.scratch_root(Elsewhere(master, spark_checkpoint_dir="s3a://b/c/", **local)) == "s3a://b/c"
+        assert scratch.scratch_root(Elsewhere(master, spark_sql_warehouse_dir="hdfs://n/w")) == "hdfs://n/w"

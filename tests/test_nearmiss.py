@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from retentia.functions import keytable
+from retentia.operators import nearmiss
 from retentia.operators.nearmiss import HASH_TABLES, Sizes, farthest, undersample_nearmiss_v2
 
 TINY = Sizes(broadcast_bytes=0, pivots=4, tile_rows=8, one_task_rows=4)
@@ -108,3 +109,40 @@ def test_kernels_travel_without_the_package(tmp_path):
     (tmp_path / "kernel").write_bytes(cloudpickle.dumps(farthest))
     done = subprocess.run([sys.executable, "-c", code, "kernel"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": ""})
     assert done.stdout.strip() == "(1, 2)", done.stderr
+
+
+def clusters(spark, width, seed=3):
+    """A minority of eight far clusters, and a majority around one of them."""
+    draw = np.random.default_rng(seed)
+    middles = draw.normal(size=(8, width)) * 40
+    rows = [(n, (middles[0] + draw.normal(size=width)).tolist(), 0) for n in range(400)]
+    rows += [(1000 + n, (middles[n % 8] + draw.normal(size=width)).tolist(), 1) for n in range(320)]
+    return rows, spark.createDataFrame(rows, "k long, f array<double>, y int").repartition(4)
+
+
+def test_pivots_rule_out_most_tiles(spark, monkeypatch):
+    rows, df = clusters(spark, 16)
+    bounds, made = [], nearmiss._minority_blocks
+    monkeypatch.setattr(nearmiss, "_minority_blocks", lambda *args: (bounds.append(made(*args)), bounds[-1])[1])
+    sizes = Sizes(broadcast_bytes=0, pivots=32, tile_rows=20, one_task_rows=8)
+    kept = undersample_nearmiss_v2(df, "f", "y", 3, key="k", sizes=sizes)
+    assert {row.k for row in kept.collect()} == brute(rows, 3, 1)
+    held = bounds[0][1]
+    points = np.array([f for _, f, y in rows if y == 0])
+    others = np.array([f for _, f, y in rows if y == 1])
+    distances = np.sqrt(((points[:, None, :] - others[None, :, :]) ** 2).sum(axis=2))
+    floors = np.sort(distances, axis=1)[:, -3]
+    _, reached = nearmiss.reachable(points, floors, held.pivots, held.far)
+    _, by_centre = nearmiss.reachable(points, floors, held.pivots[:1], held.far[:, :1])
+    assert held.count == 16 and reached.mean() < min(0.5, by_centre.mean())
+    # No tile that holds one of the k farthest is ruled out, even at the exact floor.
+    by_block = {row[0]: row[1] for row in bounds[0][0].groupBy("block").agg(F.collect_list("__point")).collect()}
+    for block, members in by_block.items():
+        gap = np.sqrt(((points[:, None, :] - np.array(members)[None, :, :]) ** 2).sum(axis=2)).max(axis=1)
+        assert reached[:, block // held.step][gap >= floors].all()
+
+
+def test_spread_points():
+    sample = np.array([[0.0, 0.0], [0.0, 0.0], [10.0, 0.0], [0.0, 7.0]])
+    assert nearmiss.spread_points(sample, np.array([0.0, 0.0]), 9).tolist() == [[0, 0], [10, 0], [0, 7]]
+    assert len(nearmiss.spread_points(sample, np.array([1.0, 1.0]), 2)) == 2

@@ -10,7 +10,7 @@ from pyspark.ml.feature import OneHotEncoder, VectorAssembler, VectorIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from retentia.functions import ordering, scratch
+from retentia.functions import keytable, ordering, scratch
 from retentia.functions.ordering import discrete_rank, exact_quantiles
 from retentia.operators import correlate, encode, missing, models, profile
 
@@ -226,3 +226,33 @@ def test_boosting_stops_early(spark):
         models.search_grid(df, "y", "f", None, "GBTClassifier", grid={"maxIter": [2]}, validation_share=0.3)
     with pytest.raises(ValueError):
         models.search_grid(df, "y", "f", None, "RandomForestClassifier", grid={"maxDepth": [2]}, metric="area")
+
+
+def largest_share(df):
+    """The share of the rows that the fullest partition of a shuffled result has."""
+    counts = [r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    return max(counts) / sum(counts)
+
+
+@pytest.mark.parametrize("wide", [True, False], ids=["wide entry", "just under the hot share"])
+def test_heavy_keys_are_dealt_over_copies(spark, monkeypatch, wide):
+    """A third of the rows with one key that is not broadcast: eight partitions share them."""
+    monkeypatch.setattr(keytable, "BROADCAST_ROWS", 4)
+    if not wide:
+        monkeypatch.setattr(keytable, "HOT_KEYS", 2)
+    value = F.concat(F.lit("v"), F.col("k").cast("string"), F.lit("x" * (2_000 if wide else 1)))
+    rows = spark.range(6_000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 500).alias("k"))
+    rows = rows.unionByName(spark.range(6_000, 6_010).select("id", F.lit(None).cast("long").alias("k")))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = keytable.KeyTable(rows.groupBy("k").agg(F.count(F.lit(1)).alias("count")).filter("k is null or k % 7 <> 0").withColumn("value", value), "k")
+        found = table.attach(rows, F.col("k"), ["value"])
+        assert largest_share(found) < 0.3
+        got = {r["id"]: r["value"] for r in found.select("id", F.substring("value", 1, 4).alias("value")).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {at: -1 if at % 3 == 0 else at % 500 for at in range(6_000)}
+    assert got == {at: f"v{k}{'x' * 4}"[:4] if k % 7 else None for at, k in want.items()} | {at: None for at in range(6_000, 6_010)}
