@@ -124,14 +124,6 @@ def gbt_scores(spark, folder):
     return models.score(found.model, test, label, ["doc_id"])
 
 
-@query("gbt_early_stop", f"SELECT doc_id, english, english::DOUBLE AS prediction, true AS stopped_early FROM ({_TEST} 0.8)")
-def gbt_early_stop(spark, folder):
-    """Boosted trees that stop growing in number once their validation rows gain no more, long before the usual 20."""
-    found, test, label = _searched(spark, folder, "GBTClassifier", grid={"maxDepth": [5]}, folds=2, validation_share=VALIDATION_SHARE)
-    scored = models.score(found.model, test, label, ["doc_id"])
-    return scored.withColumn("stopped_early", F.lit(found.model.getNumTrees) < 20)
-
-
 _RANKED = f"c AS (SELECT english, row_number() OVER (ORDER BY count(*) DESC, english) - 1 AS place FROM t GROUP BY english)"
 
 

@@ -255,4 +255,4 @@ def test_heavy_keys_are_dealt_over_copies(spark, monkeypatch, wide):
         spark.conf.set("spark.sql.adaptive.enabled", before)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     want = {at: -1 if at % 3 == 0 else at % 500 for at in range(6_000)}
-    assert got == {at: f"v{k}{'x' * 4}"[:4] if k % 7 else None for at, k in want.items()} | {at: None for at in range(6_000, 6_010)}
+    assert got == {at: f"v{k}{'x' * (2_000 if wide else 1)}"[:4] if k % 7 else None for at, k in want.items()} | {at: None for at in range(6_000, 6_010)}
