@@ -378,6 +378,66 @@ def test_near_copies_are_dropped(spark):
     assert not copies & kept and others <= kept and set(range(0, 80, 2)) <= kept
 
 
+@pytest.mark.parametrize("n", [10, 2048, 2049, 5000, 20000])
+def test_parities_bound_the_difference(n):
+    generator = np.random.default_rng(n)
+    hashes = np.unique(generator.integers(0, 1 << 63, 3 * n, dtype=np.int64).astype(np.uint64))
+    least = 0.8
+    for shared in (0, n // 2, n - n // 20):
+        a, b = hashes[:n], np.sort(np.r_[hashes[:shared], hashes[n : 2 * n - shared]])
+        odd = [near_copies.parities(x) for x in (a, b)]
+        bits = [near_copies.folded(x)[None] for x in odd]
+        near = near_copies.within_bounds(np.array([len(a)]), np.array([len(b)]), *bits, lambda at: odd, least)  # noqa: B023
+        alike = shared / (len(a) + len(b) - shared) >= least
+        assert near[0] or not alike
+        # Sets without anything in common are told apart at every size.
+        assert not near[0] or shared
+    # Of different sizes, the larger folds to the smaller; the parities of a difference stay within it.
+    a, b = near_copies.parities(hashes[: n + n // 8]), near_copies.parities(hashes[:n])
+    size = min(len(a), len(b))
+    assert np.bitwise_count(near_copies.folded(a, size) ^ near_copies.folded(b, size)).sum() <= n // 8
+
+
+def test_key_filter_lets_all_wanted_pass(spark):
+    rows = spark.range(5000).select(F.struct("id", F.col("id").cast("string").alias("name")).alias("key"))
+    wanted = rows.filter("key.id % 50 = 0")
+    kept = {r["key"]["id"] for r in near_copies.filtered(rows, F.col("key"), wanted).collect()}
+    assert set(range(0, 5000, 50)) <= kept and len(kept) < 200
+    assert near_copies.filtered(rows, F.col("key"), wanted.limit(0)).count() == 0
+
+
+def test_long_texts_are_compared_whole(spark):
+    # Long texts that share a passage, and near copies of some: only these are linked.
+    generator = random.Random(14)
+    passage = [f"p{at}" for at in range(60)]
+    rows = []
+    for n in range(0, 12, 2):
+        words = [f"w{generator.randrange(10**7)}" for _ in range(6000)] + passage
+        other = list(words)
+        for at in range(0, 6000, 100 if n % 4 == 0 else 20):
+            other[at] = "changed"
+        rows += [(n, " ".join(words)), (n + 1, " ".join(other))]
+    found = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    alike = {n: jaccard(rows[n][1], rows[n + 1][1]) >= 0.8 for n in range(0, 12, 2)}
+    assert set(alike.values()) == {True, False}
+    assert found == {n: n - 1 if n % 2 and alike[n - 1] else n for n in range(12)}
+
+
+@pytest.mark.parametrize("tile", [near_copies.TILE_SETS, 20])
+def test_long_runs_are_cut_into_tiles(spark, monkeypatch, tile):
+    monkeypatch.setattr(near_copies, "TILE_SETS", tile)
+    generator = np.random.default_rng(15)
+    base = generator.integers(0, 1 << 62, 100)
+    sets = [np.unique(np.r_[base[generator.permutation(100)[: 88 + n % 12]], generator.integers(0, 1 << 62, n % 9)]).astype(np.uint64) for n in range(50)]
+    points = spark.createDataFrame([(n, len(x), near_copies.parities(x)) for n, x in enumerate(sets)], "set long, n long, parities binary")
+    runs = [(7, n, n % 3) for n in range(50)] + [(8, n, 1) for n in range(20)] + [(9, n, n % 3) for n in range(0, 50, 4)]
+    found = near_copies._across(spark.createDataFrame(runs, "shingle long, set long, label long"), points, 0.8).collect()
+    alike = {(a, b) for a in range(50) for b in range(a + 1, 50) if a % 3 != b % 3 and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
+    pairs = [(r["a"], r["b"]) for r in found]
+    assert alike and alike <= set(pairs) and len(pairs) == len(set(pairs))
+    assert all(a < b and a % 3 != b % 3 for a, b in pairs)
+
+
 def test_near_copies_over_long_runs(spark):
     # Copies with one word changed each, linked only by the text that all of them come from.
     generator = random.Random(13)
