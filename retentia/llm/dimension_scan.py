@@ -159,7 +159,7 @@ def nearest(
 
     measured = valid.select(VECTOR).mapInArrow(lengths, "longest double, n long").agg(F.max("longest"), F.sum("n")).first()
     longest, n = measured[0] or 0.0, measured[1] or 0
-    sample = lift(sample_vectors(valid, kind), longest) if n else np.zeros((1, width + 1))
+    sample = lift(sample_vectors(valid, kind, width), longest) if n else np.zeros((1, width + 1))
     centres = spherical_kmeans(sample, lists or math.ceil(math.sqrt(n) / 16)) * longest if n else sample
     probes = math.ceil(probe_share * len(centres))
     turn = rotation(width + 1)

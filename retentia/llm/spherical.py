@@ -31,12 +31,19 @@ CELL_POINTS = 1 << 12
 BLOCK_POINTS = 1 << 12
 STEP = 1 << 10
 SLACK = 1e-9
+GAP_SLACK = 1e-6
+
+
+def centre_gaps(centres: np.ndarray) -> np.ndarray:
+    """Distances between all centres, by their products; at least the true ones, as a visit too many does no harm."""
+    squares = (centres**2).sum(axis=1)
+    return np.sqrt(np.maximum(0.0, squares[:, None] + squares - 2 * (centres @ centres.T))) + GAP_SLACK
 
 
 def _place(points: DataFrame, centres: np.ndarray, threshold: float, kind: str) -> DataFrame:
     """Points in the cells where they are at home or visit."""
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
-    gaps = np.linalg.norm(centres[:, None] - centres[None], axis=2) if len(centres) <= 1 << 11 else None
+    gaps = centre_gaps(centres) if len(centres) <= 1 << 11 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +132,7 @@ def near_duplicates(
     )
     points = materialize(merged.withColumn("point", F.monotonically_increasing_id()), "points")
     n = points.count()
-    centres = spherical_kmeans(sample_vectors(points, kind), math.ceil(n / cell_points)) if n else np.zeros((1, max(1, width)))
+    centres = spherical_kmeans(sample_vectors(points, kind, width), math.ceil(n / cell_points)) if n else np.zeros((1, max(1, width)))
     placed = materialize(_place(points, centres, threshold, kind), "placed")
     found = materialize(tile_links(_tiles(placed, block), threshold, kind), "tile-links")
     counts = found.groupBy("point").agg(F.sum("links").alias("links"))

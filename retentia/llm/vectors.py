@@ -16,6 +16,7 @@ from retentia.functions.columns import column
 from retentia.functions.scratch import materialize
 
 SAMPLE = 1 << 15
+SAMPLE_BYTES = 64 << 20
 PER_CELL = 16
 ROUNDS = 8
 
@@ -80,8 +81,9 @@ def byte_type(df: DataFrame, vector: str) -> str:
     return "<f4" if isinstance(df.schema[vector].dataType.elementType, T.FloatType) else "<f8"
 
 
-def sample_vectors(points: DataFrame, kind: str, most: int = SAMPLE) -> np.ndarray:
-    """At most ``most`` vectors, chosen by a hash of their digest, for fitting cells."""
+def sample_vectors(points: DataFrame, kind: str, width: int, most: int = SAMPLE) -> np.ndarray:
+    """At most ``most`` vectors, and ``SAMPLE_BYTES`` of doubles, chosen by a hash of their digest, for fitting cells."""
+    most = max(PER_CELL, min(most, SAMPLE_BYTES // (8 * max(1, width))))
     rows = points.select(DIGEST, VECTOR).orderBy(F.xxhash64(DIGEST), DIGEST).limit(most).collect()
     return np.frombuffer(b"".join(row[VECTOR] for row in rows), kind).reshape(len(rows), -1).astype(float) if rows else np.zeros((0, 1))
 

@@ -7,6 +7,7 @@ import io
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from retentia.functions.scratch import scratch_path
-from retentia.llm import arc, dimension_scan, hilbert, mixing, near_copies, spherical
-from retentia.llm.vectors import spherical_kmeans
+from retentia.llm import arc, dimension_scan, hilbert, mixing, near_copies, spherical, vectors
+from retentia.llm.vectors import sample_vectors, spherical_kmeans
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -138,6 +139,26 @@ def test_no_vectors(spark, rows):
     assert dimension_scan.nearest(frame, "vec_id", "embedding", F.lit(True)).count() == 0
 
 
+def test_gaps_of_many_wide_centres_take_little_memory():
+    centres = np.random.default_rng(5).standard_normal((2048, 768))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    centres[1] = centres[0]
+    tracemalloc.start()
+    gaps = spherical.centre_gaps(centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+    true = np.linalg.norm(centres[:50, None] - centres[None, :50], axis=2)
+    assert ((gaps[:50, :50] >= true) & (gaps[:50, :50] <= true + 1e-5)).all()
+
+
+def test_samples_are_bounded_by_bytes(spark, monkeypatch):
+    rows = spark.range(200).select(F.md5(F.col("id").cast("string")).alias("digest"), F.lit(np.ones(8).tobytes()).alias("vector"))
+    assert sample_vectors(rows, "<f8", 8).shape == (200, 8)
+    monkeypatch.setattr(vectors, "SAMPLE_BYTES", 8 * 8 * 50)
+    assert sample_vectors(rows, "<f8", 8).shape == (50, 8)
+
+
 def test_kmeans_has_no_empty_cells():
     sample = np.random.default_rng(0).standard_normal((400, 5))
     centres = spherical_kmeans(np.vstack([sample, np.ones((400, 5))]), 20)
