@@ -399,6 +399,27 @@ def test_near_copies_are_dropped(spark):
     assert not copies & kept and others <= kept and set(range(0, 80, 2)) <= kept
 
 
+def test_simhash_proposes_copies(spark, monkeypatch):
+    generator = random.Random(16)
+    words = [f"w{generator.randrange(10**6)}" for _ in range(400)]
+    # One word changed is within the reach of SimHash; one in ten is alike for no method, and the whole texts refuse a group of both.
+    texts = [" ".join(words), changed(words, {200}), changed(words, set(range(5, 400, 10)))]
+    rows = [(n, text, "xx", "s", 1) for n, text in enumerate([*texts, texts[1], None, " "])]
+    asked, operator = [], corpus_pipeline.simhash.near_duplicates
+    monkeypatch.setattr(corpus_pipeline.simhash, "near_duplicates", lambda *args: (asked.append(operator(*args)), asked[-1])[1])
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS), SMALL)
+    assert {r["doc_id"] for r in kept.collect()} == {0, 2, 4}
+    groups = {r["key"]["doc_id"]: r["component_id"]["doc_id"] for r in asked[0].collect()}
+    assert groups[1] == groups[3] == 0 and groups[5] == 4
+    # Pairs that only the proposal has are decided, not believed.
+    monkeypatch.setattr(near_copies, "_runs", lambda sets, least: spark.createDataFrame([], "shingle long, a long, b long"))
+    given = spark.createDataFrame([(n, text) for n, text in enumerate(texts)], "id long, text string")
+    all_one = given.select("id", F.lit(0).cast("long").alias("component_id"))
+    found = {r["id"]: r["component_id"] for r in near_copies.near_copies(given, "id", "text", 5, 0.8, all_one).collect()}
+    links = {tuple(sorted((r["a"], r["b"]))) for r in near_copies.proposed_pairs(near_copies.shingle_sets(given, "id", "text", 5, 0.8), all_one, "id").collect()}
+    assert len(links) == 2 and found[2] == 2 and found[0] == 0
+
+
 @pytest.mark.parametrize("n", [10, 2048, 2049, 5000, 20000])
 def test_parities_bound_the_difference(n):
     generator = np.random.default_rng(n)
