@@ -9,10 +9,12 @@ is found without forming pairs as rows:
   lower bound on its score in one pass. The rows with the lowest bounds are scored
   exactly, the worst of those scores limits the rest, and only rows whose bound is
   within the limit are scored as well.
-* Exact scoring multiplies tiles of at most ``tile_rows`` rows of each side. Minority
-  rows are put into tiles by the nearest of a few pivots, and a row visits only the tiles that can
-  hold one of its k farthest: by the triangle over each pivot, no row of a tile is farther than the
-  least of the sums of both distances from a pivot. A tile returns at most k distances per row.
+* Exact scoring compares rows with blocks of at most ``tile_rows`` minority rows. Minority
+  rows are put into blocks by the nearest of a few pivots, and a row visits only the blocks that can
+  hold one of its k farthest: by the triangle over each pivot, no row of a block is farther than the
+  least of the sums of both distances from a pivot. Rows and blocks travel in tiles, stretches of at most ``tile_bytes``
+  of each side, so that a point is copied once per stretch of the other side however small the blocks are.
+  A tile returns at most k distances per row.
 
 Distances inside a tile are one matrix product; the k kept are recomputed by
 differences.
@@ -51,6 +53,11 @@ BOUNDS = 1_024
 PIVOTS = 32
 PIVOT_SAMPLE = 2_048
 MERGE_SLICES = 64
+# Stretches of rows and of blocks that even a small job is cut into.
+ROW_STRETCHES, BLOCK_STRETCHES = 16, 8
+SLICE = 1_024
+KERNEL_VALUES = 1 << 20
+FEW_TILES = 50_000
 
 
 @dataclass(frozen=True)
@@ -77,6 +84,9 @@ class Sizes:
     def tile(self, width: int) -> int:
         return max(1, min(self.tile_rows, self.tile_bytes // (8 * width)))
 
+    def stretch(self, width: int) -> int:
+        return max(1, self.tile_bytes // (8 * width))
+
 
 def undersample_nearmiss_v2(
     df: DataFrame,
@@ -212,7 +222,7 @@ def farthest(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, n
     distances = np.empty((len(left), k))
     positions = np.empty((len(left), k), dtype=np.int64)
     right_squares = (right * right).sum(axis=1)
-    step = max(1, (1 << 22) // len(right))
+    step = max(1, KERNEL_VALUES // len(right))
     for start in range(0, len(left), step):
         part = left[start : start + step]
         closeness = 2 * part @ right.T - right_squares
@@ -301,43 +311,65 @@ def _tiled_scores(
     Copies of a point are scored once, so a point that fills a third of the rows costs
     no more than any other.
     """
+    tile, most = sizes.tile(width), sizes.stretch(width)
+    together = max(1, min(most // tile, math.ceil(bounds.count / BLOCK_STRETCHES)))
+    stretches = math.ceil(bounds.count / together)
+    ends = [(group * bounds.step // together, (min((group + 1) * bounds.step, bounds.count) - 1) // together) for group in range(len(bounds.far))]
     shared = rows.sparkSession.sparkContext.broadcast((bounds.pivots, bounds.far))
 
-    @F.arrow_udf("struct<near int, groups array<int>>")
+    @F.arrow_udf("struct<near int, cells array<int>>")
     def visits(values: pa.Array, floors: pa.Array) -> pa.Array:
-        near, reached = reachable(_matrix(values), floors.to_numpy() * (1 - SLACK), *shared.value)
+        points, least = _matrix(values), floors.to_numpy() * (1 - SLACK)
+        near, reached = np.empty(len(points), np.int32), np.zeros((len(points), stretches), bool)
+        for at in range(0, len(points), SLICE):
+            some = slice(at, at + SLICE)
+            near[some], groups = reachable(points[some], least[some], *shared.value)
+            for group, (first, last) in enumerate(ends):
+                reached[some, first : last + 1] |= groups[:, group : group + 1]
         offsets = np.concatenate([[0], np.cumsum(reached.sum(axis=1))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(offsets, pa.array(np.nonzero(reached)[1].astype(np.int32)))
-        return pa.StructArray.from_arrays([pa.array(near.astype(np.int32)), lists], ["near", "groups"])
+        return pa.StructArray.from_arrays([pa.array(near), lists], ["near", "cells"])
 
     marked = rows.withColumn(COPY, F.unhex(F.sha2(F.col(POINT).cast("string"), 256)))
     copies = marked.groupBy(COPY).agg(F.any_value(POINT).alias(POINT), F.min(FLOOR).alias(FLOOR), F.count(F.lit(1)).alias("count"))
     visiting = copies.withColumn("visits", visits.asNondeterministic()(F.col(POINT), F.col(FLOOR)))
     distinct = materialize(visiting.select(COPY, POINT, FLOOR, "count", "visits.*"), "points")
-    # Rows near one pivot visit much the same blocks; they share a chunk, so that a block meets few chunks.
-    order = [F.col("near").asc(), F.size("groups").asc(), F.col(COPY).asc()]
+    # Rows near one pivot visit much the same blocks; they share a stretch, so that a block meets few stretches.
+    order = [F.col("near").asc(), F.size("cells").asc(), F.col(COPY).asc()]
     placed = running_total(distinct, [], order, F.lit(1).cast("long"), "at")
-    of_group = lambda group: F.sequence(group * bounds.step, F.least((group + 1) * bounds.step, F.lit(bounds.count)) - 1)
+    per_stretch = max(1, min(most, math.ceil(distinct.count() / ROW_STRETCHES)))
     left = placed.select(
-        F.floor(F.col("at") / sizes.tile(width)).cast("int").alias("row_chunk"),
-        F.explode(F.flatten(F.transform("groups", of_group))).alias("cell"),
+        F.floor(F.col("at") / per_stretch).cast("int").alias("row_chunk"),
+        F.explode("cells").alias("cell"),
         F.col(COPY).alias(ID),
         POINT,
         (F.col(FLOOR) * (1 - SLACK)).alias(FLOOR),
     )
-    right = blocks.select(F.col("block").alias("cell"), F.col(ID).alias("__other"), POINT)
-    scored = _scores(_tiles(left, right, F.lit(1), k), k).withColumnRenamed(ID, COPY)
+    right = blocks.select(F.floor(F.col("block") / together).cast("int").alias("cell"), "block", F.col(ID).alias("__other"), POINT)
+
+    def reached_rows(points: np.ndarray, floors: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """Which rows of a stretch of blocks the points may have among their farthest."""
+        pivots, far = shared.value
+        groups, place = np.unique(block // bounds.step, return_inverse=True)
+        return reachable(points, floors, pivots, far[groups])[1].any(axis=0)[place]
+
+    scored = _scores(_tiles(left, right, F.lit(1), k, reached_rows), k).withColumnRenamed(ID, COPY)
     table = KeyTable(scored.join(distinct.select(COPY, "count"), COPY), COPY)
     return table.attach(marked.select(ID, COPY), F.col(COPY), [SCORE]).select(ID, SCORE)
 
 
-def _tiles(left: DataFrame, right: DataFrame, right_chunks: Column, k: int) -> DataFrame:
+def _tiles(left: DataFrame, right: DataFrame, right_chunks: Column, k: int, reached_rows=None) -> DataFrame:
     """Per left row and tile, its k farthest right rows of the same cell, as ``(id, far)``.
 
     A cell is cut into the left rows' ``row_chunk`` by ``right_chunks`` tiles, so a cell of any size
-    becomes tasks of bounded size. Right rows go only to chunks that have rows in their cell.
+    becomes tasks of bounded size. Right rows go only to chunks that have rows in their cell. ``reached_rows`` tells from
+    points, floors and the right rows' ``block`` which of these may matter; without it all do.
     """
     reached = left.select(F.col("cell").alias("reached_cell"), F.col("row_chunk").alias("reached_chunk")).distinct()
+    if reached_rows is not None:
+        # Cells are few and large here: their rows must not be shuffled by cell.
+        reached = materialize(reached, "reached")
+        reached = F.broadcast(reached) if reached.count() <= FEW_TILES else reached
     left_side = left.select(
         "cell",
         "row_chunk",
@@ -352,6 +384,7 @@ def _tiles(left: DataFrame, right: DataFrame, right_chunks: Column, k: int) -> D
         F.pmod(F.xxhash64("__other"), right_chunks).cast("int").alias("col_chunk"),
         "__other",
         F.col(POINT).alias("__other_point"),
+        *([] if reached_rows is None else ["block"]),
     )
     tile = ["cell", "row_chunk", "col_chunk"]
     id_type = left.schema[ID].dataType.simpleString()
@@ -361,10 +394,24 @@ def _tiles(left: DataFrame, right: DataFrame, right_chunks: Column, k: int) -> D
         ids, other_ids = rows[ID].combine_chunks(), others["__other"].combine_chunks()
         if len(ids) and len(other_ids):
             points, other_points = _matrix(rows[POINT]), _matrix(others["__other_point"])
-            middle = other_points.mean(axis=0)
-            distances, positions = farthest(points - middle, other_points - middle, k)
-            distances = _exact_distances(points, other_points, positions)
-            kept = distances >= rows[FLOOR].to_numpy()[:, None]
+            floors, middle = rows[FLOOR].to_numpy(), other_points.mean(axis=0)
+            centred = other_points - middle
+            distances, positions = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), dtype=np.int64)
+            block = None if reached_rows is None else others["block"].to_numpy()
+            for at in range(0, len(ids), SLICE):
+                some = slice(at, at + SLICE)
+                part, held = points[some], None
+                if block is not None:
+                    held = np.flatnonzero(reached_rows(part, floors[some], block))
+                    held = None if len(held) == len(block) else held
+                against = centred if held is None else centred[held]
+                if not len(against):
+                    continue
+                found = farthest(part - middle, against, k)[1]
+                found = found if held is None else held[found]
+                positions[some, : found.shape[1]] = found
+                distances[some, : found.shape[1]] = _exact_distances(part, other_points, found)
+            kept = distances >= floors[:, None]
         else:
             distances, positions = np.empty((len(ids), 0)), np.empty((len(ids), 0), dtype=np.int64)
             kept = np.zeros((len(ids), 0), dtype=bool)
@@ -390,7 +437,7 @@ def _tiles(left: DataFrame, right: DataFrame, right_chunks: Column, k: int) -> D
 def _exact_distances(points: np.ndarray, others: np.ndarray, positions: np.ndarray) -> np.ndarray:
     """Distances to chosen rows from the given coordinates, in slices of bounded memory."""
     distances = np.empty(positions.shape)
-    step = max(1, (1 << 22) // max(1, positions.shape[1] * points.shape[1]))
+    step = max(1, KERNEL_VALUES // max(1, positions.shape[1] * points.shape[1]))
     for start in range(0, len(points), step):
         gap = others[positions[start : start + step]] - points[start : start + step, None, :]
         distances[start : start + step] = np.sqrt((gap * gap).sum(axis=2))

@@ -146,3 +146,17 @@ def test_spread_points():
     sample = np.array([[0.0, 0.0], [0.0, 0.0], [10.0, 0.0], [0.0, 7.0]])
     assert nearmiss.spread_points(sample, np.array([0.0, 0.0]), 9).tolist() == [[0, 0], [10, 0], [0, 7]]
     assert len(nearmiss.spread_points(sample, np.array([1.0, 1.0]), 2)) == 2
+
+
+def test_small_blocks_travel_in_few_tiles(spark, monkeypatch):
+    rows, df = clusters(spark, 16)
+    made, tiles = [], nearmiss._tiles
+    monkeypatch.setattr(nearmiss, "_tiles", lambda left, right, *args: (made.append((left, right)), tiles(left, right, *args))[1])
+    # Blocks of 4 rows; a stretch holds 24.
+    sizes = Sizes(broadcast_bytes=0, pivots=32, tile_rows=4, tile_bytes=24 * 8 * 16, one_task_rows=8)
+    kept = undersample_nearmiss_v2(df, "f", "y", 3, key="k", sizes=sizes)
+    assert {row.k for row in kept.collect()} == brute(rows, 3, 1)
+    left, right = made[0]
+    # A row is copied once per stretch at most, not once per each of the 80 blocks.
+    assert right.agg(F.countDistinct("block"), F.countDistinct("cell")).first()[:] == (80, 14)
+    assert max(row["count"] for row in left.groupBy("__id").count().collect()) <= 14
