@@ -1,6 +1,7 @@
 import random
 import subprocess
 import sys
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -160,3 +161,15 @@ def test_small_blocks_travel_in_few_tiles(spark, monkeypatch):
     # A row is copied once per stretch at most, not once per each of the 80 blocks.
     assert right.agg(F.countDistinct("block"), F.countDistinct("cell")).first()[:] == (80, 14)
     assert max(row["count"] for row in left.groupBy("__id").count().collect()) <= 14
+
+
+def test_kernel_holds_few_products_at_a_time():
+    draw = np.random.default_rng(4)
+    left, right = draw.normal(size=(600, 8)), draw.normal(size=(16_384, 8))
+    tracemalloc.start()
+    try:
+        farthest(left, right, 3)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 << 20
