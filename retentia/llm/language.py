@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from retentia.functions.columns import column
 from retentia.functions.scratch import materialize
-from retentia.llm.pretokens import bound_batches, no_collector, stretches
+from retentia.llm.pretokens import bound_batches, forget, no_collector, stretches
 
 LEAST_SHARE = 1e-5
 LEAST_RATIO = 0.1
@@ -188,6 +188,7 @@ def word_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
         return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         by_language: dict[str, Counter] = {}
         for batch in batches:
             with no_collector():
@@ -249,6 +250,7 @@ def predict(df: DataFrame, text: str, filters: LanguageFilters, columns: Sequenc
     shared = df.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         model = shared.value
         false = model.false_rates()
         for batch in batches:

@@ -211,7 +211,33 @@ def no_collector() -> Iterator[None]:
             gc.enable()
 
 
-@lru_cache(maxsize=4)
+_KEPT: list = []
+
+
+def kept(size: int) -> Callable[[Callable], Callable]:
+    """``lru_cache`` for what a process holds of tokenizer files, until ``forget``."""
+
+    def wrap(function: Callable) -> Callable:
+        _KEPT.append(lru_cache(maxsize=size)(function))
+        return _KEPT[-1]
+
+    return wrap
+
+
+def forget() -> None:
+    """Gives back what earlier tasks left in this process: tokenizer files, memos of pre-tokens, free memory of Arrow.
+
+    Worker processes serve one stage after another; one that needs no tokenizer would hold the last one's beside its own data.
+    """
+    if any(cached.cache_info().currsize for cached in _KEPT):
+        for cached in _KEPT:
+            cached.cache_clear()
+        Memo._holder = None
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
+@kept(4)
 def tokenizer_file(path: str) -> TokenizerFile:
     """The file, read once per process."""
     return TokenizerFile(path)

@@ -21,7 +21,7 @@ from retentia.functions.columns import column
 from retentia.functions.scratch import materialize
 from retentia.llm.files import new_name, open_to_read, open_to_write, spread
 from retentia.llm.piece_table import TextEncoder
-from retentia.llm.pretokens import TokenizerFile, bound_batches, stretches, tokenizer_file
+from retentia.llm.pretokens import TokenizerFile, bound_batches, kept, stretches, tokenizer_file
 
 # Fixed values of the record format: CRC-32C's reflected polynomial and the mask's rotation and addend.
 POLYNOMIAL = 0x82F63B78
@@ -114,7 +114,7 @@ def id_type(file: TokenizerFile) -> np.dtype:
     return np.dtype("<u2" if len(file.tokens) <= 1 << 16 else "<u4")
 
 
-@lru_cache(maxsize=4)
+@kept(4)
 def _encoder(path: str) -> TextEncoder:
     file = tokenizer_file(path)
     return TextEncoder(file, file.encode, id_type(file))

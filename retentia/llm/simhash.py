@@ -27,7 +27,7 @@ from retentia.functions.columns import column
 from retentia.functions.keytable import KeyTable
 from retentia.functions.scratch import materialize
 from retentia.llm.components import Links, components
-from retentia.llm.pretokens import bound_batches
+from retentia.llm.pretokens import bound_batches, forget
 
 SEED = 42
 SAMPLE = 1 << 14
@@ -64,6 +64,7 @@ def fingerprints(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """The key under its name and ``fingerprint`` of each row, one per input row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             keys, texts = batch.columns
             values = [fingerprint(value.as_py(), words) for value in texts]

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import codecs
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from retentia.functions.columns import column
 from retentia.llm.piece_table import TextEncoder
-from retentia.llm.pretokens import TokenizerFile, bound_batches, stretches, tokenizer_file
+from retentia.llm.pretokens import TokenizerFile, bound_batches, kept, stretches, tokenizer_file
 
 ID_TYPE = np.dtype("<u4")
 BATCH_BYTES = 4 << 20
@@ -171,7 +170,7 @@ class Codec:
         return "".join([*parts, state.close()])
 
 
-@lru_cache(maxsize=4)
+@kept(4)
 def _codec(path: str) -> Codec:
     return Codec(path)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from retentia.functions.scratch import scratch_path
-from retentia.llm import language, piece_table, records, simhash, token_counts, transducer
+from retentia.llm import language, near_copies, piece_table, pretokens, records, simhash, token_counts, transducer
 from retentia.llm.components import Links, components
 from retentia.llm.pretokens import TokenizerFile, tokenizer_file
 
@@ -343,3 +343,21 @@ def test_counts_are_those_of_the_words(monkeypatch):
     for size in (1, 2, 7, 40):
         monkeypatch.setattr(language, "PIECE_CHARS", size)
         assert filters.counts(texts).tolist() == want
+
+
+def test_stages_without_tokenizer_drop_it(spark, monkeypatch):
+    frame = spark.createDataFrame([(1, "a word or two", "xx")], "id long, text string, lang string")
+    monkeypatch.setattr(near_copies, "shingle_counts", lambda texts, words: np.zeros(near_copies.COUNTERS, np.uint16))
+    filters, tasks, take = language.fit(frame, "text", "lang"), [], type(frame).mapInArrow
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, *args: (tasks.append(run), take(self, run, *args))[1])
+    simhash.fingerprints(frame, "id", "text", 5)
+    near_copies.shingle_sets(frame, "id", "text", 5, 0.8)
+    language.predict(frame, "text", filters, ["id"])
+    assert len(tasks) == 3
+    for run in tasks:
+        codec = transducer._codec(PATH)
+        codec.encode(["東京都 naïve " * 50])
+        assert codec.encode._memo is pretokens.Memo._holder and records.token_bytes(["x"], PATH)
+        list(run(iter([])))
+        assert pretokens.Memo._holder is None
+        assert not any(cached.cache_info().currsize for cached in (tokenizer_file, transducer._codec, records._encoder))
