@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from retentia.functions.columns import column
 from retentia.functions.scratch import materialize
-from retentia.llm.pretokens import bound_batches, forget, no_collector, stretches
+from retentia.llm.pretokens import bound_batches, light, no_collector, stretches
 
 LEAST_SHARE = 1e-5
 LEAST_RATIO = 0.1
@@ -188,7 +188,6 @@ def word_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
         return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         by_language: dict[str, Counter] = {}
         for batch in batches:
             with no_collector():
@@ -200,7 +199,7 @@ def word_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
         yield rows(Counter({(name, word): n for name, counts in by_language.items() for word, n in counts.items()}))
 
     chosen = bound_batches(df).filter(column(lang).isNotNull() & column(text).isNotNull()).select(column(text).alias("text"), column(lang).alias("lang"))
-    return chosen.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return chosen.mapInArrow(light(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def gram_counts(words: DataFrame) -> DataFrame:
@@ -216,7 +215,7 @@ def gram_counts(words: DataFrame) -> DataFrame:
             columns = [[name for name, _ in found], [gram for _, gram in found], [counts[x] for x in found]]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["lang", "gram", "n"])
 
-    return words.select("lang", "word", "n").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return words.select("lang", "word", "n").mapInArrow(light(run), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(df: DataFrame, text: str, lang: str) -> LanguageFilters:
@@ -250,7 +249,6 @@ def predict(df: DataFrame, text: str, filters: LanguageFilters, columns: Sequenc
     shared = df.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         model = shared.value
         false = model.false_rates()
         for batch in batches:
@@ -273,7 +271,7 @@ def predict(df: DataFrame, text: str, filters: LanguageFilters, columns: Sequenc
     carried = [name for name in columns if name not in ("lang_pred", "score")]
     fields = [df.schema[name] for name in carried]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return bound_batches(df).select(*map(column, carried), column(text).alias("__text")).mapInArrow(run, schema)
+    return bound_batches(df).select(*map(column, carried), column(text).alias("__text")).mapInArrow(light(run), schema)
 
 
 def held_out(key: str, folds: int = 5) -> Column:

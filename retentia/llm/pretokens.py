@@ -6,12 +6,13 @@ order, and a pre-token is worth encoding only once.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import json
 import os
 import re
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from functools import lru_cache
 from typing import ClassVar
 
@@ -225,16 +226,48 @@ def kept(size: int) -> Callable[[Callable], Callable]:
 
 
 def forget() -> None:
-    """Gives back what earlier tasks left in this process: tokenizer files, memos of pre-tokens, free memory of Arrow.
-
-    Worker processes serve one stage after another; one that needs no tokenizer would hold the last one's beside its own data.
-    """
+    """Drops the tokenizer files and memos of pre-tokens that earlier tasks left in this process."""
     if any(cached.cache_info().currsize for cached in _KEPT):
         for cached in _KEPT:
             cached.cache_clear()
         Memo._holder = None
         gc.collect()
+
+
+def give_back() -> None:
+    """Returns free memory to the system; Arrow and the C library would keep it."""
     pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def light(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], tokenizer: bool = False) -> Callable:
+    """A function of batches that leaves little in its process, nor finds much there.
+
+    Worker processes serve one stage after another, and idle ones count, too. Unless ``run`` needs a ``tokenizer``, those of earlier
+    stages are dropped first.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not tokenizer:
+            forget()
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def light_group(search: Callable[[tuple, pa.Table], pa.Table]) -> Callable:
+    """The same for a function of a group."""
+
+    def wrapped(key: tuple, table: pa.Table) -> pa.Table:
+        forget()
+        found = search(key, table)
+        give_back()
+        return found
+
+    return wrapped
 
 
 @kept(4)

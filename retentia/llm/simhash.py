@@ -27,7 +27,7 @@ from retentia.functions.columns import column
 from retentia.functions.keytable import KeyTable
 from retentia.functions.scratch import materialize
 from retentia.llm.components import Links, components
-from retentia.llm.pretokens import bound_batches, forget
+from retentia.llm.pretokens import bound_batches, light, light_group
 
 SEED = 42
 SAMPLE = 1 << 14
@@ -64,14 +64,13 @@ def fingerprints(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """The key under its name and ``fingerprint`` of each row, one per input row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         for batch in batches:
             keys, texts = batch.columns
             values = [fingerprint(value.as_py(), words) for value in texts]
             yield pa.record_batch([keys, pa.array(values, pa.int64())], [key, "fingerprint"])
 
     kind = df.schema[key].dataType.simpleString()
-    return bound_batches(df).select(column(key), column(text).alias("__text")).mapInArrow(run, f"`{key}` {kind}, fingerprint long")
+    return bound_batches(df).select(column(key), column(text).alias("__text")).mapInArrow(light(run), f"`{key}` {kind}, fingerprint long")
 
 
 def _distance(points: np.ndarray, pivot: np.ndarray | np.uint64) -> np.ndarray:
@@ -200,7 +199,7 @@ def links(points: DataFrame, reach: int, shard_points: int = SHARD_POINTS, sampl
         return pa.table({"a": values[joined], "b": values[label[joined]]})
 
     dealt = points.select("fingerprint").mapInArrow(spread, "shard long, chunk long, fingerprint long, home boolean")
-    return dealt.groupBy("shard", "chunk").applyInArrow(search, "a long, b long")
+    return dealt.groupBy("shard", "chunk").applyInArrow(light_group(search), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, words: int = 4, reach: int = 4) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from retentia.functions.columns import column
 from retentia.llm.piece_table import TextEncoder
-from retentia.llm.pretokens import TokenizerFile, bound_batches, kept, stretches, tokenizer_file
+from retentia.llm.pretokens import TokenizerFile, bound_batches, kept, light, stretches, tokenizer_file
 
 ID_TYPE = np.dtype("<u4")
 BATCH_BYTES = 4 << 20
@@ -208,7 +208,7 @@ def encode_decode(df: DataFrame, key: str, text: str, path: str, as_arrays: bool
 
     kind, held = df.schema[key].dataType.simpleString(), "array<int>" if as_arrays else "binary"
     schema = f"`{key}` {kind}, n_tokens long, token_ids {held}, decoded string"
-    return bound_batches(df).select(column(key), column(text).alias("__text")).mapInArrow(run, schema)
+    return bound_batches(df).select(column(key), column(text).alias("__text")).mapInArrow(light(run, tokenizer=True), schema)
 
 
 def digests(encoded: DataFrame) -> DataFrame:
